@@ -11,9 +11,54 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from anualia.functions.text import strip
-
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+from anualia.functions.template import apply, quote
+from anualia.functions.text import STRIP
+
+# A cast that fails costs far more than a pattern that does not match, so every
+# cast is guarded by the pattern of what it accepts.
+INTEGER = r"^\s*[+-]?[0-9]{1,18}\s*$"
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def _parse(round_with: str) -> str:
+    """Rule that reads number text ``p`` as a whole number, null if it is none."""
+    return f"""p -> CASE
+        WHEN p RLIKE {quote(INTEGER)} THEN cast(p AS BIGINT)
+        WHEN p RLIKE {quote(NUMBER)} THEN try_cast({round_with}(cast(p AS DOUBLE)) AS BIGINT) END"""
+
+
+# Plain integers take the short way; only other texts go through the rules.
+COERCE_INTEGER = f"""CASE WHEN {{x}} RLIKE {quote(INTEGER)} THEN cast({{x}} AS BIGINT) ELSE coalesce(
+    transform(
+        array({STRIP.replace("{x}", """CASE
+            WHEN {x} RLIKE r'^\s*-?[0-9,]+(\.[0-9]*)?\s*$' THEN replace({x}, ',', '')
+            ELSE {x} END""")}),
+        {_parse("")})[0],
+    0L) END"""
+
+CLEAN_PLAIN = f"""coalesce(
+    transform(array({STRIP.replace("{x}", "translate({x}, '.,', '')")}), {_parse("")})[0],
+    0L)"""
+
+CLEAN_LOCALE = f"""CASE WHEN {{x}} RLIKE {quote(INTEGER)} THEN cast({{x}} AS BIGINT) ELSE coalesce(
+    transform(
+        transform(
+            array(translate({STRIP}, '$ ', '')),
+            t -> CASE
+                WHEN t RLIKE r'^-?[0-9]+\.0+$' THEN t
+                WHEN contains(t, '.') AND contains(t, ',') THEN translate(replace(t, '.', ''), ',', '.')
+                WHEN t RLIKE r'\.[^.]{{3}}$' THEN replace(t, '.', '')
+                WHEN t RLIKE r',[^,]{{3}}$' THEN replace(t, ',', '')
+                WHEN contains(t, ',') THEN translate(t, ',', '.')
+                ELSE t END),
+        {_parse("rint")})[0],
+    0L) END"""
+
+
+def half_up_sql(value: str, unit: int = 1000) -> str:
+    """SQL text of ``value / unit`` rounded to an integer, ties away from zero."""
+    half = unit // 2
+    return f"(({value}) + IF(({value}) < 0, -{half}L, {half}L)) DIV {unit}L"
 
 
 def int_div(a: Column, b: Column | int) -> Column:
@@ -62,65 +107,33 @@ def split_withholding(
     return {"base": base, "excess": excess, "loan": loan, "fee": withheld - loan}
 
 
-def _zero_if_null(c: Column) -> Column:
-    return F.coalesce(c, F.lit(0).cast("bigint"))
-
-
-def _float_text(text: Column) -> Column:
-    """Number text as double, null if it is no plain or exponent number."""
-    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
-
-
-def coerce_integer(c: Column) -> Column:
+def coerce_integer(x: str | Column) -> Column:
     """Fee-report amount: comma groups dropped, dot is decimal, truncated, bad is 0."""
-    text = F.when(c.rlike(r"^\s*-?[0-9,]+(\.[0-9]*)?\s*$"), F.replace(c, F.lit(","), F.lit(""))).otherwise(c)
-    text = strip(text)
-    return _zero_if_null(
-        F.coalesce(c.try_cast("bigint"), text.try_cast("bigint"), _float_text(text).try_cast("bigint"))
-    )
+    return apply(COERCE_INTEGER, x)
 
 
-def clean_amount_plain(c: Column) -> Column:
+def clean_amount_plain(x: str | Column) -> Column:
     """Rental-sheet amount: every dot and comma is a separator and goes; bad is 0."""
-    text = F.translate(strip(c), ".,", "")
-    return _zero_if_null(
-        F.coalesce(c.try_cast("bigint"), text.try_cast("bigint"), _float_text(text).try_cast("bigint"))
-    )
+    return apply(CLEAN_PLAIN, x)
 
 
-def clean_amount_locale(c: Column) -> Column:
+def clean_amount_locale(x: str | Column) -> Column:
     """Payroll amount in Chilean or plain notation, rounded half to even; bad is 0.
 
     A single separator followed by exactly three characters groups thousands,
     except that a text such as ``500.000`` counts as a plain decimal.
     """
-    text = F.translate(strip(c), "$ ", "")
-    has_dot, has_comma = F.contains(text, F.lit(".")), F.contains(text, F.lit(","))
-    plain = (
-        F.when(text.rlike(r"^-?[0-9]+\.0+$"), text)
-        .when(has_dot & has_comma, F.translate(F.replace(text, F.lit("."), F.lit("")), ",", "."))
-        .when(has_dot & text.rlike(r"\.[^.]{3}$"), F.replace(text, F.lit("."), F.lit("")))
-        .when(has_comma & text.rlike(r",[^,]{3}$"), F.replace(text, F.lit(","), F.lit("")))
-        .when(has_comma, F.translate(text, ",", "."))
-        .otherwise(text)
-    )
-    return _zero_if_null(
-        F.coalesce(
-            c.try_cast("bigint"),
-            plain.try_cast("bigint"),
-            F.rint(_float_text(plain)).try_cast("bigint"),
-        )
-    )
-
-
-def whole_number(c: Column) -> Column:
+    return apply(CLEAN_LOCALE, x)
+
+
+def whole_number(x: str | Column) -> Column:
     """Amount that is a number already: cut to an integer, missing is 0."""
-    return _zero_if_null(c.try_cast("bigint"))
+    return apply("coalesce(try_cast({x} AS BIGINT), 0L)", x)
 
 
-def rounded_number(c: Column) -> Column:
+def rounded_number(x: str | Column) -> Column:
     """Amount that is a number already: rounded half to even, missing is 0."""
-    return _zero_if_null(F.rint(c.cast("double")).try_cast("bigint"))
+    return apply("coalesce(try_cast(rint({x}) AS BIGINT), 0L)", x)
 
 
 def format_amount(c: Column) -> Column:

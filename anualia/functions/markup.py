@@ -7,18 +7,22 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from anualia.functions.text import missing_to_null, strip
+from anualia.functions.template import apply, quote
+from anualia.functions.text import MISSING, STRIP
 
-_IGNORED = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
-_TABLE = r"(?is)<table\b[^>]*>(.*?)</table\s*>"
+_IGNORED = r"(?is)<(?:!--.*?-->|(script|style)\b.*?</\1\s*>)"
+_TABLE = r"(?i)<table\b[^>]*+>([^<]*+(?:<(?!/table\b)[^<]*+)*+)</table\b"
 _HEAD = r"(?is)<thead\b.*?</thead\s*>"
 _TAG = r"<[^>]*>"
-_COLSPAN = r"(?is)^<[^>]*?\bcolspan\s*=\s*[\"']?([0-9]+)"
+_COLSPAN = r"(?is)^<[^>]*?\bcolspan\s*=\s*[^0-9>]?([0-9]+)"
 
 
 def _span(tag: str) -> str:
-    """An element up to its end tag, the next element of its kind, or the end."""
-    return rf"(?is)<({tag})\b[^>]*>(.*?)(?=</({tag})\s*>|<({tag})\b|\z)"
+    """An element up to its end tag, the next element of its kind, or the end.
+
+    Possessive, so each character is looked at once and nothing is backtracked.
+    """
+    return rf"(?i)<(?:{tag})\b[^>]*+>[^<]*+(?:<(?!/?(?:{tag})\b)[^<]*+)*+"
 
 
 def visible(html: Column) -> Column:
@@ -26,52 +30,51 @@ def visible(html: Column) -> Column:
     return F.regexp_replace(html, _IGNORED, "")
 
 
-def _entity(name: Column) -> Column:
-    """Character behind an entity name or number; an unknown one stays as written."""
-    named = F.create_map(*[
-        part for k, v in sorted(name2codepoint.items()) for part in (F.lit(k), F.lit(chr(v)))
-    ])
-    number = (
-        F.when(F.lower(F.left(name, F.lit(2))) == "#x", F.conv(F.substring(name, 3, 8), 16, 10))
-        .when(F.left(name, F.lit(1)) == "#", F.substring(name, 2, 10))
-    ).try_cast("int")
-    char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-    in_range = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
-    as_written = F.concat(F.lit("&"), name, F.lit(";"))
-    return F.coalesce(F.when(in_range, char), F.try_element_at(named, name), as_written)
-
-
-def unescape(text: Column) -> Column:
-    """Replace entities; text without ``&`` is left alone at no cost."""
-    found = F.array_remove(F.array_distinct(F.regexp_extract_all(text, F.lit(r"&(#?[A-Za-z0-9]+);"), F.lit(1))), "amp")
-    replaced = F.aggregate(
-        found, text, lambda done, name: F.replace(done, F.concat(F.lit("&"), name, F.lit(";")), _entity(name))
-    )
-    return F.when(
-        F.contains(text, F.lit("&")), F.replace(replaced, F.lit("&amp;"), F.lit("&"))
-    ).otherwise(text)
-
-
-def squeeze(text: Column) -> Column:
-    """Trim, and turn line breaks and runs of white space into one blank."""
-    return F.regexp_replace(strip(text), r"(?U)[\r\n]+|\s{2,}", " ")
-
-
-def element_text(markup: Column) -> Column:
-    """Text of an element: tags dropped, entities replaced, space squeezed."""
-    return squeeze(unescape(F.regexp_replace(markup, _TAG, "")))
-
-
-def cell_text(markup: Column) -> Column:
+# Entity names and their characters, position by position.
+_NAMES = ",".join(name2codepoint)
+_CHARS = "".join(chr(v) for v in name2codepoint.values())
+_NUMBER = """try_cast(CASE
+    WHEN lower(left(e, 2)) = '#x' THEN conv(substring(e, 3, 8), 16, 10)
+    WHEN left(e, 1) = '#' THEN substring(e, 2, 10) END AS INT)"""
+# Character behind an entity name or number; an unknown one stays as written.
+_ENTITY = f"""coalesce(
+    CASE WHEN left(e, 1) <> '#' THEN substring({quote(_CHARS)}, nullif(find_in_set(e, '{_NAMES}'), 0), 1)
+        WHEN {_NUMBER} BETWEEN 1 AND 55295 OR {_NUMBER} BETWEEN 57344 AND 1114111
+        THEN decode(unhex(lpad(hex({_NUMBER}), 8, '0')), 'UTF-32') END,
+    concat('&', e, ';'))"""
+# Text without an ampersand is left alone; ``&amp;`` comes last so nothing is read twice.
+_UNESCAPE = f"""transform(array({{x}}), t -> CASE WHEN contains(t, '&') THEN replace(
+    aggregate(
+        array_remove(array_distinct(regexp_extract_all(t, r'&(#?[A-Za-z0-9]+);', 1)), 'amp'),
+        t, (done, e) -> replace(done, concat('&', e, ';'), {_ENTITY})),
+    '&amp;', '&') ELSE t END)[0]"""
+# Trim, and turn line breaks and runs of white space into one blank.
+_SQUEEZE = "regexp_replace(" + STRIP + ", r'(?U)[\\r\\n]+|\\s{2,}', ' ')"
+# Text of an element: tags dropped, entities replaced, space squeezed.
+_TEXT = _SQUEEZE.replace("{x}", _UNESCAPE.replace("{x}", "regexp_replace({x}, r'<[^>]*>', '')"))
+_CELL = f"transform(array({_TEXT}), v -> {MISSING.replace('{x}', 'v')})[0]"
+
+
+def unescape(x: str | Column) -> Column:
+    """Replace entities by their characters."""
+    return apply(_UNESCAPE, x)
+
+
+def element_text(x: str | Column) -> Column:
+    """Text of an element."""
+    return apply(_TEXT, x)
+
+
+def cell_text(x: str | Column) -> Column:
     """Text of a cell, null if the cell holds no value."""
-    return missing_to_null(element_text(markup))
+    return apply(_CELL, x)
 
 
 def tables(html: Column) -> Column:
     """Inner markup of the tables that hold any text, in order."""
     return F.filter(
         F.regexp_extract_all(html, F.lit(_TABLE), F.lit(1)),
-        lambda t: F.regexp_replace(t, _TAG, "").rlike(r"\S"),
+        lambda t: t.rlike(r"(?:^|>)\s*[^<\s]"),
     )
 
 
@@ -82,27 +85,26 @@ def elements(markup: Column, tag: str) -> Column:
 
 def table_rows(table: Column) -> Column:
     """Rows of a table body: a head section or leading header rows do not count."""
-    rows = elements(F.regexp_replace(table, _HEAD, ""), "tr")
-    with_data = F.transform(rows, lambda r: r.rlike(r"(?i)<td\b"))
-    first = F.array_position(with_data, True)
-    return F.when(table.rlike(r"(?i)<thead\b") | (first <= 1), rows).otherwise(
-        F.slice(rows, F.greatest(first, F.lit(1)).cast("int"), F.size(rows))
+    below_head = elements(F.regexp_replace(table, _HEAD, ""), "tr")
+    body = apply(
+        """transform(array(array_position(transform({x}, r -> r RLIKE r'(?i)<td\\b'), true)),
+        at -> CASE WHEN at <= 1 THEN {x} ELSE slice({x}, cast(at AS INT), size({x})) END)[0]""",
+        elements(table, "tr"),
     )
+    return F.when(table.rlike(r"(?i)<thead\b"), below_head).otherwise(body)
 
 
 def row_cells(row: Column) -> Column:
     """Cells of a row; one that spans columns is repeated."""
     cells = elements(row, "td|th")
-    spread = F.flatten(F.transform(
+    spread = apply(
+        f"flatten(transform({{x}}, c -> array_repeat(c, coalesce(cast(nullif(regexp_extract(c, {quote(_COLSPAN)}, 1), '') AS INT), 1))))",
         cells,
-        lambda c: F.array_repeat(
-            c, F.coalesce(F.regexp_extract(c, _COLSPAN, 1).try_cast("int"), F.lit(1))
-        ),
-    ))
+    )
     return F.when(row.rlike(r"(?i)\bcolspan\b"), spread).otherwise(cells)
 
 
 def running_text(table: Column) -> Column:
     """All cell texts of a table in order, joined by blanks."""
     apart = F.regexp_replace(table, r"(?i)<t[dh]\b[^>]*>", " ")
-    return squeeze(unescape(F.regexp_replace(apart, _TAG, "")))
+    return element_text(apart)

@@ -11,6 +11,7 @@ from anualia.functions.text import strip
 
 # Fixed value: shape of a normalised RUT. The check digit is not verified.
 _SHAPE = r"^[0-9]{7,8}-[0-9K]$"
+_DIGITS = r"^[0-9]{1,18}$"
 
 
 def normalize_rut(c: Column) -> Column:
@@ -25,14 +26,15 @@ def rut_is_valid(c: Column) -> Column:
 
 def rut_order(c: Column) -> Column:
     """Number before the dash, 0 if there is none (rent and payroll lists)."""
-    number = F.split_part(normalize_rut(c), F.lit("-"), F.lit(1)).try_cast("bigint")
-    return F.coalesce(number, F.lit(0).cast("bigint"))
+    number = F.split_part(normalize_rut(c), F.lit("-"), F.lit(1))
+    return F.when(number.rlike(_DIGITS), number.cast("bigint")).otherwise(F.lit(0))
 
 
 def rut_order_raw(c: Column) -> Column:
     """All but the last character as number, null if malformed (fee lists)."""
     digits = strip(F.translate(c, ".-", ""))
-    return F.left(digits, F.length(digits) - 1).try_cast("bigint")
+    number = F.left(digits, F.length(digits) - 1)
+    return F.when(number.rlike(_DIGITS), number.cast("bigint"))
 
 
 def is_valid_text(rut: str) -> bool:

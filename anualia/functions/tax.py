@@ -11,47 +11,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anualia.functions.amounts import int_div
-from anualia.functions.months import by_month
-from anualia.params import YearParameters
+from anualia.params import Bracket, YearParameters
 
 
-def _long(value: int) -> Column:
-    return F.lit(value).cast("bigint")
+def utm_sql(month_no: str, params: YearParameters) -> str:
+    """SQL text of a month's UTM; null for a null month."""
+    values = ", ".join(f"{v}L" for v in params.utm)
+    return f"get(array({values}), {month_no} - 1)"
 
 
-def tax_forward(base: Column, month_no: Column, params: YearParameters) -> Column:
-    """Tax on a month's income: bracket (over, up to], rounded half up, never below 0."""
-    utm = by_month(params.utm, month_no)
-    arms = None
+def _between(value: str, unit: str, b: Bracket, scale: int = 1) -> str:
+    """SQL test of ``over < value <= upto`` with bounds in ``unit``."""
+    test = f"{value} > {unit} * {b.over_tenths * scale}L"
+    if b.upto_tenths is not None:
+        test += f" AND {value} <= {unit} * {b.upto_tenths * scale}L"
+    return test
+
+
+def tax_forward(base: str, utm: str, params: YearParameters) -> Column:
+    """Tax on a month's income: bracket (over, up to], rounded half up, never below 0.
+
+    ``base`` and ``utm`` are SQL text, best plain column names.
+    """
+    arms = []
     for b in params.brackets:
-        hit = base * 10 > utm * _long(b.over_tenths)
-        if b.upto_tenths is not None:
-            hit = hit & (base * 10 <= utm * _long(b.upto_tenths))
-        if b.factor_milli == 0:
-            tax = _long(0)
-        else:
-            milli = base * _long(b.factor_milli) - utm * _long(b.rebate_cents * 10)
-            tax = F.greatest(int_div(milli + 500, 1000), _long(0))
-        arms = F.when(hit, tax) if arms is None else arms.when(hit, tax)
-    return arms.otherwise(_long(0))
-
-
-def tax_inverse(tax: Column, month_no: Column, params: YearParameters) -> Column:
-    """Income a tax was computed from, rounded half up; null if there was no tax."""
-    utm = by_month(params.utm, month_no)
-    arms = None
+        milli = f"{base} * {b.factor_milli}L - {utm} * {b.rebate_cents * 10}L"
+        tax = "0L" if b.factor_milli == 0 else f"greatest(({milli} + 500L) DIV 1000L, 0L)"
+        arms.append(f"WHEN {_between(f'{base} * 10L', utm, b)} THEN {tax}")
+    return F.expr(f"CASE {' '.join(arms)} ELSE 0L END")
+
+
+def tax_inverse(tax: str, utm: str, params: YearParameters) -> Column:
+    """Income a tax was computed from, rounded half up; null if there was no tax.
+
+    ``tax`` and ``utm`` are SQL text, best plain column names.
+    """
+    arms = [f"WHEN {tax} <= 0 THEN NULL"]
     for b in params.brackets:
-        if b.factor_milli == 0:
-            continue
         k = b.factor_milli
-        n = tax * 100 + utm * _long(b.rebate_cents)
-        hit = (tax > 0) & (n * 100 > utm * _long(b.over_tenths * k))
-        if b.upto_tenths is not None:
-            hit = hit & (n * 100 <= utm * _long(b.upto_tenths * k))
-        income = int_div(n * 20 + k, 2 * k)
-        arms = F.when(hit, income) if arms is None else arms.when(hit, income)
-    return arms
+        if k:
+            n = f"({tax} * 100L + {utm} * {b.rebate_cents}L)"
+            arms.append(f"WHEN {_between(f'{n} * 100L', utm, b, k)} THEN ({n} * 20L + {k}L) DIV {2 * k}L")
+    return F.expr(f"CASE {' '.join(arms)} END")
 
 
 def join_bracket(df: DataFrame, amount: str, month: str, params: YearParameters) -> DataFrame:

@@ -6,10 +6,10 @@ the one action that turns a non-empty check into an error.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anualia.functions.months import MONTHS, in_mask, mask_codes, month_bit, month_number
+from anualia.functions.months import codes_sql, mask_codes, month_bit, month_code, month_number
 
 ERROR, WARNING = "E", "W"
 
@@ -23,28 +23,21 @@ class ValidationError(ValueError):
 
 
 def issue_table(
-    df: DataFrame, ids: list[str], rules: list[tuple[str, str, Column, Column]]
+    df: DataFrame, ids: list[str], rules: list[tuple[str, str, str, str]]
 ) -> DataFrame:
     """Long table of broken rules: ids, severity, rule, message.
 
+    A rule is severity, name, condition and message, the last two as SQL text.
     Rows without any issue leave through a plain filter first, so only faulty
     rows pay for building the list.
     """
-    broken = None
-    for _, _, condition, _ in rules:
-        broken = condition if broken is None else broken | condition
-    found = F.array(*[
-        F.when(
-            condition,
-            F.struct(
-                F.lit(severity).alias("severity"),
-                F.lit(rule).alias("rule"),
-                message.alias("message"),
-            ),
-        )
+    broken = " OR ".join(f"({condition})" for _, _, condition, _ in rules)
+    found = ", ".join(
+        f"CASE WHEN {condition} THEN named_struct("
+        f"'severity', '{severity}', 'rule', '{rule}', 'message', {message}) END"
         for severity, rule, condition, message in rules
-    ])
-    return df.filter(broken).select(*ids, F.inline(F.array_compact(found)))
+    )
+    return df.filter(broken).select(*ids, F.expr(f"inline(array_compact(array({found})))"))
 
 
 def gate(issues: DataFrame, severity: str = ERROR, sample: int = 20) -> None:
@@ -85,31 +78,24 @@ def month_coverage(files: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.min("_no").alias("_first"),
         F.coalesce(F.sum(F.when(F.col("_no").isNull(), F.col("_files"))), F.lit(0)).alias("undetected"),
     )
-    missing = F.concat_ws(", ", *[
-        F.when((F.lit(i + 1) >= F.col("_first")) & ~in_mask(F.col("_seen"), i + 1), F.lit(code))
-        for i, code in enumerate(MONTHS)
-    ])
     return masks.select(
         *by,
-        F.element_at(F.lit(list(MONTHS)), F.col("_first")).alias("first_month"),
-        mask_codes(F.col("_seen")).alias("present"),
-        missing.alias("missing"),
-        mask_codes(F.col("_twice")).alias("duplicated"),
+        month_code(F.col("_first")).alias("first_month"),
+        mask_codes("_seen").alias("present"),
+        F.expr(codes_sql("{i} >= _first AND getbit(_seen, {i} - 1) = 0")).alias("missing"),
+        mask_codes("_twice").alias("duplicated"),
         F.col("undetected").cast("bigint").alias("undetected"),
     )
 
 
 def month_issues(files: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Coverage problems as an issue table, in the order they are checked."""
-    seen = month_coverage(files, by)
-    rules = [
-        (ERROR, "undetected_month", F.col("undetected") > 0,
-         F.concat(F.lit("files whose name tells no month: "), F.col("undetected").cast("string"))),
-        (ERROR, "duplicate_month", F.col("duplicated") != "",
-         F.concat(F.lit("months given more than once: "), F.col("duplicated"))),
-        (ERROR, "no_month", F.col("first_month").isNull(), F.lit("no file names a month")),
-        (ERROR, "missing_month", F.col("missing") != "",
-         F.concat(F.lit("first month is "), F.col("first_month"),
-                  F.lit("; missing up to December: "), F.col("missing"))),
-    ]
-    return issue_table(seen, by or [], rules)
+    return issue_table(month_coverage(files, by), by or [], [
+        (ERROR, "undetected_month", "undetected > 0",
+         "concat('files whose name tells no month: ', undetected)"),
+        (ERROR, "duplicate_month", "duplicated <> ''",
+         "concat('months given more than once: ', duplicated)"),
+        (ERROR, "no_month", "first_month IS NULL", "'no file names a month'"),
+        (ERROR, "missing_month", "missing <> ''",
+         "concat('first month is ', first_month, '; missing up to December: ', missing)"),
+    ])

@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anualia.functions.amounts import clean_amount_locale, restate, rounded_number
+from anualia.functions.amounts import NUMBER, clean_amount_locale, half_up_sql, rounded_number
 from anualia.functions.months import MONTHS, by_month, month_number
 from anualia.functions.rut import normalize_rut, rut_order
-from anualia.functions.tax import tax_inverse
+from anualia.functions.tax import tax_inverse, utm_sql
+from anualia.functions.template import name, quote
 from anualia.functions.text import clean_text
 from anualia.operators.conform import is_numeric, quoted, require_columns
 from anualia.operators.quality import WARNING, issue_table
@@ -112,32 +113,27 @@ LIST_TAIL = [
 ]
 
 
-def _zero() -> Column:
-    return F.lit(0).cast("bigint")
-
-
 def amount(book: DataFrame, header: str) -> Column:
     """Amount column of the book; 0 on every row if the book lacks it."""
     if header not in book.columns:
-        return _zero()
-    if is_numeric(book, header):
-        return rounded_number(quoted(header))
-    return clean_amount_locale(quoted(header))
+        return F.expr("0L")
+    return (rounded_number if is_numeric(book, header) else clean_amount_locale)(name(header))
 
 
 def contract_ended(book: DataFrame) -> Column:
     """Does the row carry a contract end?"""
     if COL_CONTRACT_END not in book.columns:
         return F.lit(False)
-    return ~clean_text(quoted(COL_CONTRACT_END)).isin(*NO_END_TEXTS)
+    return ~clean_text(name(COL_CONTRACT_END)).isin(*NO_END_TEXTS)
 
 
 def weekly_hours(book: DataFrame) -> Column:
     """Weekly-hours code from the kind of workday; an unreadable code counts as 0."""
     if COL_WORKDAY not in book.columns:
         return F.lit(FULL_HOURS)
-    code = quoted(COL_WORKDAY).try_cast("double")
-    return F.when(code >= PARTIAL_FROM_CODE, PARTIAL_HOURS).otherwise(FULL_HOURS)
+    code = name(COL_WORKDAY)
+    number = f"CASE WHEN string({code}) RLIKE {quote(NUMBER)} THEN cast({code} AS DOUBLE) END"
+    return F.expr(f"IF({number} >= {PARTIAL_FROM_CODE}, {PARTIAL_HOURS}, {FULL_HOURS})")
 
 
 def amounts(book: DataFrame) -> DataFrame:
@@ -151,7 +147,7 @@ def amounts(book: DataFrame) -> DataFrame:
         "MES_DJ",
         "ARCHIVO_ORIGEN",
         "ord",
-        *[amount(book, header).alias(name) for name, header in AMOUNTS.items()],
+        *[amount(book, header).alias(internal) for internal, header in AMOUNTS.items()],
         contract_ended(book).alias("Tiene_Termino"),
         weekly_hours(book).alias("Horas_Semanales"),
     )
@@ -164,64 +160,58 @@ def lines(book: DataFrame, params: YearParameters | None = None) -> DataFrame:
     ``ARCHIVO_ORIGEN`` and the numeric row order ``ord``.
     """
     params = params or for_year()
-    month_no = month_number(F.col("MES_DJ"))
-    c = F.col
-    df = amounts(book).withColumns({
-        "Cotizaciones_Deducibles_Renta_Neta": c("Total_Cotizaciones_Trabajador"),
-        "Renta_LRE_Fallback": F.greatest(
-            c("Total_Haberes_Imp_Trib") - c("Total_Cotizaciones_Trabajador"), _zero()
-        ),
-        "IUSC_Total_Mensual": c("IUSC") + c("IUSC_Indemnizaciones") + c("IUSC_Reliquidacion")
-        + c("Diferencia_Reliquidacion"),
-        "Renta_No_Gravada_Mensual": c("Haberes_Imp_No_Trib") + c("Haberes_No_Imp_No_Trib"),
-        "Leyes_Sociales": c("Total_Cotizaciones_Trabajador") + c("Total_Aportes_Empleador"),
-        "Renta_Exenta_Mensual": _zero(),
-        "Renta_Exenta_Actualizada": _zero(),
-        "_month_no": month_no,
-    })
-    df = df.withColumn("Renta_Inferida_IUSC", tax_inverse(c("IUSC_Total_Mensual"), c("_month_no"), params))
-    df = df.withColumn(
-        "Renta_Total_Neta_Mensual",
-        F.when(c("IUSC_Indemnizaciones") > 0, c("Renta_LRE_Fallback"))
-        .otherwise(F.coalesce(c("Renta_Inferida_IUSC"), c("Renta_LRE_Fallback"))),
-    ).withColumns({
-        "Metodo_Renta": F.when(c("Renta_Inferida_IUSC").isNotNull(), INFERRED).otherwise(FALLBACK),
-        "_factor": by_month(params.factor_milli, c("_month_no")),
+    df = amounts(book).withColumn("_month_no", month_number(F.col("MES_DJ")))
+    df = df.selectExpr(
+        "*",
+        f"{utm_sql('_month_no', params)} AS _utm",
+        "Total_Cotizaciones_Trabajador AS Cotizaciones_Deducibles_Renta_Neta",
+        "greatest(Total_Haberes_Imp_Trib - Total_Cotizaciones_Trabajador, 0L) AS Renta_LRE_Fallback",
+        "IUSC + IUSC_Indemnizaciones + IUSC_Reliquidacion + Diferencia_Reliquidacion AS IUSC_Total_Mensual",
+        "Haberes_Imp_No_Trib + Haberes_No_Imp_No_Trib AS Renta_No_Gravada_Mensual",
+        "Total_Cotizaciones_Trabajador + Total_Aportes_Empleador AS Leyes_Sociales",
+        "0L AS Renta_Exenta_Mensual",
+        "0L AS Renta_Exenta_Actualizada",
+    )
+    df = df.withColumns({
+        "Renta_Inferida_IUSC": tax_inverse("IUSC_Total_Mensual", "_utm", params),
+        "_factor": by_month(params.factor_milli, F.col("_month_no")),
     })
-    df = df.withColumn(
-        "Monto_Ingreso_Mensual_Sin_Actualizar",
-        c("Renta_Total_Neta_Mensual") + c("Rebaja_Zona_Extrema"),
+    df = df.selectExpr(
+        "*",
+        "IF(IUSC_Indemnizaciones > 0, Renta_LRE_Fallback, coalesce(Renta_Inferida_IUSC, Renta_LRE_Fallback))"
+        " AS Renta_Total_Neta_Mensual",
+        f"IF(Renta_Inferida_IUSC IS NOT NULL, '{INFERRED}', '{FALLBACK}') AS Metodo_Renta",
+    )
+    df = df.selectExpr(
+        "*", "Renta_Total_Neta_Mensual + Rebaja_Zona_Extrema AS Monto_Ingreso_Mensual_Sin_Actualizar"
     )
-    return df.withColumns({
-        **{name: restate(c(source), c("_factor")) for name, source in RESTATED.items()},
-        "Periodo_DJ": F.when(c("Tiene_Termino"), "F")
-        .when(c("Monto_Ingreso_Mensual_Sin_Actualizar") > 0, "C")
-        .otherwise(""),
-    }).drop("_month_no", "_factor")
+    return df.selectExpr(
+        "*",
+        *[f"{half_up_sql(f'{source} * _factor')} AS {restated}" for restated, source in RESTATED.items()],
+        "CASE WHEN Tiene_Termino THEN 'F' WHEN Monto_Ingreso_Mensual_Sin_Actualizar > 0 THEN 'C' ELSE '' END"
+        " AS Periodo_DJ",
+    ).drop("_month_no", "_factor", "_utm")
 
 
-def _file_list(files: Sequence[str] | None) -> tuple[list[Column], Column]:
-    """Aggregates and final expression for the sorted distinct source files.
+def _file_list(files: Sequence[str] | None) -> tuple[Column, Column]:
+    """Aggregate and final expression for the sorted distinct source files.
 
     With the file names known up front (a declaration has at most one per month)
     the set is a bit mask, a fixed-width buffer. Otherwise it is collected.
     """
     if files is None or len(set(files)) > 63:
         return (
-            [F.collect_set("ARCHIVO_ORIGEN").alias("_files")],
+            F.collect_set("ARCHIVO_ORIGEN").alias("_files"),
             F.array_join(F.array_sort("_files"), " | "),
         )
     names = sorted(set(files))
-    unknown = F.raise_error(F.concat(F.lit("file not in the given list: "), F.col("ARCHIVO_ORIGEN")))
-    bit = F.coalesce(
-        *[F.when(F.col("ARCHIVO_ORIGEN") == n, F.lit(1 << i).cast("bigint")) for i, n in enumerate(names)],
-        unknown.cast("bigint"),
+    bits = " ".join(f"WHEN {quote(n)} THEN {1 << i}L" for i, n in enumerate(names))
+    unknown = "cast(raise_error(concat('file not in the given list: ', ARCHIVO_ORIGEN)) AS BIGINT)"
+    texts = ", ".join(f"CASE WHEN (_files & {1 << i}L) <> 0 THEN {quote(n)} END" for i, n in enumerate(names))
+    return (
+        F.expr(f"bit_or(CASE ARCHIVO_ORIGEN {bits} ELSE {unknown} END) AS _files"),
+        F.expr(f"concat_ws(' | ', {texts})"),
     )
-    texts = [
-        F.when(F.col("_files").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, F.lit(n))
-        for i, n in enumerate(names)
-    ]
-    return [F.bit_or(bit).alias("_files")], F.concat_ws(" | ", *texts)
 
 
 def worker_month(
@@ -235,62 +225,62 @@ def worker_month(
     shuffle, and a worker with very many rows costs no more than any other.
     """
     df = lines(book, params)
-    file_aggregates, file_text = _file_list(files)
+    file_set, file_text = _file_list(files)
     grouped = df.groupBy("Rut_Trabajador", "MES_DJ").agg(
-        *[F.coalesce(F.sum(c), _zero()).alias(c) for c in MONTH_SUMS],
-        F.min(F.when(F.col("Periodo_DJ") == "F", F.col("ord"))).alias("_first_f"),
-        F.min(F.when(F.col("Periodo_DJ") == "C", F.col("ord"))).alias("_first_c"),
+        *[F.expr(f"coalesce(sum({c}), 0L) AS {c}") for c in MONTH_SUMS],
+        F.expr("min(CASE WHEN Periodo_DJ = 'F' THEN ord END) AS _first_f"),
+        F.expr("min(CASE WHEN Periodo_DJ = 'C' THEN ord END) AS _first_c"),
         F.max("Horas_Semanales").alias("Horas_Semanales"),
-        F.bool_or(F.col("Metodo_Renta") == FALLBACK).alias("_fallback"),
-        F.bool_or(F.col("Metodo_Renta") == INFERRED).alias("_inferred"),
-        *file_aggregates,
-    )
-    first_f, first_c = F.col("_first_f"), F.col("_first_c")
-    period = (
-        F.when(first_f.isNotNull() & (first_c.isNull() | (first_f < first_c)), "F")
-        .when(first_c.isNotNull(), "C")
-        .otherwise("")
-    )
-    method = F.concat_ws(
-        " / ", F.when(F.col("_fallback"), F.lit(FALLBACK)), F.when(F.col("_inferred"), F.lit(INFERRED))
+        F.expr(f"bool_or(Metodo_Renta = '{FALLBACK}') AS _fallback"),
+        F.expr(f"bool_or(Metodo_Renta = '{INFERRED}') AS _inferred"),
+        file_set,
     )
     return grouped.select(
-        "Rut_Trabajador", "MES_DJ", *MONTH_SUMS, period.alias("Periodo_DJ"), "Horas_Semanales",
-        file_text.alias("ARCHIVO_ORIGEN"), method.alias("Metodo_Renta"),
+        "Rut_Trabajador", "MES_DJ", *MONTH_SUMS,
+        F.expr(
+            "CASE WHEN _first_f IS NOT NULL AND (_first_c IS NULL OR _first_f < _first_c) THEN 'F'"
+            " WHEN _first_c IS NOT NULL THEN 'C' ELSE '' END AS Periodo_DJ"
+        ),
+        "Horas_Semanales",
+        file_text.alias("ARCHIVO_ORIGEN"),
+        F.expr(
+            f"concat_ws(' / ', CASE WHEN _fallback THEN '{FALLBACK}' END,"
+            f" CASE WHEN _inferred THEN '{INFERRED}' END) AS Metodo_Renta"
+        ),
     )
 
 
-def period_pivot(months: DataFrame) -> dict[str, Column]:
+def period_pivot() -> list[Column]:
     """Aggregates for one period column per month, as a small code.
 
     A worker has one row per month, so the maximum is that row's own code.
     """
-    code = F.when(F.col("Periodo_DJ") == "F", 2).when(F.col("Periodo_DJ") == "C", 1)
-    return {m: F.max(F.when(F.col("MES_DJ") == m, code)) for m in MONTHS}
+    code = "CASE Periodo_DJ WHEN 'F' THEN 2 WHEN 'C' THEN 1 END"
+    return [F.expr(f"max(CASE WHEN MES_DJ = '{m}' THEN {code} END) AS {m}") for m in MONTHS]
 
 
-def period_text(code: Column) -> Column:
-    return F.when(code == 2, "F").when(code == 1, "C").otherwise("")
+def period_texts() -> dict[str, Column]:
+    """The month columns of the period pivot as texts."""
+    return {m: F.expr(f"CASE {m} WHEN 2 THEN 'F' WHEN 1 THEN 'C' ELSE '' END") for m in MONTHS}
 
 
-def income_pivot(months: DataFrame) -> dict[str, Column]:
+def income_pivot() -> list[Column]:
     """Aggregates for one income column per month; a month without rows is 0."""
-    income = F.col("Monto_Ingreso_Mensual_Sin_Actualizar")
-    return {
-        f"Ingreso_{m}": F.coalesce(F.sum(F.when(F.col("MES_DJ") == m, income)), _zero()) for m in MONTHS
-    }
+    income = "Monto_Ingreso_Mensual_Sin_Actualizar"
+    return [
+        F.expr(f"coalesce(sum(CASE WHEN MES_DJ = '{m}' THEN {income} END), 0L) AS Ingreso_{m}") for m in MONTHS
+    ]
 
 
 def consolidate(months: DataFrame) -> DataFrame:
     """One row per worker: sums, longest hours code and both pivots in one aggregate."""
-    sums = dict.fromkeys(LIST_HEAD + LIST_TAIL)
     per_worker = months.groupBy("Rut_Trabajador").agg(
-        *[F.sum(c).alias(c) for c in sums],
+        *[F.expr(f"sum({c}) AS {c}") for c in dict.fromkeys(LIST_HEAD + LIST_TAIL)],
         F.max("Horas_Semanales").alias("Horas_Semanales"),
-        *[agg.alias(m) for m, agg in period_pivot(months).items()],
-        *[agg.alias(m) for m, agg in income_pivot(months).items()],
+        *period_pivot(),
+        *income_pivot(),
     )
-    return per_worker.withColumns({m: period_text(F.col(m)) for m in MONTHS})
+    return per_worker.withColumns(period_texts())
 
 
 def return_list(months: DataFrame, status_text: str = "Calculada") -> DataFrame:
@@ -326,8 +316,8 @@ def summary(list_table: DataFrame) -> DataFrame:
         "Remuneración Imponible Previsional Actualizada": "Remuneracion_Imponible_Prev_Actualizada",
     }
     return summary_table(list_table, [
-        ("Total Casos Informados", F.count("*")),
-        *[(label, total(name)) for label, name in fields.items()],
+        ("Total Casos Informados", "count(*)"),
+        *[(label, total(column)) for label, column in fields.items()],
         *[(f"Ingreso Mensual {m} Sin Actualizar", total(f"Ingreso_{m}")) for m in MONTHS],
     ])
 
@@ -335,5 +325,5 @@ def summary(list_table: DataFrame) -> DataFrame:
 def blank_worker_issues(months: DataFrame) -> DataFrame:
     """Workers without a RUT; they stay in the return under an empty id."""
     return issue_table(months, ["MES_DJ"], [
-        (WARNING, "blank_rut", F.col("Rut_Trabajador") == "", F.lit("rows without a worker RUT")),
+        (WARNING, "blank_rut", "Rut_Trabajador = ''", "'rows without a worker RUT'"),
     ])

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anualia.functions.amounts import clean_amount_plain, half_up, whole_number
-from anualia.functions.months import MONTHS
+from anualia.functions.amounts import clean_amount_plain, half_up_sql, whole_number
+from anualia.functions.months import MONTHS, flag_sql
 from anualia.functions.rut import normalize_rut, rut_is_valid, rut_order
-from anualia.functions.text import clean_text, default_if_blank, strip
+from anualia.functions.template import name
+from anualia.functions.text import CLEAN, clean_text, default_if_blank, strip
 from anualia.operators.conform import (
     conform_columns,
     drop_blank_rows,
     is_numeric,
     number_text,
-    quoted,
+    require_columns,
 )
 from anualia.operators.quality import ERROR, WARNING, gate, issue_table, require_rows
 from anualia.operators.sequence import number_rows
@@ -41,20 +42,21 @@ def conform(sheet: DataFrame) -> DataFrame:
     blank rows are dropped after they were counted. A column that is numeric
     already is taken as a number and never pushed through the text rules.
     """
+    require_columns(sheet, ["row_no"])
     numeric = {c for c in SHEET_COLUMNS if c in sheet.columns and is_numeric(sheet, c)}
     texts = [c for c in SHEET_COLUMNS if c not in AMOUNT_COLUMNS]
     as_text = {c: number_text(sheet, c) for c in texts if c in numeric}
     df = drop_blank_rows(sheet, SHEET_COLUMNS).withColumns(as_text)
     df = conform_columns(df, SHEET_COLUMNS, keep=("row_no",))
 
-    cleaned = {c: clean_text(quoted(c)) for c in texts}
+    cleaned = {c: clean_text(name(c)) for c in texts}
     cleaned["Rut_Arrendador"] = normalize_rut(F.col("Rut_Arrendador"))
     cleaned["Rut_Arrendatario"] = normalize_rut(F.col("Rut_Arrendatario"))
     cleaned["DFL2"] = strip(F.upper(cleaned["DFL2"]))
     for c, default in DEFAULT_CODES.items():
-        cleaned[c] = default_if_blank(cleaned[c], default)
+        cleaned[c] = F.expr(default_if_blank(CLEAN.replace("{x}", c), default))
     for c in AMOUNT_COLUMNS:
-        cleaned[c] = whole_number(F.col(c)) if c in numeric else clean_amount_plain(F.col(c))
+        cleaned[c] = whole_number(c) if c in numeric else clean_amount_plain(c)
     return df.withColumns(cleaned)
 
 
@@ -67,16 +69,15 @@ def index_amounts(
     no shuffle.
     """
     params = params or for_year()
-    indexed = {}
-    for i, m in enumerate(MONTHS):
-        amount = F.col(f"Monto_{m}")
-        factor = F.lit(params.factor_milli[i]).cast("bigint")
-        indexed[f"Actualizado_{m}"] = half_up(amount * factor, 1000) if apply_index else amount
-    year_sum = F.col(INDEXED_COLUMNS[0])
-    for c in INDEXED_COLUMNS[1:]:
-        year_sum = year_sum + F.col(c)
-    flags = {m: F.when(F.col(f"Monto_{m}") > 0, "X").otherwise("") for m in MONTHS}
-    return conformed.withColumns(indexed).withColumn("Monto_Arriendo", year_sum).withColumns(flags)
+    restated = [
+        half_up_sql(f"Monto_{m} * {params.factor_milli[i]}L") if apply_index else f"Monto_{m}"
+        for i, m in enumerate(MONTHS)
+    ]
+    indexed = conformed.select(
+        "*", *[F.expr(f"{sql} AS Actualizado_{m}") for m, sql in zip(MONTHS, restated)]
+    )
+    flags = [F.expr(f"{flag_sql(f'Monto_{m} > 0')} AS {m}") for m in MONTHS]
+    return indexed.select("*", F.expr(" + ".join(INDEXED_COLUMNS) + " AS Monto_Arriendo"), *flags)
 
 
 def base(
@@ -88,37 +89,32 @@ def base(
 
 def issues(base_table: DataFrame, declarant_type: str = TENANT) -> DataFrame:
     """All broken rules as a long table (row_no, severity, rule, message)."""
-    row = F.concat(F.lit("Fila "), F.col("row_no").cast("string"), F.lit(": "))
-
-    def blank(name: str):
-        return F.col(name) == ""
+    def codes(last: int) -> str:
+        return ", ".join(f"'{i}'" for i in range(1, last + 1))
 
-    def outside(name: str, last: int):
-        return ~F.col(name).isin(*[str(i) for i in range(1, last + 1)])
-
-    no_month = F.lit(True)
-    for c in AMOUNT_COLUMNS:
-        no_month = no_month & (F.col(c) <= 0)
-    tenant_bad = (
-        ~rut_is_valid(F.col("Rut_Arrendatario")) if declarant_type == INTERMEDIARY else F.lit(False)
-    )
+    checked = base_table.withColumns({
+        "_landlord_ok": rut_is_valid(F.col("Rut_Arrendador")),
+        "_tenant_ok": rut_is_valid(F.col("Rut_Arrendatario")) if declarant_type == INTERMEDIARY else F.lit(True),
+    })
     # Wording of the messages.
     rules = [
-        (ERROR, "roll", blank("Rol_Parte_1") | blank("Rol_Parte_2"), "falta completar el Rol del Bien Raíz."),
-        (ERROR, "commune_code", blank("Codigo_Comuna"), "falta código de comuna."),
-        (ERROR, "commune_name", blank("Comuna"), "falta nombre de comuna."),
-        (ERROR, "landlord_rut", ~rut_is_valid(F.col("Rut_Arrendador")), "RUT arrendador inválido o incompleto."),
-        (ERROR, "tenant_rut", tenant_bad, "RUT arrendatario inválido o incompleto."),
-        (ERROR, "amount", F.col("Monto_Arriendo") <= 0, "el monto anual de arriendo es cero."),
-        (ERROR, "furnished", outside("Amoblado", 2), "Amoblado debe ser 1 o 2."),
-        (ERROR, "use", outside("Destino_Arriendo", 6), "Destino del arriendo debe ser un código entre 1 y 6."),
-        (ERROR, "nature", outside("Naturaleza_Bien_Raiz", 2), "Naturaleza del bien raíz debe ser 1 o 2."),
-        (WARNING, "no_month", no_month, "no tiene meses con monto informado."),
+        (ERROR, "roll", "Rol_Parte_1 = '' OR Rol_Parte_2 = ''", "falta completar el Rol del Bien Raíz."),
+        (ERROR, "commune_code", "Codigo_Comuna = ''", "falta código de comuna."),
+        (ERROR, "commune_name", "Comuna = ''", "falta nombre de comuna."),
+        (ERROR, "landlord_rut", "NOT _landlord_ok", "RUT arrendador inválido o incompleto."),
+        (ERROR, "tenant_rut", "NOT _tenant_ok", "RUT arrendatario inválido o incompleto."),
+        (ERROR, "amount", "Monto_Arriendo <= 0", "el monto anual de arriendo es cero."),
+        (ERROR, "furnished", f"Amoblado NOT IN ({codes(2)})", "Amoblado debe ser 1 o 2."),
+        (ERROR, "use", f"Destino_Arriendo NOT IN ({codes(6)})",
+         "Destino del arriendo debe ser un código entre 1 y 6."),
+        (ERROR, "nature", f"Naturaleza_Bien_Raiz NOT IN ({codes(2)})",
+         "Naturaleza del bien raíz debe ser 1 o 2."),
+        (WARNING, "no_month", " AND ".join(f"{c} <= 0" for c in AMOUNT_COLUMNS),
+         "no tiene meses con monto informado."),
     ]
     return issue_table(
-        base_table,
-        ["row_no"],
-        [(sev, rule, cond, F.concat(row, F.lit(text))) for sev, rule, cond, text in rules],
+        checked, ["row_no"],
+        [(sev, rule, cond, f"concat('Fila ', row_no, ': {text}')") for sev, rule, cond, text in rules],
     )
 
 
@@ -150,6 +146,6 @@ def summary(list_table: DataFrame) -> DataFrame:
     """Number of properties and total rent."""
     # Field names of the summary.
     return summary_table(list_table, [
-        ("Total de casos informados", F.count("*")),
+        ("Total de casos informados", "count(*)"),
         ("Total de Monto Arriendo", total("Monto_Arriendo")),
     ])

@@ -22,10 +22,12 @@ from anualia.functions.markup import (
     visible,
 )
 from anualia.functions.rut import normalize_rut
+from anualia.functions.template import quote, with_computed
 from anualia.functions.text import strip
 from anualia.plans.fees import RECEIPT_COLUMNS
 from anualia.sources.listing import list_files
 
+NBSP = "\u00a0"
 HEADER_ROW = 2  # rows 0 and 1 hold free text
 CHECKED_COLUMNS = ["Fecha", "Estado", "Brutos", "Retenido", "Pagado"]
 
@@ -81,16 +83,15 @@ def parse_reports(pages: DataFrame, columns: Sequence[str] = RECEIPT_COLUMNS) ->
 
     ``pages`` has ``file``, ``file_no`` and ``html``.
     """
-    tabled = pages.select("file", "file_no", F.get(tables(visible(F.col("html"))), F.lit(0)).alias("_table"))
-    rowed = tabled.withColumn("_rows", table_rows(F.col("_table")))
-    header = F.transform(
-        row_cells(F.get("_rows", F.lit(HEADER_ROW))),
-        lambda c: strip(F.replace(element_text(c), F.lit(" "), F.lit(" "))),
-    )
-    headed = rowed.withColumn("_header", header)
+    first_table = F.get(tables(visible(F.col("html"))), F.lit(0))
+    tabled = with_computed(pages.select("file", "file_no", "html"), "_table", first_table)
+    rowed = with_computed(tabled.drop("html"), "_rows", table_rows(F.col("_table")))
+    cells = with_computed(rowed, "_cells", row_cells(F.get("_rows", F.lit(HEADER_ROW))))
+    header = F.transform("_cells", lambda c: strip(F.translate(element_text(c), NBSP, " ")))
+    headed = with_computed(cells, "_header", header).drop("_cells")
 
     def count_of(name: str) -> Column:
-        return F.size(F.filter("_header", lambda h: h == name))
+        return F.expr(f"size(filter(_header, h -> h = {quote(name)}))")
 
     reason = (
         F.when(F.col("_table").isNull(), "no table found")
@@ -100,8 +101,9 @@ def parse_reports(pages: DataFrame, columns: Sequence[str] = RECEIPT_COLUMNS) ->
     )
     for name in CHECKED_COLUMNS:
         reason = reason.when(count_of(name) != 1, f"not exactly one column {name}")
-    text = running_text(F.col("_table"))
-    return headed.select(
+    judged = with_computed(headed, "reason", reason)
+    text = F.col("_text")
+    return with_computed(judged, "_text", running_text(F.col("_table"))).select(
         "file", "file_no",
         F.slice("_rows", HEADER_ROW + 2, F.greatest(F.size("_rows"), F.lit(1))).alias("rows"),
         F.struct(*[
@@ -109,7 +111,7 @@ def parse_reports(pages: DataFrame, columns: Sequence[str] = RECEIPT_COLUMNS) ->
         ]).alias("positions"),
         contributor_name(text).alias("Nombre_Empresa_Declarante"),
         contributor_rut(text).alias("Rut_Empresa_Declarante"),
-        reason.alias("reason"),
+        "reason",
     )
 
 
@@ -127,7 +129,7 @@ def fee_receipts(parsed: DataFrame, columns: Sequence[str] = RECEIPT_COLUMNS) ->
         F.posexplode("rows").alias("_row_no", "_row"), "file", "file_no", "positions",
         "Nombre_Empresa_Declarante", "Rut_Empresa_Declarante",
     )
-    cells = rows.withColumn("_cells", row_cells(F.col("_row")))
+    cells = with_computed(rows, "_cells", row_cells(F.col("_row")))
     picked = [
         F.when(F.col(f"positions.p{i}") >= 0, cell_text(F.get("_cells", F.col(f"positions.p{i}")))).alias(name)
         for i, name in enumerate(columns)

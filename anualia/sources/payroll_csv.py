@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from anualia.functions.months import month_from_name
+from anualia.functions.template import name as sql_name
 from anualia.functions.text import missing_to_null
-from anualia.operators.conform import quoted, require_columns, union_by_name
+from anualia.operators.conform import require_columns, union_by_name
 from anualia.operators.quality import ValidationError, gate, month_issues
 from anualia.plans.payroll import REQUIRED_COLUMNS
 from anualia.sources.listing import list_files, split_order
@@ -73,7 +74,7 @@ def _scan(spark: SparkSession, files: DataFrame, paths: list[str], header: list[
         F.broadcast(files.select("file_path", "file_no", "file_name", "month")), "file_path"
     )
     return tagged.select(
-        *[missing_to_null(quoted(name)).alias(name) for name in header],
+        *[missing_to_null(sql_name(c)).alias(c) for c in header],
         F.col("month").alias("MES_DJ"),
         F.col("file_name").alias("ARCHIVO_ORIGEN"),
         split_order().alias("ord"),

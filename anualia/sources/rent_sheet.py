@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anualia.operators.conform import quoted
-from anualia.operators.sequence import number_rows
+from anualia.functions.template import name
 from anualia.functions.text import missing_to_null
+from anualia.operators.sequence import number_rows
 from anualia.sources.listing import list_files, split_order
 
 
@@ -20,7 +20,7 @@ def rent_sheet(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     placed = (
         raw.select("*", "_metadata.file_path", "_metadata.file_block_start")
         .join(F.broadcast(files.select("file_path", "file_no")), "file_path")
-        .select(*[missing_to_null(quoted(c)).alias(c) for c in raw.columns], split_order().alias("_ord"))
+        .select(*[missing_to_null(name(c)).alias(c) for c in raw.columns], split_order().alias("_ord"))
     )
     return number_rows(placed, [F.col("_ord")], "row_no").drop("_ord")
 

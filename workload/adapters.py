@@ -6,227 +6,177 @@ step on, so results do not depend on the order of float additions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anualia.functions.amounts import int_div
 from anualia.functions.months import MONTH_NAMES, MONTHS
-from anualia.functions.tax import tax_forward
+from anualia.functions.tax import tax_forward, utm_sql
+from anualia.functions.template import name
 from anualia.params import for_year
 from anualia.plans import payroll
 from anualia.plans.fees import NAME
 
-MONTH_WORDS = [name for name in MONTH_NAMES if name != "setiembre"]
+MONTH_WORDS = [word for word in MONTH_NAMES if word != "setiembre"]
 BOOK_FILES = [f"lre_{word}_{part}.csv" for word in MONTH_WORDS for part in range(3)]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, table_name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table_name}.parquet")
 
 
-def dotted(c: Column) -> Column:
+def dotted(value: str) -> str:
     """Whole number with dots between thousands."""
-    return F.translate(F.format_number(c, 0), ",", ".")
+    return f"translate(format_number({value}, 0), ',', '.')"
 
 
-def every(key: str, n: int) -> Column:
-    return F.col(key) % n == 0
+def check_char(key: str) -> str:
+    return f"substring('0123456789K', cast({key} % 11 + 1 AS INT), 1)"
 
 
-def check_char(key: Column) -> Column:
-    return F.substring(F.lit("0123456789K"), (key % 11 + 1).cast("int"), F.lit(1))
+def rut_text(key: str, span: int, start: int) -> str:
+    return f"concat({key} % {span} + {start}, '-', {check_char(key)})"
 
 
-def rut_text(key: Column, span: int, start: int) -> Column:
-    return F.concat((key % span + start).cast("string"), F.lit("-"), check_char(key))
-
-
-def month_word(date: str) -> Column:
-    return F.element_at(F.lit(MONTH_WORDS), F.month(date))
+def month_word(date: str) -> str:
+    return f"get(array{tuple(MONTH_WORDS)}, month({date}) - 1)"
 
 
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fee receipts: one per order, payee = customer."""
-    orders = table(spark, sf_dir, "orders")
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    gross = F.floor("o_totalprice")
-    base = int_div(gross * 145 + 500, 1000)
-    withheld = (
-        F.when(every("o_orderkey", 4), F.lit(0))
-        .when(F.col("o_orderkey") % 4 == 1, base)
-        .otherwise(base + int_div(gross * 30, 1000))
+    base = "((_gross * 145 + 500) DIV 1000)"
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "o_custkey", "o_orderkey", "o_orderdate", "floor(o_totalprice) AS _gross",
+        "CASE o_orderstatus WHEN 'O' THEN 'VIGENTE' WHEN 'F' THEN 'ANULADA' WHEN 'P' THEN 'Totales* :' END AS Estado",
     )
-    status = F.element_at(
-        F.create_map(*[F.lit(x) for x in ("O", "VIGENTE", "F", "ANULADA", "P", "Totales* :")]),
-        F.col("o_orderstatus"),
+    rows = orders.selectExpr(
+        "*",
+        f"CASE o_orderkey % 4 WHEN 0 THEN 0L WHEN 1 THEN {base} ELSE {base} + (_gross * 30) DIV 1000 END AS _held",
     )
-    rows = orders.select(
-        "o_custkey", "o_orderkey", "o_orderdate", status.alias("Estado"),
-        gross.alias("_gross"), withheld.alias("_withheld"),
-    )
-    name = F.when(F.month("o_orderdate") % 2 == 0, F.upper("c_name")).otherwise(F.col("c_name"))
-    return rows.join(customer, rows.o_custkey == customer.c_custkey).select(
-        F.date_format("o_orderdate", "dd/MM/yyyy").alias("Fecha"),
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return rows.join(customer, rows.o_custkey == customer.c_custkey).selectExpr(
+        "date_format(o_orderdate, 'dd/MM/yyyy') AS Fecha",
         "Estado",
-        rut_text(F.col("o_custkey"), 80_000_000, 10_000_000).alias("Rut"),
-        name.alias(NAME),
-        F.when(every("o_orderkey", 5), F.format_number("_gross", 0))
-        .otherwise(F.col("_gross").cast("string")).alias("Brutos"),
-        F.col("_withheld").cast("string").alias("Retenido"),
-        (F.col("_gross") - F.col("_withheld")).cast("string").alias("Pagado"),
-        F.concat(F.lit("m"), F.month("o_orderdate").cast("string")).alias("Archivo_Origen"),
-        F.col("o_orderkey").alias("ord"),
+        f"{rut_text('o_custkey', 80_000_000, 10_000_000)} AS Rut",
+        f"IF(month(o_orderdate) % 2 = 0, upper(c_name), c_name) AS {name(NAME)}",
+        "IF(o_orderkey % 5 = 0, format_number(_gross, 0), cast(_gross AS STRING)) AS Brutos",
+        "cast(_held AS STRING) AS Retenido",
+        "cast(_gross - _held AS STRING) AS Pagado",
+        "concat('m', month(o_orderdate)) AS Archivo_Origen",
+        "o_orderkey AS ord",
     )
 
 
 def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fee reports as markup: one small report per receipt, some of them unusable."""
-    r = receipts(spark, sf_dir)
-    company = F.replace(F.upper(NAME), F.lit("#"), F.lit(" "))
-
-    def cell(c: Column | str) -> Column:
-        return F.concat(F.lit("<td class='x'>"), F.col(c) if isinstance(c, str) else c, F.lit("</td>"))
-
-    top = F.concat(
-        F.lit("<html><body><!-- <table><tr><td>old</td></tr></table> --><table border=1><tr><td colspan=8>Contribuyente: "),
-        company, F.lit("</td></tr>\n<tr><td>RUT&nbsp;: "), F.col("Rut"), F.lit("</td></tr>\n"),
-    )
-    status_header = F.when(every("ord", 50), "Situacion").otherwise("Estado")
-    header = F.concat(
-        F.lit("<tr><td>N&deg;</td><td>Fecha</td><td>&nbsp;"), status_header,
-        F.lit("</td><td>Rut</td><td><b>Nombre&nbsp;o Raz&oacute;n Social</b></td>"
-              "<td>Brutos</td><td>Retenido</td><td>Pagado</td></tr>\n"),
-    )
-    row = F.concat(
-        F.lit("<tr>"), cell(F.col("ord").cast("string")), cell("Fecha"), cell("Estado"), cell("Rut"), cell(NAME),
-        cell("Brutos"), cell("Retenido"), cell("Pagado"), F.lit("</tr>\n"),
-    )
-    total = F.lit("<tr><td colspan=5>Totales* :</td><td>1</td><td>1</td><td>1</td></tr></table></body></html>")
-    html = F.when(every("ord", 77), F.concat(F.lit("<p>"), F.col("Rut"), F.lit("</p>"))).otherwise(
-        F.concat(top, header, row, total)
-    )
-    return r.select(
-        F.concat(F.lit("r"), F.col("ord").cast("string")).alias("file"),
-        F.col("ord").alias("file_no"),
-        html.alias("html"),
+    cells = ["ord", "Fecha", "Estado", "Rut", name(NAME), "Brutos", "Retenido", "Pagado"]
+    row = ", ".join(f"'<td class=x>', {c}, '</td>'" for c in cells)
+    html = f"""concat(
+        '<html><body><!-- <table><tr><td>old</td></tr></table> -->',
+        '<table border=1><tr><td colspan=8>Contribuyente: ', replace(upper({name(NAME)}), '#', ' '),
+        '</td></tr>\n<tr><td>RUT&nbsp;: ', Rut, '</td></tr>\n',
+        '<tr><td>N&deg;</td><td>Fecha</td><td>&nbsp;', IF(ord % 50 = 0, 'Situacion', 'Estado'),
+        '</td><td>Rut</td><td><b>Nombre&nbsp;o Raz&oacute;n Social</b></td>',
+        '<td>Brutos</td><td>Retenido</td><td>Pagado</td></tr>\n',
+        '<tr>', {row}, '</tr>\n',
+        '<tr><td colspan=5>Totales* :</td><td>1</td><td>1</td><td>1</td></tr></table></body></html>')"""
+    return receipts(spark, sf_dir).selectExpr(
+        "concat('r', ord) AS file", "ord AS file_no",
+        f"IF(ord % 77 = 0, concat('<p>', Rut, '</p>'), {html}) AS html",
     )
 
 
 def rental_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rental sheet as text: one property per supplier and part."""
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_suppkey", "l_partkey", F.floor("l_extendedprice").alias("_rent"), F.month("l_shipdate").alias("_m")
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_suppkey", "l_partkey", "floor(l_extendedprice) AS _rent", "month(l_shipdate) AS _m"
     )
-    months = [f"_m{i + 1}" for i in range(12)]
     properties = lines.groupBy("l_suppkey", "l_partkey").agg(
-        *[F.sum(F.when(F.col("_m") == i + 1, F.col("_rent"))).alias(c) for i, c in enumerate(months)]
+        *[F.expr(f"sum(CASE WHEN _m = {i + 1} THEN _rent END) AS _m{i + 1}") for i in range(12)]
     )
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     placed = properties.join(supplier, properties.l_suppkey == supplier.s_suppkey).join(
-        nation, F.col("s_nationkey") == F.col("n_nationkey")
-    )
-    part = F.col("l_partkey")
-    landlord = F.concat(
-        F.lit(" "), dotted(F.col("l_suppkey") % 80_000_000 + 10_000_000), F.lit("-"),
-        F.lower(check_char(F.col("l_suppkey"))),
-    )
-    return placed.select(
-        (part * 10_000_000 + F.col("l_suppkey")).alias("row_no"),
-        F.when(every("l_partkey", 101), "").otherwise((part % 97).cast("string")).alias("Rol_Parte_1"),
-        part.cast("string").alias("Rol_Parte_2"),
-        F.when(~every("l_partkey", 103), (F.col("n_nationkey") + 13100).cast("string")).alias("Codigo_Comuna"),
-        F.when(every("l_partkey", 107), " ").otherwise(F.concat(F.col("n_name"), F.lit(" "))).alias("Comuna"),
-        F.when(every("l_partkey", 109), "sin rut").otherwise(landlord).alias("Rut_Arrendador"),
-        F.when(~every("l_partkey", 4), rut_text(part, 9_000_000, 1_000_000)).alias("Rut_Arrendatario"),
+        nation, supplier.s_nationkey == nation.n_nationkey
+    )
+    landlord = f"concat(' ', {dotted('l_suppkey % 80000000 + 10000000')}, '-', lower({check_char('l_suppkey')}))"
+    return placed.selectExpr(
+        "l_partkey * 10000000 + l_suppkey AS row_no",
+        "IF(l_partkey % 101 = 0, '', cast(l_partkey % 97 AS STRING)) AS Rol_Parte_1",
+        "cast(l_partkey AS STRING) AS Rol_Parte_2",
+        "CASE WHEN l_partkey % 103 <> 0 THEN cast(n_nationkey + 13100 AS STRING) END AS Codigo_Comuna",
+        "IF(l_partkey % 107 = 0, ' ', concat(n_name, ' ')) AS Comuna",
+        f"IF(l_partkey % 109 = 0, 'sin rut', {landlord}) AS Rut_Arrendador",
+        f"CASE WHEN l_partkey % 4 <> 0 THEN {rut_text('l_partkey', 9_000_000, 1_000_000)} END AS Rut_Arrendatario",
         *[
-            F.when(every("l_partkey", 137), "0").otherwise(dotted(F.col(c))).alias(f"Monto_{m}")
-            for c, m in zip(months, MONTHS)
+            f"IF(l_partkey % 137 = 0, '0', {dotted(f'_m{i + 1}')}) AS Monto_{m}" for i, m in enumerate(MONTHS)
         ],
-        F.when(every("l_partkey", 113), "9").when(~every("l_partkey", 3), "2").alias("Amoblado"),
-        F.when(every("l_partkey", 127), "7").when(every("l_partkey", 4), "")
-        .otherwise((part % 6 + 1).cast("string")).alias("Destino_Arriendo"),
-        F.when(every("l_partkey", 2), " x ").alias("DFL2"),
-        F.when(every("l_partkey", 131), "x").when(every("l_partkey", 5), "  ").otherwise("1")
-        .alias("Naturaleza_Bien_Raiz"),
+        "CASE WHEN l_partkey % 113 = 0 THEN '9' WHEN l_partkey % 3 <> 0 THEN '2' END AS Amoblado",
+        "CASE WHEN l_partkey % 127 = 0 THEN '7' WHEN l_partkey % 4 = 0 THEN ''"
+        " ELSE cast(l_partkey % 6 + 1 AS STRING) END AS Destino_Arriendo",
+        "CASE WHEN l_partkey % 2 = 0 THEN ' x ' END AS DFL2",
+        "CASE WHEN l_partkey % 131 = 0 THEN 'x' WHEN l_partkey % 5 = 0 THEN '  ' ELSE '1' END AS Naturaleza_Bien_Raiz",
     )
 
 
 def payroll_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payroll figures as integers, one line per order, before they become text."""
     params = for_year()
-    price = F.col("price")
-    orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", F.month("o_orderdate").alias("month_no"),
-        month_word("o_orderdate").alias("word"), F.floor("o_totalprice").alias("price"),
-    )
 
-    def some(n: int, c: Column) -> Column:
-        return F.when(every("o_orderkey", n), c).otherwise(F.lit(0).cast("bigint"))
-
-    figures = orders.withColumn("earnings", price * 30).withColumn("contributions", int_div(F.col("earnings"), 5))
-    return figures.select(
-        "o_orderkey", "o_custkey", "month_no", "word", "price", "earnings", "contributions",
-        F.element_at(F.lit(list(MONTHS)), F.col("month_no")).alias("month"),
-        tax_forward(F.col("earnings") - F.col("contributions"), F.col("month_no"), params).alias("tax"),
-        some(29, F.col("o_orderkey") % 1000 + 12345).alias("severance_tax"),
-        some(31, F.lit(1000)).alias("backpay_tax"),
-        some(37, F.lit(-500)).alias("difference_tax"),
-        some(19, int_div(price, 100)).alias("extra_tax"),
-        some(23, int_div(price, 50)).alias("loan"),
-        some(13, int_div(price, 10)).alias("zone_rebate"),
-        some(7, int_div(price, 20)).alias("untaxed"),
-        some(5, int_div(price, 30)).alias("untaxed_other"),
-        int_div(F.col("earnings"), 25).alias("employer"),
-        int_div(price, 200).alias("health_extra"),
-        int_div(price, 300).alias("savings"),
+    def some(n: int, value: str, alias: str) -> str:
+        return f"IF(o_orderkey % {n} = 0, {value}, 0L) AS {alias}"
+
+    figures = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "o_custkey", "month(o_orderdate) AS month_no", "floor(o_totalprice) AS price",
+        f"{month_word('o_orderdate')} AS word",
+    ).selectExpr("*", "price * 30 AS earnings", "(price * 30) DIV 5 AS contributions")
+    based = figures.selectExpr(
+        "*", "earnings - contributions AS _base", f"{utm_sql('month_no', params)} AS _utm",
+        f"get(array{MONTHS}, month_no - 1) AS month",
+    )
+    return based.select("*", tax_forward("_base", "_utm", params).alias("tax")).selectExpr(
+        "o_orderkey", "o_custkey", "month_no", "word", "price", "earnings", "contributions", "month", "tax",
+        some(29, "o_orderkey % 1000 + 12345", "severance_tax"),
+        some(31, "1000L", "backpay_tax"),
+        some(37, "-500L", "difference_tax"),
+        some(19, "price DIV 100", "extra_tax"),
+        some(23, "price DIV 50", "loan"),
+        some(13, "price DIV 10", "zone_rebate"),
+        some(7, "price DIV 20", "untaxed"),
+        some(5, "price DIV 30", "untaxed_other"),
+        "earnings DIV 25 AS employer", "price DIV 200 AS health_extra", "price DIV 300 AS savings",
     )
 
 
 def payroll_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payroll book as text under the official headers."""
-    df = payroll_numbers(spark, sf_dir)
-
-    def text(name: str) -> Column:
-        return F.col(name).cast("string")
-
-    earnings = F.when(every("o_orderkey", 3), F.concat(F.lit("$ "), dotted(F.col("earnings")), F.lit(",00"))).otherwise(
-        text("earnings")
-    )
-    worker = F.when(every("o_custkey", 211), " ").otherwise(
-        F.concat(dotted(F.col("o_custkey") % 80_000_000 + 10_000_000), F.lit("-"), check_char(F.col("o_custkey")))
-    )
-    end = F.when(every("o_orderkey", 17), "31/12/2025").when(every("o_orderkey", 3), "NaT").when(
-        every("o_orderkey", 2), " "
-    )
-    workday = F.when(every("o_orderkey", 11), "701").when(F.col("o_orderkey") % 11 == 2, "abc").otherwise("101")
+    worker = f"concat({dotted('o_custkey % 80000000 + 10000000')}, '-', {check_char('o_custkey')})"
     columns = {
-        payroll.COL_RUT: worker,
-        payroll.COL_CONTRACT_END: end,
-        payroll.COL_WORKDAY: workday,
-        payroll.COL_EARNINGS: earnings,
-        payroll.COL_EARNINGS_UNTAXED: text("untaxed"),
-        payroll.COL_EARNINGS_OTHER: text("untaxed_other"),
-        payroll.COL_PENSION: F.lit("0"),
-        payroll.COL_HEALTH: F.lit("-"),
-        payroll.COL_HEALTH_EXTRA: text("health_extra"),
-        payroll.COL_UNEMPLOYMENT: F.lit("0"),
-        payroll.COL_HEAVY_WORK: F.lit(""),
-        payroll.COL_SAVINGS_B: text("savings"),
-        payroll.COL_TAX: text("tax"),
-        payroll.COL_TAX_SEVERANCE: text("severance_tax"),
-        payroll.COL_TAX_EXTRA: text("extra_tax"),
-        payroll.COL_TAX_BACKPAY: text("backpay_tax"),
-        payroll.COL_TAX_DIFFERENCE: text("difference_tax"),
-        payroll.COL_LOAN: text("loan"),
-        payroll.COL_ZONE_REBATE: text("zone_rebate"),
-        payroll.COL_CONTRIBUTIONS: text("contributions"),
-        payroll.COL_EMPLOYER: text("employer"),
+        payroll.COL_RUT: f"IF(o_custkey % 211 = 0, ' ', {worker})",
+        payroll.COL_CONTRACT_END: "CASE WHEN o_orderkey % 17 = 0 THEN '31/12/2025' WHEN o_orderkey % 3 = 0 THEN 'NaT'"
+        " WHEN o_orderkey % 2 = 0 THEN ' ' END",
+        payroll.COL_WORKDAY: "CASE o_orderkey % 11 WHEN 0 THEN '701' WHEN 2 THEN 'abc' ELSE '101' END",
+        payroll.COL_EARNINGS: f"IF(o_orderkey % 3 = 0, concat('$ ', {dotted('earnings')}, ',00'), string(earnings))",
+        payroll.COL_EARNINGS_UNTAXED: "string(untaxed)",
+        payroll.COL_EARNINGS_OTHER: "string(untaxed_other)",
+        payroll.COL_PENSION: "'0'",
+        payroll.COL_HEALTH: "'-'",
+        payroll.COL_HEALTH_EXTRA: "string(health_extra)",
+        payroll.COL_UNEMPLOYMENT: "'0'",
+        payroll.COL_HEAVY_WORK: "''",
+        payroll.COL_SAVINGS_B: "string(savings)",
+        payroll.COL_TAX: "string(tax)",
+        payroll.COL_TAX_SEVERANCE: "string(severance_tax)",
+        payroll.COL_TAX_EXTRA: "string(extra_tax)",
+        payroll.COL_TAX_BACKPAY: "string(backpay_tax)",
+        payroll.COL_TAX_DIFFERENCE: "string(difference_tax)",
+        payroll.COL_LOAN: "string(loan)",
+        payroll.COL_ZONE_REBATE: "string(zone_rebate)",
+        payroll.COL_CONTRIBUTIONS: "string(contributions)",
+        payroll.COL_EMPLOYER: "string(employer)",
     }
-    file = F.concat(
-        F.lit("lre_"), F.col("word"), F.lit("_"), (F.col("o_orderkey") % 3).cast("string"), F.lit(".csv")
-    )
-    return df.select(
-        *[c.alias(name) for name, c in columns.items()],
-        F.col("month").alias("MES_DJ"), file.alias("ARCHIVO_ORIGEN"), F.col("o_orderkey").alias("ord"),
+    return payroll_numbers(spark, sf_dir).selectExpr(
+        *[f"{sql} AS {name(header)}" for header, sql in columns.items()],
+        "month AS MES_DJ",
+        "concat('lre_', word, '_', o_orderkey % 3, '.csv') AS ARCHIVO_ORIGEN",
+        "o_orderkey AS ord",
     )

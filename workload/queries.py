@@ -73,30 +73,27 @@ def fee_report_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def month_from_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Month told by a file name; the first name in calendar order wins."""
-    word = F.when(F.col("o_orderkey") % 10 == 0, F.lit("resumen")).when(
-        (F.col("o_orderkey") % 10 == 1) & (F.month("o_orderdate") == 9), F.lit("SETIEMBRE")
-    ).otherwise(a.month_word("o_orderdate"))
-    lead = F.when(F.col("o_orderkey") % 7 == 0, F.lit("libro_mayor_")).otherwise(F.lit("Libro_"))
-    name = F.concat(lead, word, F.lit("_"), F.col("o_orderkey").cast("string"), F.lit(".csv"))
-    return a.table(spark, sf_dir, "orders").select(
-        "o_orderkey", name.alias("file"), months.month_from_name(name).alias("month")
-    )
-
-
-def _supplier_text() -> Column:
-    name = F.when(a.every("s_suppkey", 9), F.lit("?")).otherwise(F.replace("s_name", F.lit("#"), F.lit(" ")))
-    number = F.when(a.every("s_suppkey", 7), F.lit("sin numero")).otherwise(
-        F.concat(a.dotted(F.col("s_suppkey") % 80_000_000 + 10_000_000), F.lit(" - "), F.lower(a.check_char(F.col("s_suppkey"))))
-    )
-    return F.concat(F.lit("Informe 2025 contribuyente: "), name, F.lit("  Rut: "), number, F.lit(" fin"))
+    orders = a.table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"""concat(
+        IF(o_orderkey % 7 = 0, 'libro_mayor_', 'Libro_'),
+        CASE WHEN o_orderkey % 10 = 0 THEN 'resumen'
+             WHEN o_orderkey % 10 = 1 AND month(o_orderdate) = 9 THEN 'SETIEMBRE'
+             ELSE {a.month_word('o_orderdate')} END,
+        '_', o_orderkey, '.csv') AS file""")
+    return orders.withColumn("month", months.month_from_name(F.col("file")))
 
 
 def _contributors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = _supplier_text()
-    return a.table(spark, sf_dir, "supplier").select(
-        "s_suppkey", "s_nationkey", F.col("s_suppkey").alias("file_no"),
-        html_reports.contributor_name(text).alias("Nombre_Empresa_Declarante"),
-        html_reports.contributor_rut(text).alias("Rut_Empresa_Declarante"),
+    number = a.dotted("s_suppkey % 80000000 + 10000000")
+    suppliers = a.table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey", "s_nationkey", "s_suppkey AS file_no",
+        f"""concat('Informe 2025 contribuyente: ', IF(s_suppkey % 9 = 0, '?', replace(s_name, '#', ' ')),
+            '  Rut: ', IF(s_suppkey % 7 = 0, 'sin numero',
+                concat({number}, ' - ', lower({a.check_char('s_suppkey')}))), ' fin') AS text""",
+    )
+    return suppliers.select(
+        "s_suppkey", "s_nationkey", "file_no",
+        html_reports.contributor_name(F.col("text")).alias("Nombre_Empresa_Declarante"),
+        html_reports.contributor_rut(F.col("text")).alias("Rut_Empresa_Declarante"),
     )
 
 
@@ -116,7 +113,7 @@ def last_declarant(spark: SparkSession, sf_dir: str) -> DataFrame:
 def payroll_book_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly payroll books written as CSV folders and read back with all checks."""
     book = a.payroll_book(spark, sf_dir)
-    word = F.element_at(F.lit(a.MONTH_WORDS), months.month_number(F.col("MES_DJ")))
+    word = months.pick(a.MONTH_WORDS, months.month_number(F.col("MES_DJ")))
     path = new_path(spark, "books")
     book.select(*[quoted(c) for c in payroll.BOOK_COLUMNS], F.concat(F.lit("lre_"), word).alias("book")).write.partitionBy(
         "book"
@@ -174,33 +171,23 @@ def amount_clean_locale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _amount_query(spark, sf_dir, amounts.clean_amount_locale)
 
 
-def _amount_query(spark: SparkSession, sf_dir: str, clean: Callable[[Column], Column]) -> DataFrame:
-    whole = F.floor("l_extendedprice")
-    cents = F.lpad((F.col("l_orderkey") % 100).cast("string"), 2, "0")
-    digits = whole.cast("string")
+def _amount_query(spark: SparkSession, sf_dir: str, clean: Callable[[str], Column]) -> DataFrame:
+    dots = a.dotted("w")
     shapes = [
-        F.lit(None).cast("string"),
-        F.lit(" - "),
-        F.concat(F.lit(" "), digits, F.lit(" ")),
-        F.concat(digits, F.lit(".00")),
-        F.concat(F.lit("$ "), a.dotted(whole), F.lit(","), cents),
-        a.dotted(whole),
-        F.format_number(whole, 0),
-        F.concat(digits, F.lit("."), cents),
-        F.concat(digits, F.lit(","), cents),
-        F.concat(digits, F.lit(".5")),
-        F.concat(F.lit("-"), digits, F.lit(".000")),
-        F.concat(F.lit("-"), a.dotted(whole)),
-        F.concat(F.lit("n"), digits),
-        F.concat(digits, F.lit("e1")),
+        "NULL", "' - '", "concat(' ', w, ' ')", "concat(w, '.00')", f"concat('$ ', {dots}, ',', cents)", dots,
+        "format_number(w, 0)", "concat(w, '.', cents)", "concat(w, ',', cents)", "concat(w, '.5')",
+        "concat('-', w, '.000')", f"concat('-', {dots})", "concat('n', w)", "concat(w, 'e1')",
     ]
-    shape = (F.col("l_orderkey") + F.col("l_linenumber")) % len(shapes)
-    text = F.when(shape == 0, shapes[0])
-    for i, s in enumerate(shapes[1:], 1):
-        text = text.when(shape == i, s)
-    return a.table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", text.alias("text")
-    ).withColumn("amount", clean(F.col("text")))
+    arms = " ".join(f"WHEN {i} THEN {s}" for i, s in enumerate(shapes))
+    lines = a.table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "l_partkey", "floor(l_extendedprice) AS w",
+        "lpad(string(l_orderkey % 100), 2, '0') AS cents",
+    )
+    texts = lines.selectExpr(
+        "l_orderkey", "l_linenumber", "l_partkey",
+        f"CASE (l_orderkey + l_linenumber) % {len(shapes)} {arms} END AS text",
+    )
+    return texts.withColumn("amount", clean("text"))
 
 
 @query
@@ -217,25 +204,20 @@ def rut_normalize_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def amount_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amounts as shown, with dots between thousands."""
-    amount = F.when(~a.every("o_orderkey", 6), F.floor("o_totalprice") * (F.col("o_orderkey") % 3 - 1))
-    return a.table(spark, sf_dir, "orders").select("o_orderkey", amounts.format_amount(amount).alias("shown"))
+    orders = a.table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "IF(o_orderkey % 6 <> 0, floor(o_totalprice) * (o_orderkey % 3 - 1), NULL) AS amount"
+    )
+    return orders.select("o_orderkey", amounts.format_amount(F.col("amount")).alias("shown"))
 
 
 @query
 def receipt_date_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receipt dates with and without leading zeros, and bad ones."""
-    date = F.col("o_orderdate")
-    kind = F.col("o_orderkey") % 5
-    text = (
-        F.when(kind == 0, F.date_format(date, "dd/MM/yyyy"))
-        .when(kind == 1, F.date_format(date, "d/M/yyyy"))
-        .when(kind == 2, F.date_format(date, "yyyy-MM-dd"))
-        .when(kind == 3, F.concat(F.lit("31/"), F.date_format(date, "MM/yyyy")))
-    )
-    parsed = months.receipt_date(text)
-    return a.table(spark, sf_dir, "orders").select(
-        "o_orderkey", text.alias("text"), parsed.alias("date"), F.month(parsed).alias("month_no")
-    )
+    orders = a.table(spark, sf_dir, "orders").selectExpr("o_orderkey", """CASE o_orderkey % 5
+        WHEN 0 THEN date_format(o_orderdate, 'dd/MM/yyyy') WHEN 1 THEN date_format(o_orderdate, 'd/M/yyyy')
+        WHEN 2 THEN date_format(o_orderdate, 'yyyy-MM-dd')
+        WHEN 3 THEN concat('31/', date_format(o_orderdate, 'MM/yyyy')) END AS text""")
+    return orders.withColumn("date", months.receipt_date(F.col("text"))).withColumn("month_no", F.month("date"))
 
 
 # ---- fees --------------------------------------------------------------------
@@ -290,7 +272,7 @@ def fee_other_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def fee_missing_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receipts whose date cannot be read, hence without a factor."""
-    bad = F.when(a.every("ord", 10), F.lit("sin fecha")).otherwise(F.col("Fecha"))
+    bad = F.expr("IF(ord % 10 = 0, 'sin fecha', Fecha)")
     return fees.missing_factor_issues(fees.detail(a.receipts(spark, sf_dir).withColumn("Fecha", bad)))
 
 
@@ -355,10 +337,11 @@ def rent_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _books_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order as an uploaded monthly file of its customer; some names tell no month."""
-    name = F.when(a.every("o_orderkey", 40), F.lit("libro.csv")).otherwise(
-        F.concat(F.lit("lre_"), a.month_word("o_orderdate"), F.lit(".csv"))
+    names = a.table(spark, sf_dir, "orders").selectExpr(
+        "o_custkey",
+        f"IF(o_orderkey % 40 = 0, 'libro.csv', concat('lre_', {a.month_word('o_orderdate')}, '.csv')) AS file",
     )
-    return a.table(spark, sf_dir, "orders").select("o_custkey", months.month_from_name(name).alias("month"))
+    return names.select("o_custkey", months.month_from_name(F.col("file")).alias("month"))
 
 
 @query
@@ -386,21 +369,21 @@ def tax_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def tax_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Income inferred from a tax amount."""
-    amount = F.floor("o_totalprice") - 5000
-    return a.table(spark, sf_dir, "orders").select(
-        "o_orderkey", amount.alias("tax"),
-        tax.tax_inverse(amount, F.month("o_orderdate"), for_year()).alias("income"),
-    )
+    taxes = _monthly(spark, sf_dir, "floor(o_totalprice) - 5000 AS tax")
+    return taxes.select("o_orderkey", "tax", tax.tax_inverse("tax", "utm", for_year()).alias("income"))
 
 
 @query
 def tax_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tax of the income inferred from a tax; it must be that tax again."""
-    income = tax.tax_inverse(F.floor("o_totalprice"), F.month("o_orderdate"), for_year())
-    return a.table(spark, sf_dir, "orders").select(
-        "o_orderkey", F.floor("o_totalprice").alias("tax"),
-        tax.tax_forward(income, F.month("o_orderdate"), for_year()).alias("again"),
-    )
+    taxes = _monthly(spark, sf_dir, "floor(o_totalprice) AS tax")
+    incomes = taxes.withColumn("income", tax.tax_inverse("tax", "utm", for_year()))
+    return incomes.select("o_orderkey", "tax", tax.tax_forward("income", "utm", for_year()).alias("again"))
+
+
+def _monthly(spark: SparkSession, sf_dir: str, amount: str) -> DataFrame:
+    utm = tax.utm_sql("month(o_orderdate)", for_year())
+    return a.table(spark, sf_dir, "orders").selectExpr("o_orderkey", amount, f"{utm} AS utm")
 
 
 @query
@@ -460,15 +443,14 @@ def payroll_worker_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 def payroll_period_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One period column per month."""
     base = payroll.worker_month(a.payroll_book(spark, sf_dir), files=a.BOOK_FILES)
-    pivot = base.groupBy("Rut_Trabajador").agg(*[c.alias(m) for m, c in payroll.period_pivot(base).items()])
-    return pivot.withColumns({m: payroll.period_text(F.col(m)) for m in months.MONTHS})
+    return base.groupBy("Rut_Trabajador").agg(*payroll.period_pivot()).withColumns(payroll.period_texts())
 
 
 @query
 def payroll_income_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One income column per month."""
     base = payroll.worker_month(a.payroll_book(spark, sf_dir), files=a.BOOK_FILES)
-    return base.groupBy("Rut_Trabajador").agg(*[c.alias(m) for m, c in payroll.income_pivot(base).items()])
+    return base.groupBy("Rut_Trabajador").agg(*payroll.income_pivot())
 
 
 @query

@@ -39,3 +39,9 @@ def with_computed(df: DataFrame, column: str, value: Column) -> DataFrame:
     expression into every filter or column that refers to it.
     """
     return df.select("*", F.explode(F.array(value)).alias(column))
+
+
+def select_computed(df: DataFrame, keep: list[str], values: dict[str, Column]) -> DataFrame:
+    """Select columns computed once, as ``with_computed`` does, in one step."""
+    row = F.struct(*[value.alias(column) for column, value in values.items()])
+    return df.select(*keep, F.inline(F.array(row)))

@@ -19,9 +19,16 @@ from anualia.scratch import materialize
 _POSITION_BITS = 33  # layout of monotonically_increasing_id: partition above, row below
 
 
+def sort_by(df: DataFrame, keys: list[Column]) -> DataFrame:
+    """Global sort whose keys are computed once per row, not once per comparison."""
+    names = [f"_key{i}" for i in range(len(keys))]
+    keyed = df.select("*", *[key.alias(n) for key, n in zip(keys, names)])
+    return keyed.orderBy(*[F.col(n).asc_nulls_last() for n in names]).drop(*names)
+
+
 def number_rows(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
     """Add ``name`` = 1..n in the order of ``keys``; the keys must be a total order."""
-    ordered = df.orderBy(*keys).withColumn("_id", F.monotonically_increasing_id())
+    ordered = sort_by(df, keys).withColumn("_id", F.monotonically_increasing_id())
     placed = materialize(ordered, "numbered")
 
     part = F.shiftright("_id", _POSITION_BITS)

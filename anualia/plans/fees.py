@@ -20,6 +20,7 @@ from anualia.functions.months import (
 )
 from anualia.functions.rut import normalize_rut, rut_order_raw
 from anualia.operators.quality import ERROR, WARNING, issue_table
+from anualia.operators.sequence import sort_by
 from anualia.operators.totals import summary_table, total
 from anualia.params import YearParameters, for_year
 
@@ -114,7 +115,7 @@ def annual(
 
 def sort_by_rut(df: DataFrame) -> DataFrame:
     """Order a list by RUT number; malformed ids come last."""
-    return df.orderBy(rut_order_raw(F.col("Rut")).asc_nulls_last(), F.col("Rut"))
+    return sort_by(df, [rut_order_raw(F.col("Rut")), F.col("Rut")])
 
 
 def return_list(annual_table: DataFrame, numbered_headings: bool = True) -> DataFrame:

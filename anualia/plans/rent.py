@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from anualia.functions.amounts import clean_amount_plain, half_up_sql, whole_number
 from anualia.functions.months import MONTHS, flag_sql
 from anualia.functions.rut import normalize_rut, rut_is_valid, rut_order
-from anualia.functions.template import name
+from anualia.functions.template import name, select_computed, with_computed
 from anualia.functions.text import CLEAN, clean_text, default_if_blank, strip
 from anualia.operators.conform import (
     conform_columns,
@@ -57,7 +57,7 @@ def conform(sheet: DataFrame) -> DataFrame:
         cleaned[c] = F.expr(default_if_blank(CLEAN.replace("{x}", c), default))
     for c in AMOUNT_COLUMNS:
         cleaned[c] = whole_number(c) if c in numeric else clean_amount_plain(c)
-    return df.withColumns(cleaned)
+    return select_computed(df, ["row_no"], {c: cleaned[c] for c in SHEET_COLUMNS})
 
 
 def index_amounts(
@@ -77,7 +77,8 @@ def index_amounts(
         "*", *[F.expr(f"{sql} AS Actualizado_{m}") for m, sql in zip(MONTHS, restated)]
     )
     flags = [F.expr(f"{flag_sql(f'Monto_{m} > 0')} AS {m}") for m in MONTHS]
-    return indexed.select("*", F.expr(" + ".join(INDEXED_COLUMNS) + " AS Monto_Arriendo"), *flags)
+    total_rent = F.expr(" + ".join(INDEXED_COLUMNS))
+    return with_computed(indexed, "Monto_Arriendo", total_rent).select("*", *flags)
 
 
 def base(

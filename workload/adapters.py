@@ -21,7 +21,14 @@ BOOK_FILES = [f"lre_{word}_{part}.csv" for word in MONTH_WORDS for part in range
 
 
 def table(spark: SparkSession, sf_dir: str, table_name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table_name}.parquet")
+    """A source table; one stored in fewer splits than there are cores is spread out.
+
+    A large table has far more splits than cores and is read as it lies, without
+    a shuffle. A file with a single row group would leave all but one core idle.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{table_name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def dotted(value: str) -> str:

@@ -27,13 +27,20 @@ def _parse(round_with: str) -> str:
         WHEN p RLIKE {quote(NUMBER)} THEN try_cast({round_with}(cast(p AS DOUBLE)) AS BIGINT) END"""
 
 
+_UNGROUPED = r"""CASE
+    WHEN {x} RLIKE r'^\s*-?[0-9,]+(\.[0-9]*)?\s*$' THEN replace({x}, ',', '')
+    ELSE {x} END"""
+_NOTATION = r"""CASE
+    WHEN t RLIKE r'^-?[0-9]+\.0+$' THEN t
+    WHEN contains(t, '.') AND contains(t, ',') THEN translate(replace(t, '.', ''), ',', '.')
+    WHEN t RLIKE r'\.[^.]{3}$' THEN replace(t, '.', '')
+    WHEN t RLIKE r',[^,]{3}$' THEN replace(t, ',', '')
+    WHEN contains(t, ',') THEN translate(t, ',', '.')
+    ELSE t END"""
+
 # Plain integers take the short way; only other texts go through the rules.
 COERCE_INTEGER = f"""CASE WHEN {{x}} RLIKE {quote(INTEGER)} THEN cast({{x}} AS BIGINT) ELSE coalesce(
-    transform(
-        array({STRIP.replace("{x}", """CASE
-            WHEN {x} RLIKE r'^\s*-?[0-9,]+(\.[0-9]*)?\s*$' THEN replace({x}, ',', '')
-            ELSE {x} END""")}),
-        {_parse("")})[0],
+    transform(array({STRIP.replace("{x}", _UNGROUPED)}), {_parse("")})[0],
     0L) END"""
 
 CLEAN_PLAIN = f"""coalesce(
@@ -42,15 +49,7 @@ CLEAN_PLAIN = f"""coalesce(
 
 CLEAN_LOCALE = f"""CASE WHEN {{x}} RLIKE {quote(INTEGER)} THEN cast({{x}} AS BIGINT) ELSE coalesce(
     transform(
-        transform(
-            array(translate({STRIP}, '$ ', '')),
-            t -> CASE
-                WHEN t RLIKE r'^-?[0-9]+\.0+$' THEN t
-                WHEN contains(t, '.') AND contains(t, ',') THEN translate(replace(t, '.', ''), ',', '.')
-                WHEN t RLIKE r'\.[^.]{{3}}$' THEN replace(t, '.', '')
-                WHEN t RLIKE r',[^,]{{3}}$' THEN replace(t, ',', '')
-                WHEN contains(t, ',') THEN translate(t, ',', '.')
-                ELSE t END),
+        transform(array(translate({STRIP}, '$ ', '')), t -> {_NOTATION}),
         {_parse("rint")})[0],
     0L) END"""
 

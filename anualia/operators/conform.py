@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from anualia.functions.template import name as quote_name
+from anualia.functions.template import with_computed
+
 
 def quoted(name: str) -> Column:
     """Column whose name may hold dots or blanks."""
@@ -29,9 +32,16 @@ def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def drop_blank_rows(df: DataFrame, names: list[str]) -> DataFrame:
-    """Drop rows in which every one of the named columns present is null."""
-    present = [n for n in names if n in df.columns]
-    return df.dropna(how="all", subset=present) if present else df
+    """Drop rows in which every one of the named columns present is null.
+
+    The test is a computed column: as a plain filter over two dozen columns it
+    would make constraint propagation try every combination of later aliases.
+    """
+    present = [quote_name(n) for n in names if n in df.columns]
+    if not present:
+        return df
+    blank = F.expr(" AND ".join(f"{n} IS NULL" for n in present))
+    return with_computed(df, "_blank", blank).filter("NOT _blank").drop("_blank")
 
 
 def conform_columns(df: DataFrame, names: list[str], keep: tuple[str, ...] = ()) -> DataFrame:

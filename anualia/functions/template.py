@@ -35,13 +35,15 @@ def apply(rule: str, x: str | Column) -> Column:
 def with_computed(df: DataFrame, column: str, value: Column) -> DataFrame:
     """Add a column that later filters and projections reuse, never recompute.
 
-    The one-element ``explode`` keeps the optimizer from copying a costly
-    expression into every filter or column that refers to it.
+    The value is computed in a projection of its own. The one-element ``explode``
+    on top keeps the optimizer from copying a costly expression into every filter
+    or column that refers to it.
     """
-    return df.select("*", F.explode(F.array(value)).alias(column))
+    computed = df.select("*", value.alias("_value"))
+    return computed.select(*[name(c) for c in df.columns], F.explode(F.array("_value")).alias(column))
 
 
 def select_computed(df: DataFrame, keep: list[str], values: dict[str, Column]) -> DataFrame:
     """Select columns computed once, as ``with_computed`` does, in one step."""
-    row = F.struct(*[value.alias(column) for column, value in values.items()])
-    return df.select(*keep, F.inline(F.array(row)))
+    computed = df.select(*keep, *[value.alias(column) for column, value in values.items()])
+    return computed.select(*keep, F.inline(F.array(F.struct(*values))))

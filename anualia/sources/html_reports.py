@@ -44,7 +44,7 @@ def read_pages(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """
     files = list_files(spark, paths)
     raw = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(list(paths))
+        spark.read.text(list(paths), wholetext=True, recursiveFileLookup=True)
         .select("value", "_metadata.file_path", F.col("_metadata.file_name").alias("file"))
     )
     html = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(
@@ -69,13 +69,13 @@ def html_cells(pages: DataFrame, ids: list[str], row_tag: str, cell_tag: str) ->
 def contributor_name(text: Column) -> Column:
     """Name of the declarant in a report's running text."""
     found = F.regexp_extract(text, NAME_PATTERN, 1)
-    return F.when(found == "", UNKNOWN).otherwise(strip(found))
+    return F.when(found != "", strip(found)).otherwise(UNKNOWN)
 
 
 def contributor_rut(text: Column) -> Column:
     """RUT of the declarant in a report's running text."""
     found = F.regexp_extract(text, RUT_PATTERN, 1)
-    return F.when(found == "", UNKNOWN).otherwise(normalize_rut(found))
+    return F.when(found != "", normalize_rut(found)).otherwise(UNKNOWN)
 
 
 def parse_reports(pages: DataFrame, columns: Sequence[str] = RECEIPT_COLUMNS) -> DataFrame:

@@ -6,9 +6,11 @@ import pytest
 
 import __spark_entry__ as entry_module
 from tests.compare import connect, difference
+from workload.oracle import all_sql
+from workload.queries import all_queries
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, SQL = all_queries(), all_sql()
 
 
 @pytest.fixture(scope="module")

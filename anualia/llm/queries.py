@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from anualia.llm import decontaminate, mixing, oracle, rules
+from anualia.llm import (
+    compression_quality, decontaminate, mixing, near_duplicates, oracle, pii, rules, token_counts, token_output,
+)
 from anualia.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+END_ID = 2
+
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document and how many of them the mix takes."""
@@ -28,11 +36,44 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.measured(table(spark, sf_dir, "documents"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and hash of the base spans of every document, and all spans."""
+    return pii.digests(pii.find_spans(table(spark, sf_dir, "documents")))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and greedy word pieces of every document."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.byte_vocabulary(VOCABULARY))
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = near_duplicates.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = compression_quality.fit(docs, table(spark, sf_dir, "labels"))
+    return compression_quality.score(docs, model).select(
+        "doc_id", compression_quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, as read from the written files."""
+    path = token_output.write_ids(table(spark, sf_dir, "documents"), TOKENIZER, END_ID)
+    return token_output.read_documents(spark, path)
+
+
 def all_queries() -> dict[str, Query]:
-    return {
-        f.__name__: f
-        for f in (op2_mix_sources, op3_decontaminate, op4_quality_rules)
-    }
+    found = (
+        op2_mix_sources, op3_decontaminate, op4_quality_rules, op5_personal_data, op6_token_counts,
+        op7_near_duplicates, op8_quality_classifier, op10_token_ids,
+    )
+    return {f.__name__: f for f in found}
 
 
 def all_sql() -> dict[str, str]:

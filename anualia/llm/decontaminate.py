@@ -103,7 +103,9 @@ def matches(
     wanted = broadcast_if_small(pairs.select("key").distinct())
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("key")), "left_semi")
-    shingled = texts.select("doc_id", _shingles(normal_words(F.col("text")), lengths, _joined).alias("held"))
+    # Words are a column of their own: inside a lambda an expression would be computed for every shingle.
+    shingled = texts.select("doc_id", normal_words(F.col("text")).alias("words"))
+    shingled = shingled.select("doc_id", _shingles(F.col("words"), lengths, _joined).alias("held"))
     found = F.size(F.array_intersect("held", "shingles"))
     return (
         shingled.join(broadcast_if_small(pairs), F.col("doc_id").eqNullSafe(F.col("key")))

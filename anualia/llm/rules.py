@@ -110,22 +110,23 @@ def repeated_words(words: Column) -> Column:
 # ---- rules ---------------------------------------------------------------------
 
 
-def _share(words: Column, test) -> Column:
-    return F.size(F.filter(words, test)) / F.size(words)
+def _more_than(share: float, words: Column, test) -> Column:
+    """Whether more than this share of the words pass the test; false without words."""
+    return F.size(F.filter(words, test)) > F.size(words) * share
 
 
 def default_rules() -> list[Rule]:
     """Rules beside the base ones; limits leave room for every language with word gaps."""
     words, text = F.col("words"), F.col("text")
     n_words = F.size(words)
-    mean = word_chars(words) / n_words
+    chars = word_chars(words)
     return [
-        Rule("mean_word_length", (mean < 2) | (mean > 14)),
+        Rule("mean_word_length", (chars < n_words * 2) | (chars > n_words * 14)),
         Rule("symbol_ratio", symbol_count(text) > 0.1 * n_words),
         Rule("duplicate_lines", duplicate_lines(text) > 0.3 * F.size(lines(text))),
-        Rule("capitals", _share(words, lambda w: (F.upper(w) == w) & (F.lower(w) != w)) > 0.6),
-        Rule("few_letters", _share(words, lambda w: F.lower(w) == F.upper(w)) > 0.4),
-        Rule("long_words", _share(words, lambda w: F.length(w) > 40) > 0.1),
+        Rule("capitals", _more_than(0.6, words, lambda w: (F.upper(w) == w) & (F.lower(w) != w))),
+        Rule("few_letters", _more_than(0.4, words, lambda w: F.lower(w) == F.upper(w))),
+        Rule("long_words", _more_than(0.1, words, lambda w: F.length(w) > 40)),
     ]
 
 
@@ -138,6 +139,15 @@ def base_rules() -> list[Rule]:
     ]
 
 
+def _with_words(rows: DataFrame) -> DataFrame:
+    """Add ``words`` behind a one-element explode.
+
+    A condition on a plain projection would be moved below it with the split in
+    place of the column, and inside a lambda it would run for every word.
+    """
+    return rows.select("*", F.explode(F.array(split_words(F.col("text")))).alias("words"))
+
+
 # ---- cascade -------------------------------------------------------------------
 
 
@@ -154,7 +164,7 @@ def order_rules(docs: DataFrame, rules: list[Rule], text_col: str = "text", samp
     part = docs.select(F.col(text_col).alias("text"))
     if total > sample_rows:
         part = part.sample(sample_rows / total, seed=42)
-    sample = materialize(part.withColumn("words", split_words(F.col("text"))), "rule-sample").coalesce(1)
+    sample = materialize(_with_words(part), "rule-sample").coalesce(1)
     _timed(sample, F.size("words") < 0)
     bare, _ = _timed(sample, F.size("words") < 0)
     value = {}
@@ -175,8 +185,7 @@ def verdict(rules: list[Rule]) -> Column:
 def cascade(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents that no rule rejects."""
     ordered = order_rules(docs, base_rules() + default_rules() if rules is None else rules, text_col, sample_rows)
-    rows = docs.select(F.struct("*").alias("doc"), F.col(text_col).alias("text"))
-    rows = rows.select("doc", "text", split_words(F.col("text")).alias("words"))
+    rows = _with_words(docs.select(F.struct("*").alias("doc"), F.col(text_col).alias("text")))
     return rows.where(verdict(ordered).isNull()).select("doc.*")
 
 
@@ -187,8 +196,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     documents; the other rules follow in the sampled order, on texts that passed.
     """
     ordered = order_rules(docs, default_rules(), text_col, sample_rows)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.select("doc_id", "text", split_words(F.col("text")).alias("words"))
+    rows = _with_words(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     base = rows.select(
         "doc_id", "text", "words",
         F.size("words").cast("long").alias("n_words"),

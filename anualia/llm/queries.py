@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anualia.llm import (
-    compression_quality, decontaminate, mixing, near_duplicates, oracle, pii, rules, token_counts, token_output,
+    compression_quality, decontaminate, html_extract, language_model, mixing, near_duplicates, oracle, pii, rules,
+    token_counts, token_output,
 )
 from anualia.llm.common import table
 
@@ -20,6 +22,13 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    found = html_extract.extract(pages, html_extract.fit(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document and how many of them the mix takes."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -62,6 +71,12 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and context-mixing score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return language_model.score(docs, language_model.fit(docs))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, length and checksum of every document's ids, as read from the written files."""
     path = token_output.write_ids(table(spark, sf_dir, "documents"), TOKENIZER, END_ID)
@@ -70,10 +85,10 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Query]:
     found = (
-        op2_mix_sources, op3_decontaminate, op4_quality_rules, op5_personal_data, op6_token_counts,
-        op7_near_duplicates, op8_quality_classifier, op10_token_ids,
+        op1_html_extract, op2_mix_sources, op3_decontaminate, op4_quality_rules, op5_personal_data, op6_token_counts,
+        op7_near_duplicates, op8_quality_classifier, op9_language_model, op10_token_ids,
     )
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def all_sql() -> dict[str, str]:

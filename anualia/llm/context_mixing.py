@@ -6,9 +6,9 @@ decisions in a Huffman tree. Each decision is predicted in several contexts: by
 its node alone, and by its node with the last one, two and three symbols, hashed
 into tables of counts. The predictions' log-odds are mixed with weights picked
 by a gate (depth in the tree, and whether a word is being spelled). While a text
-is coded, the weights are refined by online gradient steps, ``BLOCK`` symbols at
-a time, starting anew every ``SEGMENT`` symbols, so that texts are coded side by
-side and a long text in pieces.
+is coded, the weights of the node and of its contexts are refined by online
+gradient steps, ``BLOCK`` symbols at a time, starting anew every ``SEGMENT``
+symbols, so that texts are coded side by side and a long text in pieces.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 
@@ -25,8 +26,9 @@ TABLE_BITS = 20
 SEGMENT = 256
 BLOCK = 16
 DEPTHS = 8
-RATE = 0.02
+RATE = 0.01
 PRIOR = 0.4
+ODDS_STEPS = 12
 _MIX = [np.uint32(m) for m in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 _NODE = np.uint32(0x27D4EB2F)
 _SPREAD = np.uint32(0x165667B1)
@@ -71,18 +73,22 @@ class Alphabet:
         symbols = {w: FIRST_WORD + i for i, w in enumerate(words)}
         return cls(symbols, start[:-1].astype(np.int32), length.astype(np.int32), nodes, bits)
 
-    def spell(self, words: list[bytes]) -> tuple[list[int], list[bytes]]:
+    def spell(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
         """Symbols of a text, and its words that are not head words."""
-        out, rest, get = [], [], self.symbols.get
-        for w in words:
-            s = get(w)
-            if s is None:
-                out.extend(w)
-                out.append(WORD_END)
-                rest.append(w)
-            else:
-                out.append(s)
-        out.append(TEXT_END)
+        known = np.fromiter(map(self.symbols.get, words, repeat(-1)), np.int32, len(words))
+        other = np.flatnonzero(known < 0)
+        rest = [words[i] for i in other.tolist()]
+        sizes = np.ones(len(words) + 1, np.int64)
+        letters = np.fromiter(map(len, rest), np.int64, len(rest))
+        sizes[other] += letters
+        stops = sizes.cumsum()
+        out = np.empty(int(stops[-1]), np.int32)
+        out[stops[:-1] - 1] = np.where(known < 0, WORD_END, known)  # a spelled word ends with its word end
+        out[-1] = TEXT_END
+        if rest:
+            first = stops[other] - sizes[other]
+            within = np.arange(int(letters.sum())) - np.repeat(letters.cumsum() - letters, letters)
+            out[np.repeat(first, letters) + within] = np.frombuffer(b"".join(rest), np.uint8)
         return out, rest
 
 
@@ -114,26 +120,30 @@ class Decisions:
 def expand(alphabet: Alphabet, symbols: np.ndarray, hashes: list[np.ndarray], after_byte: np.ndarray) -> Decisions:
     counts = alphabet.length[symbols]
     total = int(counts.sum())
-    ends = counts.cumsum()
-    depth = np.arange(total, dtype=np.int32) - np.repeat((ends - counts).astype(np.int32), counts)
-    path = np.repeat(alphabet.start[symbols], counts) + depth
-    nodes = alphabet.nodes[path]
+    begins = counts.cumsum() - counts
+    path = np.repeat(alphabet.start[symbols] - begins, counts)
+    path += np.arange(total)
+    depth = np.arange(total, dtype=np.int32)
+    depth -= np.repeat(begins.astype(np.int32), counts)
+    nodes = alphabet.nodes.take(path, mode="clip")
     mixed = nodes * _NODE
     slots = []
     for h in hashes:
-        at = (np.repeat(h, counts) ^ mixed) * _SPREAD
-        slots.append(at >> np.uint32(32 - TABLE_BITS))
-    return Decisions(alphabet.bits[path], nodes, depth, slots, counts, np.repeat(after_byte, counts))
+        at = np.repeat(h, counts)
+        at ^= mixed
+        at *= _SPREAD
+        at >>= np.uint32(32 - TABLE_BITS)
+        slots.append(at.astype(np.intp))
+    return Decisions(alphabet.bits.take(path, mode="clip"), nodes, depth, slots, counts, np.repeat(after_byte, counts))
 
 
-def runs(texts: Iterator[tuple[int, list[int]]], symbols_at_once: int = 24_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def runs(texts: Iterator[tuple[int, np.ndarray]], symbols_at_once: int = 12_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Symbols of many texts in pieces of bounded size: (symbols, place in the text, number of the text).
 
     A text longer than a piece goes on in the next one with its last symbols repeated as context.
     """
     symbols, places, texts_of, size = [], [], [], 0
-    for number, text in texts:
-        values = np.array(text, np.int32)
+    for number, values in texts:
         for first in range(0, len(values), symbols_at_once):
             some = values[max(first - ORDERS, 0) : first + symbols_at_once]
             place = np.arange(max(first - ORDERS, 0), max(first - ORDERS, 0) + len(some), dtype=np.int64)
@@ -167,14 +177,17 @@ def count(alphabet: Alphabet, pieces: Iterator[tuple[np.ndarray, np.ndarray, np.
         hashes, after, coded = _prepared(symbols, place, text)
         d = expand(alphabet, symbols[coded], [h[coded] for h in hashes], after[coded])
         for order, slot in enumerate(d.slots):
-            table[order] += np.bincount(slot << np.uint32(1) | d.bits, minlength=cells)
+            slot <<= 1
+            slot |= d.bits
+            table[order] += np.bincount(slot, minlength=cells)
     return table.reshape(-1)
 
 
 def stretched(counts: np.ndarray) -> np.ndarray:
-    """Log-odds tables from flat counts: one row for each order."""
+    """Log-odds tables from flat counts: one row for each order, in steps of 1 / ODDS_STEPS."""
     pairs = counts.reshape(ORDERS, -1, 2).astype(np.float32) + np.float32(PRIOR)
-    return np.log(pairs[:, :, 1] / pairs[:, :, 0])
+    odds = np.log(pairs[:, :, 1] / pairs[:, :, 0])
+    return np.clip(np.rint(odds * ODDS_STEPS), -127, 127).astype(np.int8)
 
 
 @dataclass(frozen=True)
@@ -195,12 +208,18 @@ class Model:
         order = np.flatnonzero(coded)
         order = order[np.argsort(step[order], kind="stable")]
         d = expand(self.alphabet, symbols[order], [h[order] for h in hashes], after[order])
-        inputs = [self.node_odds[d.nodes], *(t[s] for t, s in zip(self.tables, d.slots))]
-        gate = self.gates(d)
-        fixed = self.weights[gate, len(inputs)]
-        for j, x in enumerate(inputs):
-            fixed += self.weights[gate, j] * x
-        # One state for each segment: changes of the weights and of the bias.
+        gate = self.gates(d).astype(np.intp)
+        by_input = np.ascontiguousarray(self.weights.T)
+        alone = self.node_odds.take(d.nodes.astype(np.intp), mode="clip")
+        alone *= by_input[0].take(gate, mode="clip")
+        together = np.zeros(len(gate), np.float32)
+        for w, t, slot in zip(by_input[1:], self.tables, d.slots):
+            together += w.take(gate, mode="clip") * t.take(slot, mode="clip")
+        together *= np.float32(1 / ODDS_STEPS)
+        fixed = by_input[-1].take(gate, mode="clip")
+        fixed += alone
+        fixed += together
+        # One state for each segment: how much more or less the node alone and its contexts weigh, and a bias.
         key = text[order] * (1 << 40) + place[order] // SEGMENT
         _, segment = np.unique(key, return_inverse=True)
         new = np.ones(len(order), bool)
@@ -210,9 +229,9 @@ class Model:
         first = offsets[first_symbol]
         sizes = np.diff(np.append(first, offsets[-1]))
         block_step, block_segment = step[order][first_symbol], segment[first_symbol]
-        change = np.zeros((int(segment.max()) + 1 if len(segment) else 0, len(inputs) + 1), np.float32)
+        change = np.zeros((3, int(segment.max()) + 1 if len(segment) else 0), np.float32)
         cost = np.zeros(len(d.bits), np.float32)
-        sign = d.bits.astype(np.float32)
+        sign = d.bits.astype(np.float32) * 2 - 1
         for k in range(SEGMENT // BLOCK):
             low, high = np.searchsorted(block_step, [k, k + 1])
             if low == high:
@@ -221,17 +240,22 @@ class Model:
             states, lengths, starts = block_segment[low:high], sizes[low:high], first[low:high] - a
             z = fixed[a:b].copy()
             if k:
-                own = change[states]
-                z += np.repeat(own[:, -1], lengths)
-                for j, x in enumerate(inputs):
-                    z += np.repeat(own[:, j], lengths) * x[a:b]
-            p = np.float32(1) / (np.float32(1) + np.exp(-z))
+                own = np.repeat(change[:, states], lengths, axis=1)
+                z += own[0] * alone[a:b]
+                z += own[1] * together[a:b]
+                z += own[2]
+            # Probability of the decision taken; the other one has the rest.
             y = sign[a:b]
-            cost[a:b] = -np.log2(np.maximum(np.where(y > 0, p, np.float32(1) - p), np.float32(1e-7)))
-            error = y - p
-            change[states, -1] += np.float32(RATE) * np.add.reduceat(error, starts)
-            for j, x in enumerate(inputs):
-                change[states, j] += np.float32(RATE) * np.add.reduceat(error * x[a:b], starts)
+            z *= y
+            np.clip(z, -15, 15, out=z)
+            p = np.exp(-z)
+            p += 1
+            cost[a:b] = np.log2(p)
+            error = y * (1 - 1 / p)
+            error *= np.float32(RATE)
+            change[0, states] += np.add.reduceat(error * alone[a:b], starts)
+            change[1, states] += np.add.reduceat(error * together[a:b], starts)
+            change[2, states] += np.add.reduceat(error, starts)
         owner = np.repeat(text[order], d.counts)
         return np.bincount(owner, cost, texts)
 

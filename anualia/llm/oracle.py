@@ -61,10 +61,11 @@ m AS (SELECT d.doc_id, w, len(w)::BIGINT AS n_words, coalesce(length(array_to_st
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   len(list_filter(w, lambda x: upper(x) = x AND lower(x) <> x)) / n_words AS capitals,
   len(list_filter(w, lambda x: lower(x) = upper(x))) / n_words AS signs,
-  len(list_filter(w, lambda x: length(x) > 40)) / n_words AS long FROM m)
+  len(list_filter(w, lambda x: length(x) > 40)) / n_words AS long,
+  len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) / n_words AS stutter FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR word_chars / n_words < 2 OR word_chars / n_words > 14 OR n_symbols > 0.1 * n_words
-    OR n_dup_lines > 0.3 * n_lines OR capitals > 0.6 OR signs > 0.4 OR long > 0.1) AS kept FROM b"""
+    OR n_dup_lines > 0.5 * n_lines OR stutter > 0.3 OR capitals > 0.6 OR signs > 0.4 OR long > 0.1) AS kept FROM b"""
 
 
 def all_sql() -> dict[str, str]:

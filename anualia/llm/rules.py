@@ -123,7 +123,8 @@ def default_rules() -> list[Rule]:
     return [
         Rule("mean_word_length", (chars < n_words * 2) | (chars > n_words * 14)),
         Rule("symbol_ratio", symbol_count(text) > 0.1 * n_words),
-        Rule("duplicate_lines", duplicate_lines(text) > 0.3 * F.size(lines(text))),
+        Rule("duplicate_lines", duplicate_lines(text) > 0.5 * F.size(lines(text))),
+        Rule("stutter", F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1))) > n_words * 0.3),
         Rule("capitals", _more_than(0.6, words, lambda w: (F.upper(w) == w) & (F.lower(w) != w))),
         Rule("few_letters", _more_than(0.4, words, lambda w: F.lower(w) == F.upper(w))),
         Rule("long_words", _more_than(0.1, words, lambda w: F.length(w) > 40)),

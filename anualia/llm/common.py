@@ -39,3 +39,14 @@ def small(df: DataFrame, rows: int | None = None) -> bool:
 def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Broadcast hint behind a count; a larger frame joins by shuffle."""
     return F.broadcast(df) if small(df, rows) else df.hint("merge")
+
+
+def hashed_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
+    """About ``rows`` rows, at most that many: those with the least hash of their key.
+
+    A threshold on the hash picks them, so a task sends its share to the driver,
+    not its own first rows.
+    """
+    place = F.pmod(F.xxhash64(*key), F.lit(1 << 31))
+    share = min(1.0, 1.2 * rows / max(df.count(), 1))
+    return df.where(place < int(share * (1 << 31))).orderBy(place, *key).limit(rows)

@@ -9,8 +9,8 @@ is kept: nothing survives inside a dropped menu, and a doubtful wrapper stays
 when what it holds outweighs it.
 
 There are no labelled pages, so the trees learn from pages rebuilt for the
-purpose: paragraphs and words of at most ``SAMPLE_ROWS`` pages (least hash of
-the id, at most ``SAMPLE_CHARS`` long) are put into article and side parts of
+purpose: paragraphs and words of at most ``SAMPLE_ROWS`` pages (picked by a hash,
+at most ``SAMPLE_CHARS`` long) are put into article and side parts of
 randomly drawn layouts, which say what each node is. The draw is seeded;
 extraction reads every page whole.
 
@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anualia.llm.boosted import Forest, train
+from anualia.llm.common import hashed_sample
 from anualia.llm.dom import Page, Vocabulary, decode, features
 
 SAMPLE_ROWS = 300
@@ -180,7 +181,7 @@ def learn(paragraphs: list[str]) -> Model:
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Model:
     """Learn from paragraphs of a bounded sample of the pages."""
-    sample = pages.where(F.length(html_col) <= SAMPLE_CHARS).orderBy(F.xxhash64(id_col), html_col).limit(SAMPLE_ROWS)
+    sample = hashed_sample(pages.where(F.length(html_col) <= SAMPLE_CHARS), SAMPLE_ROWS, id_col, html_col)
     found = [re.sub(r"\s+", " ", t).strip() for r in sample.select(html_col).collect() for t in re.findall(r"(?is)<p[^>]*>([^<]{2,})", r[0])]
     return learn(found)
 

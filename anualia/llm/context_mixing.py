@@ -3,25 +3,27 @@
 Symbols are the 256 bytes, a word end, a text end and the head words. A token is
 its head word, or else its bytes and a word end. A symbol is a path of yes/no
 decisions in a Huffman tree. Each decision is predicted in several contexts: by
-its node alone, and by its node with the last one, two and three symbols, hashed
-into tables of counts. The predictions' log-odds are mixed with weights picked
-by a gate (depth in the tree, and whether a word is being spelled). While a text
-is coded, the weights of the node and of its contexts are refined by online
-gradient steps, ``BLOCK`` symbols at a time, starting anew every ``SEGMENT``
-symbols, so that texts are coded side by side and a long text in pieces.
+its node alone, and by its node with what came before, hashed into tables of
+counts: the last symbol, and the last two symbols or, inside a spelled word, the
+last three. The predictions' log-odds are mixed with weights picked by a gate
+(depth in the tree, and whether a word is being spelled). While a text is coded,
+the weights of the node and of its contexts are refined by online gradient
+steps, ``BLOCK`` symbols at a time, starting anew every ``SEGMENT`` symbols, so
+that texts are coded side by side and a long text in pieces.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 WORD_END, TEXT_END, FIRST_WORD = 256, 257, 258
-ORDERS = 3
+ORDERS = 2  # hashed contexts
 TABLE_BITS = 20
 SEGMENT = 256
 BLOCK = 16
@@ -29,6 +31,8 @@ DEPTHS = 8
 RATE = 0.01
 PRIOR = 0.4
 ODDS_STEPS = 12
+PIECE = 12_288  # symbols coded at once
+COUNTED_AT_ONCE = 1 << 23  # decisions that wait to be counted
 _MIX = [np.uint32(m) for m in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 _NODE = np.uint32(0x27D4EB2F)
 _SPREAD = np.uint32(0x165667B1)
@@ -36,16 +40,16 @@ _SPREAD = np.uint32(0x165667B1)
 
 @dataclass(frozen=True)
 class Alphabet:
-    """Head words by symbol, and for each symbol its path through the tree."""
+    """Head words in the order of their symbols, and for each symbol its path through the tree."""
 
-    symbols: dict[bytes, int]
+    words: pa.Array
     start: np.ndarray
     length: np.ndarray
     nodes: np.ndarray
     bits: np.ndarray
 
     @classmethod
-    def build(cls, words: list[bytes], weights: np.ndarray) -> Alphabet:
+    def build(cls, words: list[str], weights: np.ndarray) -> Alphabet:
         """Huffman tree over ``FIRST_WORD + len(words)`` symbols; every symbol has a code."""
         n = len(weights)
         heap = [(int(w) + 1, i) for i, w in enumerate(weights)]
@@ -70,39 +74,79 @@ class Alphabet:
         for k, (who, inner, bit) in enumerate(steps):  # from the leaf up, stored from the root down
             place = start[who] + length[who] - 1 - k
             nodes[place], bits[place] = inner, bit
-        symbols = {w: FIRST_WORD + i for i, w in enumerate(words)}
-        return cls(symbols, start[:-1].astype(np.int32), length.astype(np.int32), nodes, bits)
+        return cls(pa.array(words, pa.string()), start[:-1].astype(np.int32), length.astype(np.int32), nodes, bits)
 
-    def spell(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-        """Symbols of a text, and its words that are not head words."""
-        known = np.fromiter(map(self.symbols.get, words, repeat(-1)), np.int32, len(words))
+    def spell(self, texts: pa.Array) -> Spelled:
+        """Symbols of texts, lower-cased in A-Z, one after the other."""
+        offsets, words = split_words(texts)
+        known = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False)
         other = np.flatnonzero(known < 0)
-        rest = [words[i] for i in other.tolist()]
-        sizes = np.ones(len(words) + 1, np.int64)
-        letters = np.fromiter(map(len, rest), np.int64, len(rest))
+        rest = words.take(pa.array(other))
+        begins = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset) if len(words) else np.zeros(1, np.int32)
+        letters = np.diff(begins)[other].astype(np.int64)
+        sizes = np.ones(len(words), np.int64)
         sizes[other] += letters
-        stops = sizes.cumsum()
-        out = np.empty(int(stops[-1]), np.int32)
-        out[stops[:-1] - 1] = np.where(known < 0, WORD_END, known)  # a spelled word ends with its word end
-        out[-1] = TEXT_END
-        if rest:
-            first = stops[other] - sizes[other]
+        # Every text has one more symbol, its end, which moves the words of later texts on.
+        number = np.repeat(np.arange(len(texts)), np.diff(offsets))
+        stops = sizes.cumsum() + number
+        lengths = np.diff(np.append(0, sizes.cumsum())[offsets]) + 1
+        out = np.full(int(lengths.sum()), TEXT_END, np.int32)
+        out[stops - 1] = np.where(known < 0, WORD_END, known + FIRST_WORD)  # a spelled word ends with its word end
+        if len(other):
             within = np.arange(int(letters.sum())) - np.repeat(letters.cumsum() - letters, letters)
-            out[np.repeat(first, letters) + within] = np.frombuffer(b"".join(rest), np.uint8)
-        return out, rest
+            data = np.frombuffer(words.buffers()[2], np.uint8)
+            out[np.repeat(stops[other] - sizes[other], letters) + within] = data[np.repeat(begins[other], letters) + within]
+        text = np.repeat(np.arange(len(lengths)), lengths)
+        place = np.arange(len(out)) - np.repeat(lengths.cumsum() - lengths, lengths)
+        return Spelled(out, text, place, rest, number[other])
 
 
-def contexts(symbols: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
-    """Hashes of the last one, two and three symbols; before a text all are text ends."""
-    found, value = [], np.zeros(len(symbols), np.uint32)
-    for order in range(1, ORDERS + 1):
-        before = np.full(len(symbols), TEXT_END, np.uint32)
-        before[order:] = symbols[:-order]
-        before[place < order] = TEXT_END
-        value = (value + before + np.uint32(order)) * _MIX[order - 1]
-        value ^= value >> np.uint32(15)
-        found.append(value)
-    return found
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """All words of the texts, lower-cased in A-Z, and where each text's words begin."""
+    plain = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    lists = pc.ascii_split_whitespace(plain)
+    counts = np.where(pc.binary_length(plain).to_numpy(zero_copy_only=False) > 0, pc.list_value_length(lists).to_numpy(zero_copy_only=False), 0)
+    words = lists.flatten()
+    if (counts == 0).any():  # a blank text gives one empty word
+        words = words.filter(pc.greater(pc.binary_length(words), 0))
+    return np.append(0, counts.cumsum()).astype(np.int64), words
+
+
+@dataclass(frozen=True)
+class Spelled:
+    """Symbols of several texts with their text and place in it; words outside the head with their text."""
+
+    symbols: np.ndarray
+    text: np.ndarray
+    place: np.ndarray
+    rest: pa.Array
+    rest_text: np.ndarray
+
+    def pieces(self, size: int) -> Iterator[slice]:
+        """Runs of at least ``size`` symbols that begin where a segment does."""
+        starts = np.flatnonzero(self.place % SEGMENT == 0)
+        at = 0
+        while at < len(self.symbols):
+            following = np.searchsorted(starts, at + size)
+            stop = int(starts[following]) if following < len(starts) else len(self.symbols)
+            yield slice(at, stop)
+            at = stop
+
+    def contexts(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """Context hashes, and whether the symbol before was a byte; before a text all are text ends."""
+        before = []
+        for back in range(1, 4):
+            past = np.full(len(self.symbols), TEXT_END, np.uint32)
+            past[back:] = self.symbols[:-back]
+            past[self.place < back] = TEXT_END
+            before.append(past)
+        value, found = np.zeros(len(self.symbols), np.uint32), []
+        for back, (past, factor) in enumerate(zip(before, _MIX), 1):
+            value = (value + past + np.uint32(back)) * factor
+            value ^= value >> np.uint32(15)
+            found.append(value)
+        spelling = before[0] < WORD_END
+        return [found[0], np.where(spelling, found[2], found[1])], spelling.astype(np.uint8)
 
 
 @dataclass
@@ -137,49 +181,33 @@ def expand(alphabet: Alphabet, symbols: np.ndarray, hashes: list[np.ndarray], af
     return Decisions(alphabet.bits.take(path, mode="clip"), nodes, depth, slots, counts, np.repeat(after_byte, counts))
 
 
-def runs(texts: Iterator[tuple[int, np.ndarray]], symbols_at_once: int = 12_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Symbols of many texts in pieces of bounded size: (symbols, place in the text, number of the text).
-
-    A text longer than a piece goes on in the next one with its last symbols repeated as context.
-    """
-    symbols, places, texts_of, size = [], [], [], 0
-    for number, values in texts:
-        for first in range(0, len(values), symbols_at_once):
-            some = values[max(first - ORDERS, 0) : first + symbols_at_once]
-            place = np.arange(max(first - ORDERS, 0), max(first - ORDERS, 0) + len(some), dtype=np.int64)
-            number_of = np.full(len(some), number, np.int64)
-            number_of[: min(ORDERS, first)] = -1  # context only
-            symbols.append(some)
-            places.append(place)
-            texts_of.append(number_of)
-            size += len(some)
-            if size >= symbols_at_once:
-                yield np.concatenate(symbols), np.concatenate(places), np.concatenate(texts_of)
-                symbols, places, texts_of, size = [], [], [], 0
-    if size:
-        yield np.concatenate(symbols), np.concatenate(places), np.concatenate(texts_of)
-
-
-def _prepared(symbols: np.ndarray, place: np.ndarray, text: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Context hashes, the flag for spelling, and which symbols are to be coded."""
-    hashes = contexts(symbols, place)
-    after = np.zeros(len(symbols), np.uint8)
-    after[1:] = symbols[:-1] < WORD_END
-    after[place == 0] = 0
-    return hashes, after, text >= 0
-
-
-def count(alphabet: Alphabet, pieces: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Counts of zeros and ones for each order and table place: one flat array."""
+def count(alphabet: Alphabet, parts: Iterable[Spelled]) -> np.ndarray:
+    """Counts of zeros and ones for each hashed context and table place: one flat array."""
     cells = 2 << TABLE_BITS
     table = np.zeros((ORDERS, cells), np.int64)
-    for symbols, place, text in pieces:
-        hashes, after, coded = _prepared(symbols, place, text)
-        d = expand(alphabet, symbols[coded], [h[coded] for h in hashes], after[coded])
-        for order, slot in enumerate(d.slots):
-            slot <<= 1
-            slot |= d.bits
-            table[order] += np.bincount(slot, minlength=cells)
+    # A pass over the whole table is spread over many pieces.
+    waiting: list[list[np.ndarray]] = [[] for _ in range(ORDERS)]
+
+    def flush() -> None:
+        for order, slots in enumerate(waiting):
+            if slots:
+                table[order] += np.bincount(np.concatenate(slots), minlength=cells)
+                slots.clear()
+
+    size = 0
+    for spelled in parts:
+        hashes, after = spelled.contexts()
+        for piece in spelled.pieces(PIECE):
+            d = expand(alphabet, spelled.symbols[piece], [h[piece] for h in hashes], after[piece])
+            for slots, slot in zip(waiting, d.slots):
+                slot <<= 1
+                slot |= d.bits
+                slots.append(slot.astype(np.int32))
+            size += len(d.bits)
+            if size >= COUNTED_AT_ONCE:
+                flush()
+                size = 0
+    flush()
     return table.reshape(-1)
 
 
@@ -200,13 +228,21 @@ class Model:
     def gates(self, d: Decisions) -> np.ndarray:
         return np.minimum(d.depth, DEPTHS - 1) * 2 + d.spelling
 
-    def bits(self, symbols: np.ndarray, place: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
-        """Bits that each text costs in this piece."""
-        hashes, after, coded = _prepared(symbols, place, text)
+    def bits(self, spelled: Spelled, texts: int) -> np.ndarray:
+        """Bits that each text costs."""
+        hashes, after = spelled.contexts()
+        total = np.zeros(texts)
+        for piece in spelled.pieces(PIECE):
+            part = [a[piece] for a in (spelled.symbols, spelled.place, spelled.text, after, *hashes)]
+            total += self._bits(*part[:4], part[4:], texts)
+        return total
+
+    def _bits(
+        self, symbols: np.ndarray, place: np.ndarray, text: np.ndarray, after: np.ndarray, hashes: list[np.ndarray], texts: int
+    ) -> np.ndarray:
         # Symbols in the order of their block within the segment: a block of all segments is one slice.
         step = ((place % SEGMENT) // BLOCK).astype(np.uint8)
-        order = np.flatnonzero(coded)
-        order = order[np.argsort(step[order], kind="stable")]
+        order = np.argsort(step, kind="stable")
         d = expand(self.alphabet, symbols[order], [h[order] for h in hashes], after[order])
         gate = self.gates(d).astype(np.intp)
         by_input = np.ascontiguousarray(self.weights.T)
@@ -220,8 +256,7 @@ class Model:
         fixed += alone
         fixed += together
         # One state for each segment: how much more or less the node alone and its contexts weigh, and a bias.
-        key = text[order] * (1 << 40) + place[order] // SEGMENT
-        _, segment = np.unique(key, return_inverse=True)
+        segment = ((place % SEGMENT == 0).cumsum() - 1)[order]
         new = np.ones(len(order), bool)
         new[1:] = (segment[1:] != segment[:-1]) | (step[order][1:] != step[order][:-1])
         first_symbol = np.flatnonzero(new)
@@ -260,15 +295,15 @@ class Model:
         return np.bincount(owner, cost, texts)
 
 
-def fit_weights(alphabet: Alphabet, node_odds: np.ndarray, counts: np.ndarray, pieces: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+def fit_weights(alphabet: Alphabet, node_odds: np.ndarray, counts: np.ndarray, parts: Iterable[Spelled]) -> np.ndarray:
     """Gate weights by gradient steps; a decision's own count is taken out of its prediction."""
     pairs = counts.reshape(ORDERS, -1, 2)
     weights = np.zeros((DEPTHS * 2, ORDERS + 2))
     weights[:, 0] = 1.0
     square = np.full_like(weights, 1e-2)
-    for symbols, place, text in pieces:
-        hashes, after, coded = _prepared(symbols, place, text)
-        d = expand(alphabet, symbols[coded], [h[coded] for h in hashes], after[coded])
+    for spelled, piece in ((s, p) for s in parts for p in s.pieces(PIECE)):
+        hashes, after = spelled.contexts()
+        d = expand(alphabet, spelled.symbols[piece], [h[piece] for h in hashes], after[piece])
         y = d.bits.astype(np.float64)
         columns = [node_odds[d.nodes].astype(np.float64)]
         for order, slot in enumerate(d.slots):

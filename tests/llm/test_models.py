@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -123,7 +124,7 @@ def brute_base(rows):
 def sequential_bits(model, text):
     """The model's cost of one text, decision by decision."""
     a = model.alphabet
-    symbols, _ = a.spell(text.lower().split())
+    symbols = a.spell(pa.array([text])).symbols
     tables = model.tables.astype(np.float64) / cm.ODDS_STEPS
     total = 0.0
     change = pending = None
@@ -133,12 +134,13 @@ def sequential_bits(model, text):
         elif place % cm.BLOCK == 0:
             change, pending = change + pending, np.zeros(3)
         value, hashes = 0, []
-        for order in range(1, cm.ORDERS + 1):
+        for order in range(1, 4):
             before = int(symbols[place - order]) if place >= order else cm.TEXT_END
             value = (value + before + order) * int(cm._MIX[order - 1]) & 0xFFFFFFFF
             value ^= value >> 15
             hashes.append(value)
         spelling = int(place > 0 and symbols[place - 1] < cm.WORD_END)
+        hashes = [hashes[0], hashes[2 if spelling else 1]]
         first = int(a.start[symbol])
         for depth in range(int(a.length[symbol])):
             node, bit = int(a.nodes[first + depth]), int(a.bits[first + depth])
@@ -162,7 +164,7 @@ def test_language_model(spark):
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == brute_base(rows)
     scores = {r.doc_id: r for r in got}
     for i, t in sorted(rows)[:25]:
-        bits = sequential_bits(trained.model, t.encode()) if len(t) < 20_000 else None
+        bits = sequential_bits(trained.model, t) if len(t) < 20_000 else None
         if bits is not None:
             assert scores[i].score == pytest.approx(-bits * math.log10(2), rel=1e-3)
             assert scores[i].bits_per_byte == pytest.approx(bits / max(len(t.encode()), 1), rel=1e-3)
@@ -171,8 +173,7 @@ def test_language_model(spark):
     plain[:, 0] = 1
     alone = cm.Model(trained.model.alphabet, trained.model.node_odds, trained.model.tables, plain)
     held = [(i, t) for i, t in rows if scores[i].held_out]
-    pieces = cm.runs((k, alone.alphabet.spell(t.encode().lower().split())[0]) for k, (_, t) in enumerate(held))
-    without = sum(float(alone.bits(*p, len(held)).sum()) for p in pieces) * -math.log10(2)
+    without = float(alone.bits(alone.alphabet.spell(pa.array([t for _, t in held])), len(held)).sum()) * -math.log10(2)
     assert sum(scores[i].score for i, _ in held) > without * 0.98
 
 
@@ -189,25 +190,40 @@ def test_language_model_on_odd_rows(spark, docs, no_docs):
 
 def test_alphabet_is_a_prefix_code():
     weights = np.random.default_rng(0).integers(0, 1000, 300)
-    a = cm.Alphabet.build([b"w%d" % i for i in range(42)], weights)
+    a = cm.Alphabet.build([f"w{i}" for i in range(42)], weights)
     codes = {"".join(map(str, a.bits[s : s + n])) for s, n in zip(a.start, a.length)}
     assert len(codes) == 300 and sum(2.0 ** -len(c) for c in codes) == 1.0
-    spelled, rest = a.spell([b"w1", b"zz", b"w41", b"q"])
-    assert spelled.tolist() == [259, 122, 122, 256, 299, 113, 256, 257] and rest == [b"zz", b"q"]
-    assert a.spell([])[0].tolist() == [257]
+    spelled = a.spell(pa.array([" W1 zz w41\tq\n", None, "", "w0"]))
+    assert spelled.symbols.tolist() == [259, 122, 122, 256, 299, 113, 256, 257, 257, 257, 258, 257]
+    assert spelled.text.tolist() == [0] * 8 + [1, 2, 3, 3] and spelled.place.tolist() == [*range(8), 0, 0, 0, 1]
+    assert spelled.rest.to_pylist() == ["zz", "q"] and spelled.rest_text.tolist() == [0, 0]
+    assert len(a.spell(pa.array([], pa.string())).symbols) == 0
 
 
-def test_long_texts_are_coded_in_pieces_alike():
+def test_long_texts_are_coded_in_pieces_alike(monkeypatch):
     rng = np.random.default_rng(0)
     a = cm.Alphabet.build([], rng.integers(1, 50, cm.FIRST_WORD))
     odds = language_model._node_odds(a, rng.integers(1, 50, cm.FIRST_WORD))
-    text = rng.integers(97, 110, 5000).astype(np.int32)
-    cells = cm.count(a, cm.runs([(0, text)]))
-    assert (cells == cm.count(a, cm.runs([(0, text)], 512))).all()
-    model = cm.Model(a, odds, cm.stretched(cells), cm.fit_weights(a, odds, cells, cm.runs([(0, text)])))
-    whole = sum(model.bits(*p, 2) for p in cm.runs([(0, text), (1, text[:700])], 1 << 20))
-    parts = sum(model.bits(*p, 2) for p in cm.runs([(0, text), (1, text[:700])], 1024))
-    assert whole == pytest.approx(parts, rel=1e-5)
+    words = ["".join(rng.choice(list("abcdeé"), rng.integers(1, 7))) for _ in range(1500)]
+    spelled = a.spell(pa.array([" ".join(words), " ".join(words[:200]), ""]))
+    found = []
+    for size in (1 << 20, 1024, 1):
+        monkeypatch.setattr(cm, "PIECE", size)
+        monkeypatch.setattr(cm, "COUNTED_AT_ONCE", size)
+        cells = cm.count(a, [spelled])
+        model = cm.Model(a, odds, cm.stretched(cells), np.full((2 * cm.DEPTHS, cm.ORDERS + 2), 0.5, np.float32))
+        found.append((cells, model.bits(spelled, 3)))
+    for cells, bits in found[1:]:
+        assert (cells == found[0][0]).all() and bits == pytest.approx(found[0][1], rel=1e-5)
+
+
+def test_packed_pages_add_up():
+    rng = np.random.default_rng(0)
+    pages = [rng.integers(0, top, language_model.PAGE) for top in (1, 3, 300, 1 << 40)]
+    total = np.zeros(language_model.PAGE, np.int64)
+    for p in pages:
+        language_model._add(total, language_model._pack(p))
+    assert (total == sum(pages)).all()
 
 
 # ---- pipeline ----------------------------------------------------------------------

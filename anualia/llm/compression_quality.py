@@ -7,8 +7,8 @@ logistic curve over that difference and over the size per byte under the good
 dictionary turns it into a probability; it is fitted on labelled texts that had
 no part in the dictionaries.
 
-Bound of the fit: ``SAMPLE_ROWS`` labelled documents of each class, those with
-the least hash of their id, and ``FRAGMENT`` bytes of each, from a place that
+Bound of the fit: ``SAMPLE_ROWS`` labelled documents of each class, picked by
+a hash, and ``FRAGMENT`` bytes of each, from a place that
 depends on the id. The curve weighs them by the class shares of all labels.
 Scoring reads every text whole.
 
@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anualia.llm.common import broadcast_if_small
+from anualia.llm.common import broadcast_if_small, hashed_sample
 
 FOLDS = 3
 HELD_OUT = 1
@@ -102,8 +102,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, ro
     span = F.greatest(F.octet_length("bytes") - FRAGMENT + 1, F.lit(1))
     cut = F.substring(F.col("bytes"), F.pmod(F.xxhash64("doc_id"), span).cast("int") + 1, F.lit(FRAGMENT))
     found = texts.join(broadcast_if_small(votes), F.col("doc_id") == F.col("key")).select("doc_id", "label", cut.alias("bytes"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("bytes")]
-    parts = [found.where(F.col("label") == v).orderBy(*order).limit(rows) for v in (1, 0)]
+    parts = [hashed_sample(found.where(F.col("label") == v), rows, "doc_id", "bytes") for v in (1, 0)]
     share = votes.agg(F.avg("label")).first()[0]
     return [(r[0], r[1], bytes(r[2])) for part in parts for r in part.collect()], 0.5 if share is None else share
 

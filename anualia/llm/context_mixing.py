@@ -49,7 +49,7 @@ class Alphabet:
     bits: np.ndarray
 
     @classmethod
-    def build(cls, words: list[str], weights: np.ndarray) -> Alphabet:
+    def build(cls, words: pa.Array | list[str], weights: np.ndarray) -> Alphabet:
         """Huffman tree over ``FIRST_WORD + len(words)`` symbols; every symbol has a code."""
         n = len(weights)
         heap = [(int(w) + 1, i) for i, w in enumerate(weights)]
@@ -74,7 +74,8 @@ class Alphabet:
         for k, (who, inner, bit) in enumerate(steps):  # from the leaf up, stored from the root down
             place = start[who] + length[who] - 1 - k
             nodes[place], bits[place] = inner, bit
-        return cls(pa.array(words, pa.string()), start[:-1].astype(np.int32), length.astype(np.int32), nodes, bits)
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.string())
+        return cls(words, start[:-1].astype(np.int32), length.astype(np.int32), nodes, bits)
 
     def spell(self, texts: pa.Array) -> Spelled:
         """Symbols of texts, lower-cased in A-Z, one after the other."""
@@ -101,9 +102,10 @@ class Alphabet:
         return Spelled(out, text, place, rest, number[other])
 
 
-def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """All words of the texts, lower-cased in A-Z, and where each text's words begin."""
-    plain = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array]:
+    """All words of the texts, lower-cased in A-Z if asked for, and where each text's words begin."""
+    plain = pc.fill_null(texts, "")
+    plain = pc.ascii_trim_whitespace(pc.ascii_lower(plain) if lower else plain)
     lists = pc.ascii_split_whitespace(plain)
     counts = np.where(pc.binary_length(plain).to_numpy(zero_copy_only=False) > 0, pc.list_value_length(lists).to_numpy(zero_copy_only=False), 0)
     words = lists.flatten()

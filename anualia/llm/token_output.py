@@ -8,12 +8,12 @@ files, so lost executors leave no partial output and any store that Spark
 reaches will do. A segment's first place in the corpus is the number of ids in
 the segments before it.
 
-Words repeat, so each task encodes a word once and remembers the ids of up to
-``REMEMBERED`` words. That is exact for a tokenizer that drops white space and
-whose pieces and normal form do not reach across it.
+Words repeat, so each batch of texts encodes a word once. That is exact for a
+tokenizer that lower-cases, drops white space and parts letters and digits from
+signs, and whose pieces and normal form do not reach across those places.
 
 Defined results: a null or empty text has only the end id; null document ids
-come first; rows with one id are ordered by a hash of the text; an empty table
+come first; rows with one id keep the order they are stored in; an empty table
 is a table without segments. Extra columns are ignored, whatever their names are.
 """
 
@@ -25,38 +25,119 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from anualia.llm.addressable import Reader, encode
+from anualia.llm.common import broadcast_if_small
+from anualia.llm.context_mixing import split_words
 from anualia.scratch import new_path
 
-REMEMBERED = 300_000
+WORDS_AT_ONCE = 500_000  # words whose ids are put together at once
 SEGMENT_IDS = 1 << 20  # a segment is closed when it has as many ids
 
 
+# Printable ASCII signs. A run of them is cut off from letters and digits before it by the tokenizer itself.
+_SIGNS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
+
+
+def _gather(pool: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of the pool that begin there and have those sizes, one after the other."""
+    moved = begins - (sizes.cumsum() - sizes)
+    return pool.take(np.repeat(moved, sizes) + np.arange(int(sizes.sum())))
+
+
 class WordEncoder:
-    """Ids of texts as little-endian bytes, by remembered words."""
+    """Ids of many texts at once, from each different word once.
+
+    Words are lower-cased and parted into a stem and the signs after it, which
+    leaves far fewer stems than words; words that might hold a special token are
+    encoded as they are. Stems of letters alone are encoded many at a time: each
+    is one piece to the tokenizer and ends with a word-end id.
+    """
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[bytes, bytes] = {}
-        self._end = np.uint32(end_id).astype("<u4").tobytes()
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        words = [t.split() if t else [] for t in texts]
-        known = self._known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({w for text in words for w in text}.difference(known))
-        found = self._tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found))
-        return [b"".join(map(known.__getitem__, text)) + self._end for text in words]
+        self._end = end_id
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends_word[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, sizes) of runs of texts: all their ids, and how many each text has with its end id."""
+        offsets, words = split_words(texts, lower=False)
+        seen = words.dictionary_encode()
+        pool, begins, sizes = self._word_ids(seen.dictionary)
+        # The end id is one more word, at the end of each text.
+        pool, begins, sizes = np.append(pool, np.uint32(self._end)), np.append(begins, len(pool)), np.append(sizes, 1)
+        order = np.insert(seen.indices.to_numpy(), offsets[1:], len(begins) - 1)
+        stops = offsets[1:] + np.arange(1, len(texts) + 1)
+        first = 0
+        while first < len(texts):
+            done = stops[first - 1] if first else 0
+            last = max(int(np.searchsorted(stops, done + WORDS_AT_ONCE)), first + 1)
+            some = order[done : stops[last - 1]]
+            ids = _gather(pool, begins[some], sizes[some])
+            total = np.append(0, sizes[some].cumsum())
+            yield ids, np.diff(np.append(0, total[stops[first:last] - done]))
+            first = last
+
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pool of ids, and for each word where its ids begin and how many they are."""
+        low = pc.ascii_lower(words)
+        stems = pc.ascii_rtrim(low, characters=_SIGNS)
+        special = pc.match_substring(words, "<|").to_numpy(zero_copy_only=False)
+        size, kept = (pc.binary_length(a).to_numpy(zero_copy_only=False) for a in (low, stems))
+        signed = np.flatnonzero((kept > 0) & (kept < size) & ~special)
+        # Signs are cut off after an ASCII letter or digit, or after letters alone.
+        stem, tail = stems.take(pa.array(signed)), low.take(pa.array(signed)).cast(pa.binary()).to_pylist()
+        letters = pc.utf8_is_alpha(stem).to_numpy(zero_copy_only=False)
+        cut = [a or w[k - 1 : k].isalnum() for a, w, k in zip(letters.tolist(), tail, kept[signed].tolist())]
+        parted = np.zeros(len(words), bool)
+        parted[signed] = cut
+        signs = [w[k:].decode() for w, k, c in zip(tail, kept[signed].tolist(), cut) if c]
+        stems = pc.if_else(pa.array(parted), stems, pc.if_else(pa.array(special), words, low)).dictionary_encode()
+        signs = pa.array(["", *signs], pa.string()).dictionary_encode()
+        second = np.zeros(len(words), np.int64)
+        second[parted] = signs.indices.to_numpy()[1:]
+        pieces = pa.concat_arrays([stems.dictionary, signs.dictionary])
+        pool, begins, sizes = self._piece_ids(pieces)
+        both = np.stack([stems.indices.to_numpy(), second + len(stems.dictionary)], 1).reshape(-1)  # stem, signs, stem, signs
+        found = _gather(pool, begins[both], sizes[both])
+        per_word = sizes[both].reshape(-1, 2).sum(1)
+        return found, per_word.cumsum() - per_word, per_word
+
+    def _piece_ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        alone = pc.utf8_is_alpha(pieces).to_numpy(zero_copy_only=False)
+        texts = pieces.to_pylist()
+        begins, sizes = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        pool, at = [], 0
+        letters, others = np.flatnonzero(alone), [np.flatnonzero(~alone)]
+        for first in range(0, len(letters), 8192):
+            groups = [letters[k : k + 128] for k in range(first, min(first + 8192, len(letters)), 128)]
+            joined = [" ".join([texts[i] for i in some.tolist()]) for some in groups]
+            for some, found in zip(groups, self._tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+                ids = np.array(found.ids, np.uint32)
+                stops = np.flatnonzero(self._ends_word[ids]) + 1
+                if len(stops) != len(some):  # the normal form has signs, or the tokenizer marks no word ends
+                    others.append(some)
+                    continue
+                begins[some], sizes[some] = at + np.append(0, stops[:-1]), np.diff(stops, prepend=0)
+                pool.append(ids)
+                at += len(ids)
+        rest = np.concatenate(others)
+        for i, found in zip(rest.tolist(), self._tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
+            ids = np.array(found.ids, np.uint32)
+            begins[i], sizes[i] = at, len(ids)
+            pool.append(ids)
+            at += len(ids)
+        return np.concatenate([*pool, np.zeros(0, np.uint32)]), begins, sizes
 
 
 def write_ids(
@@ -64,11 +145,10 @@ def write_ids(
 ) -> str:
     """Write the files; returns their folder."""
     path = path or new_path(docs.sparkSession, "token-ids")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    tied = rows.withColumn("tie", F.xxhash64("text"))
-    # The last key spreads rows that are equal in everything.
-    ordered = tied.withColumn("row", F.monotonically_increasing_id())
-    keys = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("row")]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    # The second key parts rows of one id; ranges are sampled from the keys alone, without the texts.
+    ordered = rows.withColumn("row", F.monotonically_increasing_id())
+    keys = [F.col("doc_id").asc_nulls_first(), F.col("row")]
     parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     ordered = ordered.repartitionByRange(int(parts), *keys).sortWithinPartitions(*keys).select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -79,27 +159,32 @@ def write_ids(
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(tokenizer_path, end_id)
         part = TaskContext.get().partitionId()
-        segment, ids, starts, held, size = 0, [], [], [], 0
+        segment, names, sizes, held, size = 0, [], [], [], 0
 
         def closed() -> pa.RecordBatch:
-            codes = encode(np.frombuffer(b"".join(held), "<u4"))
-            return pa.RecordBatch.from_pydict(
-                {"part": [part], "segment": [segment], "n_ids": [size], "doc_ids": [ids], "starts": [starts], "codes": [codes]}, schema=arrow
-            )
+            counts = np.concatenate(sizes)
+            row = {
+                "part": [part], "segment": [segment], "n_ids": [size], "doc_ids": [[n for some in names for n in some]],
+                "starts": [counts.cumsum() - counts], "codes": [encode(np.concatenate(held))],
+            }
+            return pa.RecordBatch.from_pydict(row, schema=arrow)
 
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            names = batch.column(0).to_pylist()
-            for first in range(0, len(texts), 256):
-                for name, found in zip(names[first : first + 256], encoder.encode(texts[first : first + 256])):
-                    ids.append(name)
-                    starts.append(size)
-                    held.append(found)
-                    size += len(found) // 4
+            known, row = batch.column(0).to_pylist(), 0
+            for ids, counts in encoder.encode(batch.column(1)):
+                while len(counts):
+                    # Whole documents until the segment is full.
+                    stops = counts.cumsum()
+                    n = min(int(np.searchsorted(stops, SEGMENT_IDS - size)) + 1, len(counts))
+                    names.append(known[row : row + n])
+                    sizes.append(counts[:n])
+                    held.append(ids[: stops[n - 1]])
+                    size += int(stops[n - 1])
+                    row, ids, counts = row + n, ids[stops[n - 1] :], counts[n:]
                     if size >= SEGMENT_IDS:
                         yield closed()
-                        segment, ids, starts, held, size = segment + 1, [], [], [], 0
-        if ids:
+                        segment, names, sizes, held, size = segment + 1, [], [], [], 0
+        if size:
             yield closed()
 
     ordered.mapInArrow(encoded, schema).write.option("compression", "zstd").parquet(path)
@@ -119,16 +204,16 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     places = places.join(F.broadcast(parts), "part").select(
         "part", "segment", (F.col("part_start") + F.col("inside")).alias("first")
     )
-    rows = table.join(places, ["part", "segment"]).select("first", "n_ids", "doc_ids", "starts", "codes")
+    rows = table.join(broadcast_if_small(places), ["part", "segment"]).select("first", "n_ids", "doc_ids", "starts", "codes")
     kind = table.schema["doc_ids"].dataType.elementType.simpleString()
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                reader = Reader(row["codes"])
+                raw = memoryview(Reader(row["codes"]).slice(0, row["n_ids"]).astype("<u4").tobytes())
                 starts = np.array(row["starts"], np.int64)
                 stops = np.append(starts[1:], row["n_ids"])
-                crc = [zlib.crc32(reader.slice(int(a), int(b)).astype("<u4").tobytes()) for a, b in zip(starts, stops)]
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), stops.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row["doc_ids"], batch.schema.field("doc_ids").type.value_type),

@@ -3,11 +3,10 @@
 Symbols are the 256 bytes, a word end, a text end and the head words. A token is
 its head word, or else its bytes and a word end. A symbol is a path of yes/no
 decisions in a Huffman tree. Each decision is predicted in several contexts: by
-its node alone, and by its node with what came before, hashed into tables of
-counts: the last symbol, and the last two symbols or, inside a spelled word, the
-last three. The predictions' log-odds are mixed with weights picked by a gate
-(depth in the tree, and whether a word is being spelled). While a text is coded,
-the weights of the node and of its contexts are refined by online gradient
+its node alone, and by its node with the last one, two and three symbols, hashed
+into tables of counts. The predictions' log-odds are mixed with weights picked by
+a gate (depth in the tree, and whether a word is being spelled). While a text is
+coded, the weights of the node and of its contexts are refined by online gradient
 steps, ``BLOCK`` symbols at a time, starting anew every ``SEGMENT`` symbols, so
 that texts are coded side by side and a long text in pieces.
 """
@@ -23,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WORD_END, TEXT_END, FIRST_WORD = 256, 257, 258
-ORDERS = 2  # hashed contexts
+ORDERS = 3  # hashed contexts
 TABLE_BITS = 20
 SEGMENT = 256
 BLOCK = 16
@@ -137,7 +136,7 @@ class Spelled:
     def contexts(self) -> tuple[list[np.ndarray], np.ndarray]:
         """Context hashes, and whether the symbol before was a byte; before a text all are text ends."""
         before = []
-        for back in range(1, 4):
+        for back in range(1, ORDERS + 1):
             past = np.full(len(self.symbols), TEXT_END, np.uint32)
             past[back:] = self.symbols[:-back]
             past[self.place < back] = TEXT_END
@@ -147,8 +146,7 @@ class Spelled:
             value = (value + past + np.uint32(back)) * factor
             value ^= value >> np.uint32(15)
             found.append(value)
-        spelling = before[0] < WORD_END
-        return [found[0], np.where(spelling, found[2], found[1])], spelling.astype(np.uint8)
+        return found, (before[0] < WORD_END).astype(np.uint8)
 
 
 @dataclass

@@ -6,9 +6,9 @@ decisions in a Huffman tree. Each decision is predicted in several contexts: by
 its node alone, and by its node with the last one, two and three symbols, hashed
 into tables of counts. The predictions' log-odds are mixed with weights picked by
 a gate (depth in the tree, and whether a word is being spelled). While a text is
-coded, the weights of the node and of its contexts are refined by online gradient
-steps, ``BLOCK`` symbols at a time, starting anew every ``SEGMENT`` symbols, so
-that texts are coded side by side and a long text in pieces.
+coded, the weights of its gates are refined for each predictor by online gradient
+steps, ``BLOCK`` symbols at a time, from the first symbol to the last. Texts are
+coded side by side, each with weights of its own.
 """
 
 from __future__ import annotations
@@ -231,68 +231,60 @@ class Model:
     def bits(self, spelled: Spelled, texts: int) -> np.ndarray:
         """Bits that each text costs."""
         hashes, after = spelled.contexts()
+        # Blocks in the order of their place in the text: a block of all texts is one slice.
+        step = spelled.place // BLOCK
+        order = np.argsort(step.astype(np.uint16) if step.max(initial=0) < 1 << 16 else step, kind="stable")
+        step, text = step[order], spelled.text[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (step[1:] != step[:-1]) | (text[1:] != text[:-1])
+        first = np.flatnonzero(new)
+        step, text = step[first], text[first]
+        # Every text refines weights of its own, from its beginning to its end.
+        weights = np.repeat(self.weights.T[:, None, :], texts, axis=1)
         total = np.zeros(texts)
-        for piece in spelled.pieces(PIECE):
-            part = [a[piece] for a in (spelled.symbols, spelled.place, spelled.text, after, *hashes)]
-            total += self._bits(*part[:4], part[4:], texts)
+        at = 0
+        while at < len(first):
+            stop = int(np.searchsorted(first, first[at] + PIECE))
+            some = order[first[at] : first[stop] if stop < len(first) else len(order)]
+            d = expand(self.alphabet, spelled.symbols[some], [h[some] for h in hashes], after[some])
+            self._code(d, step[at:stop], text[at:stop], first[at:stop] - first[at], weights, total)
+            at = stop
         return total
 
-    def _bits(
-        self, symbols: np.ndarray, place: np.ndarray, text: np.ndarray, after: np.ndarray, hashes: list[np.ndarray], texts: int
-    ) -> np.ndarray:
-        # Symbols in the order of their block within the segment: a block of all segments is one slice.
-        step = ((place % SEGMENT) // BLOCK).astype(np.uint8)
-        order = np.argsort(step, kind="stable")
-        d = expand(self.alphabet, symbols[order], [h[order] for h in hashes], after[order])
-        gate = self.gates(d).astype(np.intp)
-        by_input = np.ascontiguousarray(self.weights.T)
-        alone = self.node_odds.take(d.nodes.astype(np.intp), mode="clip")
-        alone *= by_input[0].take(gate, mode="clip")
-        together = np.zeros(len(gate), np.float32)
-        for w, t, slot in zip(by_input[1:], self.tables, d.slots):
-            together += w.take(gate, mode="clip") * t.take(slot, mode="clip")
-        together *= np.float32(1 / ODDS_STEPS)
-        fixed = by_input[-1].take(gate, mode="clip")
-        fixed += alone
-        fixed += together
-        # One state for each segment: how much more or less the node alone and its contexts weigh, and a bias.
-        segment = ((place % SEGMENT == 0).cumsum() - 1)[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (segment[1:] != segment[:-1]) | (step[order][1:] != step[order][:-1])
-        first_symbol = np.flatnonzero(new)
-        offsets = np.concatenate([[0], d.counts.cumsum()])
-        first = offsets[first_symbol]
-        sizes = np.diff(np.append(first, offsets[-1]))
-        block_step, block_segment = step[order][first_symbol], segment[first_symbol]
-        change = np.zeros((3, int(segment.max()) + 1 if len(segment) else 0), np.float32)
-        cost = np.zeros(len(d.bits), np.float32)
+    def _code(self, d: Decisions, step: np.ndarray, text: np.ndarray, first: np.ndarray, weights: np.ndarray, total: np.ndarray) -> None:
+        """Code blocks, given by their first symbols; add to the bits of their texts and refine these texts' weights."""
+        begins = np.append(0, d.counts.cumsum())[np.append(first, len(d.counts))]
+        sizes = np.diff(begins)
+        x = np.empty((ORDERS + 1, len(d.bits)), np.float32)
+        self.node_odds.take(d.nodes.astype(np.intp), mode="clip", out=x[0])
+        for row, t, slot in zip(x[1:], self.tables, d.slots):
+            np.multiply(t.take(slot, mode="clip"), np.float32(1 / ODDS_STEPS), out=row)
+        groups = np.append(np.flatnonzero(np.append(True, step[1:] != step[:-1])), len(step))
+        number = np.arange(len(step)) - np.repeat(groups[:-1], np.diff(groups))
+        place = np.repeat(number * (DEPTHS * 2), sizes)
+        place += self.gates(d)
         sign = d.bits.astype(np.float32) * 2 - 1
-        for k in range(SEGMENT // BLOCK):
-            low, high = np.searchsorted(block_step, [k, k + 1])
-            if low == high:
-                continue
-            a, b = first[low], first[high] if high < len(first) else len(d.bits)
-            states, lengths, starts = block_segment[low:high], sizes[low:high], first[low:high] - a
-            z = fixed[a:b].copy()
-            if k:
-                own = np.repeat(change[:, states], lengths, axis=1)
-                z += own[0] * alone[a:b]
-                z += own[1] * together[a:b]
-                z += own[2]
+        cost = np.empty(len(d.bits), np.float32)
+        for low, high in zip(groups[:-1].tolist(), groups[1:].tolist()):
+            a, b = int(begins[low]), int(begins[high])
+            texts, here, inputs, y = text[low:high], place[a:b], x[:, a:b], sign[a:b]
+            own = weights[:, texts].reshape(len(weights), -1)
+            z = own[-1].take(here, mode="clip")
+            for w, v in zip(own, inputs):
+                z += w.take(here, mode="clip") * v
             # Probability of the decision taken; the other one has the rest.
-            y = sign[a:b]
             z *= y
             np.clip(z, -15, 15, out=z)
             p = np.exp(-z)
             p += 1
-            cost[a:b] = np.log2(p)
+            np.log2(p, out=cost[a:b])
             error = y * (1 - 1 / p)
             error *= np.float32(RATE)
-            change[0, states] += np.add.reduceat(error * alone[a:b], starts)
-            change[1, states] += np.add.reduceat(error * together[a:b], starts)
-            change[2, states] += np.add.reduceat(error, starts)
-        owner = np.repeat(text[order], d.counts)
-        return np.bincount(owner, cost, texts)
+            for w, v in zip(own, inputs):
+                w += np.bincount(here, error * v, len(w))
+            own[-1] += np.bincount(here, error, own.shape[1])
+            weights[:, texts] = own.reshape(len(weights), len(texts), -1)
+        total += np.bincount(np.repeat(text, sizes), cost, len(total))
 
 
 def fit_weights(alphabet: Alphabet, node_odds: np.ndarray, counts: np.ndarray, parts: Iterable[Spelled]) -> np.ndarray:

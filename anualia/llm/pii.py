@@ -147,15 +147,19 @@ def _by_first(words: list[str]) -> str:
     return "(?:" + "|".join(f"{c}(?:{'|'.join(w[1:] for w in words if w[0] == c)})" for c in first) + ")"
 
 
-# Two digit words or digits in a row, in lower-case text.
-_MAYBE_SPELLED = re.compile(rf"\b{_by_first(list(_DIGIT_WORDS))}[ ,.()-]{{1,3}}(?:[0-9]|{_by_first(list(_DIGIT_WORDS))})(?!\w)")
+# Every run with a digit word has one beside a digit or another digit word; in lower-case text.
+_MAYBE_SPELLED = (
+    re.compile(rf"\b{_by_first(list(_DIGIT_WORDS))}[ ,.()-]{{1,3}}(?:[0-9]|{_by_first(list(_DIGIT_WORDS))}(?!\w))"),
+    re.compile(rf"[0-9][ ,.()-]{{1,3}}{_by_first(list(_DIGIT_WORDS))}(?!\w)"),
+)
 _ONE_WORD = re.compile(rf"(?i)(?:(?<!\w)plus[ -]+)|(?<!\w){_WORD}(?!\w)|,")
 
 
 def spelled_digits(text: str) -> list[Edit]:
     """Digit words in runs of at least four digits or digit words; a "plus" before them is the sign."""
     edits = []
-    if not _MAYBE_SPELLED.search(text.lower()):
+    lower = text.lower()
+    if not any(pattern.search(lower) for pattern in _MAYBE_SPELLED):
         return edits
     for run in _SPELLED.finditer(text):
         words = [(m.start(), m.end(), m[0]) for m in _ONE_WORD.finditer(text, run.start(), run.end())]

@@ -176,23 +176,29 @@ _DOT_WORDS = r"dot|punkt|punto|point|\.|&#46;|&period;"
 _BRACKET = re.compile(rf"(?i)[ ]{{0,2}}[\[({{<][ ]{{0,2}}(?:(?P<at>{_AT_WORDS})|(?P<dot>{_DOT_WORDS}))[ ]{{0,2}}[\])}}>][ ]{{0,2}}")
 _CODED = re.compile(r"(?P<at>&#64;|&commat;|%40)|(?P<dot>&#46;|&period;)")
 _NAMED_DOT = re.compile(r"(?i) (?:dot|punkt|punto|point) ")
+# After a plain dot two letters are asked for, which numbers ("at 10.30") do not have.
 _IN_WORDS = re.compile(
-    r"(?i)(?<=[A-Za-z0-9_%+-])(?P<at> (?:at|arroba|arobase) )(?=[A-Za-z0-9-]+(?: (?:dot|punkt|punto|point) |\.)[A-Za-z0-9])"
+    r"(?i)(?P<at> (?<=[A-Za-z0-9_%+-] )(?:at|arroba|arobase) )"
+    r"(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?: (?:dot|punkt|punto|point) [A-Za-z0-9]|\.[A-Za-z]{2}))"
 )
 _DOT_AFTER = re.compile(r"(?i)(?:(?P<dot> (?:dot|punkt|punto|point) )|[A-Za-z0-9-]+|\.)")
 _NUMBER_DOTS = re.compile(r"(?i)(?<![\w.])[0-9]{1,3}(?:(?: (?:dot|punkt|punto|point) |\.)[0-9]{1,3}){3}(?![\w])")
 
 
-def disguised_signs(text: str) -> list[Edit]:
-    """"at" and "dot" in brackets, as character references, or as words of an address."""
+def marked_signs(text: str) -> list[Edit]:
+    """"at" and "dot" in brackets or as character references."""
     edits = [(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKET.finditer(text)]
     if "&" in text or "%40" in text:
         edits += [(m.start(), m.end(), "@" if m["at"] else ".") for m in _CODED.finditer(text)]
+    return _apart(edits)
+
+
+def named_signs(text: str) -> list[Edit]:
+    """"at" and "dot" as words of an address."""
+    edits = [(*m.span("at"), "@") for m in _IN_WORDS.finditer(text)]
     if _NAMED_DOT.search(text):
-        for m in _IN_WORDS.finditer(text):
-            edits.append((*m.span("at"), "@"))
         # A named dot counts after a sign for "at" or inside four numbers.
-        for start in [m.end() for m in _IN_WORDS.finditer(text)] + [b for _, b, s in edits if s == "@"] + _plain_ats(text):
+        for start in [b for _, b, _ in edits] + _plain_ats(text):
             piece = _DOT_AFTER.match(text, start)
             while piece:
                 if piece["dot"]:
@@ -219,7 +225,7 @@ def _apart(edits: list[Edit]) -> list[Edit]:
     return kept
 
 
-TRANSDUCERS: tuple[Callable[[str], list[Edit]], ...] = (look_alikes, disguised_signs, spelled_digits)
+TRANSDUCERS: tuple[Callable[[str], list[Edit]], ...] = (look_alikes, marked_signs, named_signs, spelled_digits)
 
 
 class Rewritten:

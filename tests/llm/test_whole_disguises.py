@@ -17,3 +17,19 @@ def found(text):
 def test_one_spelled_digit_among_digits(disguised, kind):
     for text in (disguised, f"Call {disguised}.", f"Call {disguised}; or: one two"):
         assert (kind, disguised) in found(text)
+
+
+@pytest.mark.parametrize("disguised, kind", [
+    ("jane at example.com", "email"), ("jane arroba example.es", "email"), ("jane AROBASE mail.example.fr", "email"),
+    ("jane at example [dot] com", "email"), ("jane at example&#46;com", "email"), ("jane (at) example dot com", "email"),
+    ("jane&#64;mail punkt example.de", "email"), ("jane at mail.example dot com", "email"), ("jane at mail dot example (dot) com", "email"),
+    ("10[.]0 dot 0.1", "ip"),
+])
+def test_signs_alone_mixed_and_with_a_named_dot_far_off(disguised, kind):
+    for text in (disguised, f"Write: {disguised}, thanks", f"Write: {disguised}, thanks. That is the point of it."):
+        assert found(text) == [(kind, disguised)]
+
+
+def test_times_and_numbers_after_at_are_no_addresses():
+    for text in ("see me at 10.30 today", "it stood at 3.5 percent", "look at e.g. this", "meet at 5 p.m. sharp"):
+        assert found(text) == found(f"{text}, and the point is made") == []

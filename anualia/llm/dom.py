@@ -18,7 +18,7 @@ _BLOCKS = frozenset(
     "footer form h1 h2 h3 h4 h5 h6 header hgroup label legend li main menu nav ol p pre search section select summary table "
     "tbody td tfoot th thead tr ul".split()
 )
-_SKIPPED = frozenset("script style noscript template textarea title iframe object svg math head audio video canvas option datalist".split())
+_SKIPPED = frozenset("script style noscript template textarea title iframe svg head audio video canvas option datalist".split())
 _RAW = frozenset("script style textarea title iframe noscript".split())
 _BREAKS = frozenset(("br", "hr", "wbr"))
 # What a start tag ends when it is open: up to, not through, the elements that hold it.

@@ -7,6 +7,11 @@ A null text has no words.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +55,14 @@ def hashed_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
     place = F.pmod(F.xxhash64(*key), F.lit(1 << 31))
     share = min(1.0, 1.2 * rows / max(df.count(), 1))
     return df.where(place < int(share * (1 << 31))).orderBy(place, *key).limit(rows)
+
+
+def parts(batch: pa.RecordBatch, column: int, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``size`` bytes of one text column; a longer text is a part of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
+    first = 0
+    while first < batch.num_rows:
+        done = sizes[first - 1] if first else 0
+        stop = max(first + 1, int(np.searchsorted(sizes, done + size)))
+        yield batch.slice(first, stop - first)
+        first = stop

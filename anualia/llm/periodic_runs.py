@@ -49,11 +49,12 @@ def find_runs(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     some = order[sizes[order] >= LEAST_LENGTH]
     joined, begins = _joined(words, firsts[some], sizes[some])
     pairs = _grid(joined, begins, sizes[some])
-    if not len(pairs[0]):
+    # Both words of a pair lie in one text; only the texts with pairs left go on.
+    of, to = (np.searchsorted(begins, x, "right") - 1 for x in (pairs[0], pairs[0] + pairs[1]))
+    pairs, of = (pairs[0][of == to], pairs[1][of == to]), of[of == to]
+    if not len(of):
         empty = np.zeros(0, np.int64)
         return empty, empty, empty, empty
-    # Only the texts with pairs left go on.
-    of = np.searchsorted(begins, pairs[0], "right") - 1
     there = np.unique(of)
     joined, moved = _joined(words, firsts[some[there]], sizes[some[there]])
     i = pairs[0] - begins[of] + moved[np.searchsorted(there, of)]

@@ -93,6 +93,16 @@ def test_runs_of_random_texts(seed):
     assert found_runs(texts) == [brute_runs(t) for t in texts]
 
 
+def test_passages_that_texts_share():
+    """Equal words of two texts on the grid are no run, wherever the texts lie."""
+    rng = random.Random(0)
+    passage = [f"p{k}" for k in range(40)]
+    for n in range(60):
+        texts = [[f"{t}-{k}" for k in range(rng.randint(0, 120))] + passage + [f"{t}+{k}" for k in range(rng.randint(0, 90))] for t in range(6)]
+        texts.append(list("abc" * rng.randint(4, 9)))
+        assert found_runs(texts) == [brute_runs(t) for t in texts]
+
+
 def test_pairs_in_slices(monkeypatch):
     texts = [fibonacci(300), ["a"] * 200, list("abcd" * 40)]
     want = [brute_runs(t) for t in texts]

@@ -25,7 +25,7 @@ from anualia.functions.rut import normalize_rut
 from anualia.functions.template import quote, with_computed
 from anualia.functions.text import strip
 from anualia.plans.fees import RECEIPT_COLUMNS
-from anualia.sources.listing import list_files
+from anualia.sources.listing import list_files, with_files
 
 NBSP = "\u00a0"
 HEADER_ROW = 2  # rows 0 and 1 hold free text
@@ -50,7 +50,7 @@ def read_pages(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     html = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(
         F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     )
-    return raw.join(F.broadcast(files.select("file_path", "file_no")), "file_path").select(
+    return with_files(raw, files.select("file_path", "file_no")).select(
         "file", "file_no", html.alias("html")
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from anualia.functions.template import name
 from anualia.functions.text import missing_to_null
 from anualia.operators.sequence import number_rows
-from anualia.sources.listing import list_files, split_order
+from anualia.sources.listing import list_files, split_order, split_row, with_files
 
 
 def rent_sheet(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
@@ -18,9 +18,10 @@ def rent_sheet(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     )
     files = list_files(spark, [path])
     placed = (
-        raw.select("*", "_metadata.file_path", "_metadata.file_block_start")
-        .join(F.broadcast(files.select("file_path", "file_no")), "file_path")
-        .select(*[missing_to_null(name(c)).alias(c) for c in raw.columns], split_order().alias("_ord"))
+        with_files(
+            raw.select("*", "_metadata.file_path", "_metadata.file_block_start", split_row().alias("_row")),
+            files.select("file_path", "file_no"),
+        ).select(*[missing_to_null(name(c)).alias(c) for c in raw.columns], split_order(F.col("_row")).alias("_ord"))
     )
     return number_rows(placed, [F.col("_ord")], "row_no").drop("_ord")
 

@@ -6,7 +6,7 @@ step on, so results do not depend on the order of float additions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anualia.functions.months import MONTH_NAMES, MONTHS
@@ -187,3 +187,32 @@ def payroll_book(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('lre_', word, '_', o_orderkey % 3, '.csv') AS ARCHIVO_ORIGEN",
         "o_orderkey AS ord",
     )
+
+
+BROKEN_CELL = "31/12/2025\nde mutuo acuerdo; \"art. 159\"\r\n\nfirmado"
+
+
+def quoted_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payroll book whose contract ends, where given, have line breaks, separators and quotes."""
+    end = name(payroll.COL_CONTRACT_END)
+    return payroll_book(spark, sf_dir).withColumn(
+        payroll.COL_CONTRACT_END, F.when(F.expr(f"{end} = '31/12/2025'"), F.lit(BROKEN_CELL)).otherwise(F.expr(end))
+    )
+
+
+def book_word() -> Column:
+    """Name of a row's book without its ending."""
+    return F.expr(f"concat('lre_', get(array{tuple(MONTH_WORDS)}, cast(array_position(array{MONTHS}, MES_DJ) AS INT) - 1))")
+
+
+def ragged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of payroll books in four files each, with the headers; some have two cells too many, some too few."""
+    cells = ", ".join(f"coalesce({name(c)}, '')" for c in payroll.BOOK_COLUMNS)
+    line = f"concat_ws(';', {cells})"
+    rows = payroll_book(spark, sf_dir).withColumn("book", book_word()).selectExpr(
+        "book", "ord % 4 AS part", "ord",
+        f"CASE WHEN ord % 97 = 0 THEN concat({line}, ';9;9') WHEN ord % 89 = 0 THEN regexp_replace({line}, ';[^;]*$', '') ELSE {line} END AS value",
+    )
+    header = ";".join(payroll.BOOK_COLUMNS)
+    headers = rows.groupBy("book", "part").agg(F.lit(-1).cast("bigint").alias("ord"), F.lit(header).alias("value"))
+    return rows.unionByName(headers)

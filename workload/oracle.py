@@ -366,6 +366,18 @@ def _pay_sql() -> dict[str, str]:
             CASE WHEN k % 17 = 0 THEN '31/12/2025' WHEN k % 3 = 0 THEN 'NaT' END AS contract_end,
             CASE WHEN k % 3 = 0 THEN '$ ' || {_dots('hab')} || ',00' ELSE hab::VARCHAR END AS earnings,
             tax::VARCHAR AS tax, emp::VARCHAR AS employer, month, 'book=lre_' || word AS file FROM num""",
+        "payroll_book_quoted": w + f"""SELECT
+            CASE WHEN c % 211 <> 0 THEN {_dots('c % 80000000 + 10000000')} || '-' || {_char('c')} END AS rut,
+            CASE WHEN k % 17 = 0 THEN '31/12/2025' || chr(10) || 'de mutuo acuerdo; "art. 159"' || chr(13) || chr(10) || chr(10) || 'firmado'
+                WHEN k % 3 = 0 THEN 'NaT' END AS contract_end,
+            CASE WHEN k % 3 = 0 THEN '$ ' || {_dots('hab')} || ',00' ELSE hab::VARCHAR END AS earnings,
+            emp::VARCHAR AS employer, month, 'book=lre_' || word AS file FROM num""",
+        "payroll_book_rejects": w + f"""SELECT 'book=lre_' || word AS file, 23::INT AS cells, 21::INT AS expected,
+            CASE WHEN c % 211 <> 0 THEN {_dots('c % 80000000 + 10000000')} || '-' || {_char('c')} ELSE ' ' END AS rut
+            FROM num WHERE k % 97 = 0""",
+        "payroll_book_many": w + f"""SELECT
+            CASE WHEN c % 211 <> 0 THEN {_dots('c % 80000000 + 10000000')} || '-' || {_char('c')} END AS rut,
+            tax::VARCHAR AS tax, month FROM num""",
         "union_of_books": w + """SELECT k AS o_orderkey, hab AS earnings,
             CASE WHEN month_no <= 6 THEN tax END AS tax, CASE WHEN month_no > 6 THEN loan END AS loan FROM num""",
     }

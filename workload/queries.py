@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +14,10 @@ from anualia.operators.quality import month_coverage
 from anualia.operators.sequence import number_rows
 from anualia.params import INTERMEDIARY, for_year
 from anualia.plans import fees, payroll, rent
-from anualia.scratch import new_path
+from anualia.scratch import materialize, new_path
 from anualia.sinks.reports import write_bundle
 from anualia.sources import html_reports
-from anualia.sources.payroll_csv import payroll_book
+from anualia.sources.payroll_csv import book_rejects, payroll_book
 from workload import adapters as a
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,6 +128,56 @@ def payroll_book_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@contextmanager
+def split_size(spark: SparkSession, size: str) -> Iterator[None]:
+    """Files are read in splits of this size."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _book_paths(path: str) -> list[str]:
+    return [f"{path}/book=lre_{w}" for w in a.MONTH_WORDS]
+
+
+@query
+def payroll_book_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payroll books with line breaks inside cells, read back record by record from many splits."""
+    book = a.quoted_book(spark, sf_dir).select(*[quoted(c) for c in payroll.BOOK_COLUMNS], a.book_word().alias("book"))
+    path = new_path(spark, "quoted-books")
+    book.write.partitionBy("book").option("sep", ";").option("escape", '"').option("header", True).csv(path)
+    with split_size(spark, "64k"):
+        return materialize(payroll_book(spark, _book_paths(path)).select(
+            quoted(payroll.COL_RUT).alias("rut"), quoted(payroll.COL_CONTRACT_END).alias("contract_end"),
+            quoted(payroll.COL_EARNINGS).alias("earnings"), quoted(payroll.COL_EMPLOYER).alias("employer"),
+            F.col("MES_DJ").alias("month"), F.col("ARCHIVO_ORIGEN").alias("file"),
+        ), "quoted-book")
+
+
+@query
+def payroll_book_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of payroll books with more cells than the header."""
+    path = new_path(spark, "ragged-books")
+    lines = a.ragged_lines(spark, sf_dir)
+    lines.repartition("book", "part").sortWithinPartitions("book", "part", "ord").select("book", "part", "value").write.partitionBy("book", "part").text(path)
+    found = book_rejects(spark, _book_paths(path))
+    return found.select(F.col("file_name").alias("file"), "cells", "expected", F.split("record", ";")[0].alias("rut"))
+
+
+@query
+def payroll_book_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payroll books in more than a thousand files, listed, looked at and read in a fixed number of jobs."""
+    book = a.payroll_book(spark, sf_dir).select(*[quoted(c) for c in payroll.BOOK_COLUMNS], a.book_word().alias("book"))
+    path = new_path(spark, "many-books")
+    book.repartition(96).write.partitionBy("book").option("sep", ";").option("header", True).csv(path)
+    read = payroll_book(spark, _book_paths(path))
+    return read.select(quoted(payroll.COL_RUT).alias("rut"), quoted(payroll.COL_TAX).alias("tax"), F.col("MES_DJ").alias("month"))
+
+
 @query
 def union_of_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two books with different columns stacked by name."""

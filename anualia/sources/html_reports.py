@@ -15,6 +15,7 @@ from anualia.functions.markup import (
     cell_text,
     element_text,
     elements,
+    filled_rows,
     row_cells,
     running_text,
     table_rows,
@@ -85,7 +86,7 @@ def parse_reports(pages: DataFrame, columns: Sequence[str] = RECEIPT_COLUMNS) ->
     """
     first_table = F.get(tables(visible(F.col("html"))), F.lit(0))
     tabled = with_computed(pages.select("file", "file_no", "html"), "_table", first_table)
-    rowed = with_computed(tabled.drop("html"), "_rows", table_rows(F.col("_table")))
+    rowed = with_computed(tabled.drop("html"), "_rows", filled_rows(table_rows(F.col("_table"))))
     cells = with_computed(rowed, "_cells", row_cells(F.get("_rows", F.lit(HEADER_ROW))))
     header = F.transform("_cells", lambda c: strip(F.translate(element_text(c), NBSP, " ")))
     headed = with_computed(cells, "_header", header).drop("_cells")
@@ -95,8 +96,6 @@ def parse_reports(pages: DataFrame, columns: Sequence[str] = RECEIPT_COLUMNS) ->
 
     reason = (
         F.when(F.col("_table").isNull(), "no table found")
-        .when(F.col("_table").rlike(r"(?i)<table\b"), "nested tables")
-        .when(F.col("_table").rlike(r"(?i)\browspan\s*=\s*[\"']?0*([2-9]|1[0-9])"), "cells that span rows")
         .when(F.size("_rows") <= HEADER_ROW, "no header row")
     )
     for name in CHECKED_COLUMNS:

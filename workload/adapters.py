@@ -92,6 +92,41 @@ def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _report(spark: SparkSession, sf_dir: str, html: str) -> DataFrame:
+    return receipts(spark, sf_dir).selectExpr("concat('r', ord) AS file", "ord AS file_no", f"concat({html}) AS html")
+
+
+_REPORT_HEAD = """'<tr><td>N&deg;</td><td>Fecha</td><td>Estado</td><td>Rut</td><td>Nombre o Raz&oacute;n Social</td>',
+    '<td>Brutos</td><td>Retenido</td><td>Pagado</td></tr>'"""
+_DECLARANT = f"'Contribuyente: ', replace(upper({name(NAME)}), '#', ' '), '  RUT ', Rut"
+
+
+def spanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fee reports with two receipts each, whose date, status, payee and name are cells over two rows.
+
+    The declarant's cell goes over both rows above the header, and the name over a column more.
+    """
+    again = "cast(cast(translate(Brutos, ',', '') AS BIGINT) + 1 AS STRING)"
+    paid = "cast(cast(Pagado AS BIGINT) + 1 AS STRING)"
+    return _report(spark, sf_dir, f"""
+        '<table><tr><td rowspan="2" colspan=4>', {_DECLARANT}, '</td><td colspan=5>x</td></tr><tr><td>y</td></tr>',
+        replace(concat({_REPORT_HEAD}), '<td>Brutos', '<td>Giro</td><td>Brutos'),
+        '<tr><td>1</td><td rowspan=2>', Fecha, '</td><td ROWSPAN="2">', Estado, '</td><td rowspan=2>', Rut,
+        '</td><td rowspan=2 colspan=2>', {name(NAME)}, '</td><td>', Brutos, '</td><td>', Retenido, '</td><td>', Pagado, '</td></tr>',
+        '<tr><td>2</td><td>', {again}, '</td><td>', Retenido, '</td><td>', {paid}, '</td></tr>',
+        '<tr><td colspan=6>Totales* :</td><td>1</td><td>1</td><td rowspan=2>1</td></tr></table>'""")
+
+
+def nested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fee reports with tables in their cells, before the header, around the name and after the amounts."""
+    return _report(spark, sf_dir, f"""
+        '<div><table></table></div><table class=outer><tr><td><table><tr><td>', {_DECLARANT}, '</td></tr></table></td></tr><tr><td>y</td></tr>',
+        {_REPORT_HEAD}, '<tr><td>1</td><td>', Fecha, '</td><td>', Estado, '</td><td>', Rut,
+        '</td><td><table><tr><td><TABLE><tr><td>', {name(NAME)}, '</td></tr></TABLE></td></tr></table></td><td>', Brutos,
+        '</td><td><table><tr><th>', Retenido, '</th></tr></table></td><td>', Pagado,
+        '<table><tr></tr></table></td></tr></table><table><tr><td>Fecha</td></tr></table>'""")
+
+
 def rental_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rental sheet as text: one property per supplier and part."""
     lines = table(spark, sf_dir, "lineitem").selectExpr(

@@ -90,6 +90,11 @@ def _fee_sql() -> dict[str, str]:
         "fee_report_scan": w + _DETAIL + f""", 'r' || ord::VARCHAR AS "Archivo_Origen",
             {company} AS "Nombre_Empresa_Declarante", rut AS "Rut_Empresa_Declarante"
             FROM det WHERE NOT ({_BAD_PAGE})""",
+        "fee_report_spans": w + _DETAIL + f""", 'r' || ord::VARCHAR AS "Archivo_Origen",
+            {company} AS "Nombre_Empresa_Declarante", rut AS "Rut_Empresa_Declarante"
+            FROM (SELECT d, rut, name, b + k AS b, w, m, ord FROM det, (VALUES (0), (1)) AS twice(k))""",
+        "fee_report_nested": w + _DETAIL + f""", 'r' || ord::VARCHAR AS "Archivo_Origen",
+            {company} AS "Nombre_Empresa_Declarante", rut AS "Rut_Empresa_Declarante" FROM det""",
         "fee_report_rejects": w + f"""SELECT 'r' || ord::VARCHAR AS file,
             CASE WHEN ord % 77 = 0 THEN 'no table found' ELSE 'not exactly one column Estado' END AS reason
             FROM src WHERE {_BAD_PAGE}""",

@@ -71,6 +71,20 @@ def fee_report_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_reports.rejects(html_reports.parse_reports(a.report_pages(spark, sf_dir)))
 
 
+@query
+def fee_report_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts of reports whose cells span rows and columns."""
+    parsed = html_reports.parse_reports(a.spanned_pages(spark, sf_dir))
+    return plain(fees.detail(html_reports.fee_receipts(parsed))).drop("ord")
+
+
+@query
+def fee_report_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts of reports with tables inside cells."""
+    parsed = html_reports.parse_reports(a.nested_pages(spark, sf_dir))
+    return plain(fees.detail(html_reports.fee_receipts(parsed))).drop("ord")
+
+
 @query
 def month_from_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Month told by a file name; the first name in calendar order wins."""

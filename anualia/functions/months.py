@@ -47,13 +47,18 @@ def receipt_date(c: Column) -> Column:
     return F.try_to_timestamp(c, F.lit("d/M/yyyy")).cast("date")
 
 
+def tax_year(date: Column) -> Column:
+    """Year in which the commercial year of a date is declared."""
+    return F.year(date) + 1
+
+
 def pick(values: Sequence, month_no: Column) -> Column:
     """Value of a month out of twelve constants; null for a null month.
 
     ``get`` and not ``element_at``: on an array without nulls the latter declares
     itself not nullable and so loses a null position.
     """
-    literals = ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values)
+    literals = ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in values)
     return F.get(F.expr(f"array({literals})"), month_no - 1)
 
 
@@ -67,7 +72,7 @@ def month_number(code: Column) -> Column:
     return F.nullif(F.array_position(F.expr(f"array{MONTHS}"), code), F.lit(0)).cast("int")
 
 
-def by_month(values: Sequence[int], month_no: Column) -> Column:
+def by_month(values: Sequence[int | None], month_no: Column) -> Column:
     """Look up a 12-value parameter by month number; null month gives null."""
     return pick(values, month_no).cast("bigint")
 

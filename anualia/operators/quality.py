@@ -6,13 +6,17 @@ the one action that turns a non-empty check into an error.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from anualia.functions.months import codes_sql, mask_codes, month_bit, month_code, month_number
 
 ERROR, WARNING = "E", "W"
 
+Rule = tuple[str, str, str, str]  # severity, name, condition and message, the last two as SQL text
+
 
 class ValidationError(ValueError):
     """Raised by a gate; ``issues`` holds the full table, not only the sample shown."""
@@ -23,11 +27,10 @@ class ValidationError(ValueError):
 
 
 def issue_table(
-    df: DataFrame, ids: list[str], rules: list[tuple[str, str, str, str]]
+    df: DataFrame, ids: list[str], rules: list[Rule]
 ) -> DataFrame:
     """Long table of broken rules: ids, severity, rule, message.
 
-    A rule is severity, name, condition and message, the last two as SQL text.
     Rows without any issue leave through a plain filter first, so only faulty
     rows pay for building the list.
     """
@@ -40,6 +43,11 @@ def issue_table(
     return df.filter(broken).select(*ids, F.expr(f"inline(array_compact(array({found})))"))
 
 
+def rule_counts(issues: DataFrame, severity: str = ERROR) -> DataFrame:
+    """How often each rule of this severity is broken: rule, n."""
+    return issues.where(F.col("severity") == severity).groupBy("rule").agg(F.count("*").alias("n"))
+
+
 def gate(issues: DataFrame, severity: str = ERROR, sample: int = 20) -> None:
     """Raise if the table has an issue of this severity.
 
@@ -47,13 +55,36 @@ def gate(issues: DataFrame, severity: str = ERROR, sample: int = 20) -> None:
     available on the error and is never pulled to the driver.
     """
     bad = issues.filter(F.col("severity") == severity)
-    counts = bad.groupBy("rule").agg(F.count("*").alias("n")).orderBy("rule").collect()
+    counts = rule_counts(issues, severity).orderBy("rule").collect()
     if counts:
         lines = [f"{r['rule']}: {r['n']}" for r in counts]
         lines += [r["message"] for r in bad.select("message").limit(sample).collect()]
         raise ValidationError("the data has errors\n" + "\n".join(lines), bad)
 
 
+@dataclass(frozen=True)
+class Watch:
+    """What a frame counted while it was written; asking waits for that first action."""
+
+    observation: Observation
+    rules: list[Rule]
+
+    def rows(self) -> int:
+        return self.observation.get["rows"]
+
+    def broken(self, severity: str = ERROR) -> dict[str, int]:
+        """Broken rules of this severity and how often they are."""
+        counts = self.observation.get
+        return {rule: counts[rule] for level, rule, _, _ in self.rules if level == severity and counts[rule]}
+
+
+def watch_rules(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, Watch]:
+    """The frame, which counts its rows and broken rules during its first action, without a job of its own."""
+    watch = Watch(Observation(), rules)
+    counts = [F.expr(f"count_if({condition})").alias(rule) for _, rule, condition, _ in rules]
+    return df.observe(watch.observation, F.count(F.lit(1)).alias("rows"), *counts), watch
+
+
 def require_rows(df: DataFrame, message: str) -> None:
     """Raise if the frame is empty."""
     if df.isEmpty():

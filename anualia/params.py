@@ -87,8 +87,8 @@ class YearParameters:
     """All parameters of one commercial year, months in calendar order."""
 
     commercial_year: int
-    factor_milli: tuple[int, ...]
-    utm: tuple[int, ...]
+    factor_milli: tuple[int | None, ...]  # none for months that have no factor yet
+    utm: tuple[int | None, ...]
     brackets: tuple[Bracket, ...]
     fee_rate_milli: int
     loan_rate_milli: int
@@ -101,18 +101,29 @@ class YearParameters:
     def tax_year(self) -> int:
         return self.commercial_year + 1
 
+    @property
+    def missing_months(self) -> list[str]:
+        """Codes of the months without factor or UTM."""
+        return [m for m, f, u in zip(MONTHS, self.factor_milli, self.utm) if f is None or u is None]
+
+    def complete(self) -> YearParameters:
+        """Return self, or raise if a month has no factor or UTM."""
+        if self.missing_months:
+            raise ValueError(f"no parameters for {', '.join(self.missing_months)} of {self.commercial_year}")
+        return self
+
     def month_table(self, spark: SparkSession) -> DataFrame:
         """Twelve rows: year, month code, month number, factor, UTM."""
         schema = T.StructType([
             T.StructField("commercial_year", T.IntegerType(), False),
             T.StructField("month", T.StringType(), False),
             T.StructField("month_no", T.IntegerType(), False),
-            T.StructField("factor", T.DecimalType(4, 3), False),
-            T.StructField("utm", T.LongType(), False),
+            T.StructField("factor", T.DecimalType(4, 3), True),
+            T.StructField("utm", T.LongType(), True),
         ])
         rows = [
-            (self.commercial_year, code, i + 1, Decimal(self.factor_milli[i]) / 1000, self.utm[i])
-            for i, code in enumerate(MONTHS)
+            (self.commercial_year, code, i + 1, None if f is None else Decimal(f) / 1000, u)
+            for i, (code, f, u) in enumerate(zip(MONTHS, self.factor_milli, self.utm))
         ]
         return spark.createDataFrame(rows, schema)
 
@@ -135,7 +146,7 @@ class YearParameters:
                 b.factor_milli,
                 b.rebate_cents * utm,
             )
-            for code, utm in zip(MONTHS, self.utm)
+            for code, utm in zip(MONTHS, self.complete().utm)
             for b in self.brackets
         ]
         return spark.createDataFrame(rows, schema)
@@ -149,11 +160,11 @@ def year_parameters(
     fee_rate: str = FEE_RATE,
     loan_rate: str = LOAN_RATE,
 ) -> YearParameters:
-    """Build a parameter year from values as published (decimal text)."""
+    """Build a parameter year from values as published (decimal text); months may be absent while the year runs."""
     return YearParameters(
         commercial_year=commercial_year,
-        factor_milli=tuple(_scaled(factors[m], 1000) for m in MONTHS),
-        utm=tuple(utm[m] for m in MONTHS),
+        factor_milli=tuple(_scaled(factors[m], 1000) if m in factors else None for m in MONTHS),
+        utm=tuple(utm.get(m) for m in MONTHS),
         brackets=tuple(
             Bracket(
                 _scaled(over, 10),
@@ -186,6 +197,11 @@ def register_year(parameters: YearParameters) -> None:
     _YEARS[parameters.commercial_year] = parameters
 
 
+def registered_years() -> list[YearParameters]:
+    """The parameters of all years, by year."""
+    return [_YEARS[y] for y in sorted(_YEARS)]
+
+
 # Declarant types of the rent return.
 TENANT = "Arrendatario"
 INTERMEDIARY = "Corredor / intermediario / mandatario"
@@ -228,6 +244,15 @@ class Declaration:
             found.append(f"year of the 40-hour week out of range: {self.full_hours_year}")
         return found
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """The declaration as one row."""
+        row = [(self.name, self.rut, self.commercial_year, self.tax_year, self.declarant_type, self.full_hours_year, self.email, self.address, self.commune)]
+        return spark.createDataFrame(
+            row,
+            "Nombre string, Rut string, Anio_Comercial int, Anio_Tributario int, Tipo_Declarante string, Anio_40_Horas int,"
+            " Correo string, Domicilio string, Comuna string",
+        )
+
     def checked(self) -> "Declaration":
         """Return self, or raise with every problem found."""
         found = self.problems()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from anualia.functions.amounts import (
@@ -19,10 +19,11 @@ from anualia.functions.months import (
     receipt_date,
 )
 from anualia.functions.rut import normalize_rut, rut_order_raw
-from anualia.operators.quality import ERROR, WARNING, issue_table
+from anualia.operators.quality import ERROR, WARNING, ValidationError, issue_table
 from anualia.operators.sequence import sort_by
 from anualia.operators.totals import summary_table, total
 from anualia.params import YearParameters, for_year
+from anualia.sources.parameters import with_parameters
 
 # Column names of the receipts and of the reports.
 NAME = "Nombre o Razón Social"
@@ -65,19 +66,54 @@ def split(lines: DataFrame, params: YearParameters | None = None) -> DataFrame:
     )
 
 
+NO_DATE = "sin fecha"
+
+
+def _month_name(month_no: str) -> str:
+    """SQL text: code of the month, or the words for none."""
+    return f"coalesce(get(array{MONTHS}, {month_no} - 1), '{NO_DATE}')"
+
+
 def _factor(params: YearParameters) -> Column:
-    """Factor of the receipt's month in thousandths; no month stops the job."""
-    missing = F.raise_error(F.lit("receipts without a month have no index factor"))
+    """Factor of the receipt's month in thousandths; a month without one stops the job."""
+    missing = F.raise_error(F.expr(f"concat('receipts without an index factor: ', {_month_name('Mes')})"))
     return F.coalesce(by_month(params.factor_milli, F.col("Mes")), missing.cast("bigint"))
 
 
+def missing_months(lines: DataFrame, params: YearParameters | None = None) -> DataFrame:
+    """Months of receipts that have no index factor, with the number of receipts."""
+    params = params or for_year()
+    bad = lines.where(by_month(params.factor_milli, F.col("Mes")).isNull())
+    return bad.groupBy(F.expr(f"{_month_name('Mes')} AS month")).agg(F.count("*").alias("receipts"))
+
+
+def watched(lines: DataFrame) -> tuple[DataFrame, Observation]:
+    """The receipts, which note their months while they are written, for :func:`check_watched`."""
+    seen = Observation()
+    # Bits of the twelve months, and one more for receipts without a date.
+    bit = F.coalesce(month_bit(F.col("Mes")), F.lit(1 << 12))
+    return lines.observe(seen, F.coalesce(F.bit_or(bit), F.lit(0)).alias("months")), seen
+
+
+def check_watched(seen: Observation, params: YearParameters | None = None) -> None:
+    """Stop, naming the months, if receipts were noted in months without a factor."""
+    params = params or for_year()
+    names = [*zip(MONTHS, params.factor_milli), (NO_DATE, None)]
+    mask = seen.get["months"]
+    found = [name for i, (name, factor) in enumerate(names) if mask >> i & 1 and factor is None]
+    if found:
+        raise ValidationError("receipts in months without an index factor: " + ", ".join(found))
+
+
 def annual(
-    lines: DataFrame, params: YearParameters | None = None, normalize_keys: bool = False
+    lines: DataFrame, params: YearParameters | None = None, normalize_keys: bool = False, by_year: DataFrame | None = None
 ) -> DataFrame:
     """One row per payee: sums, restated amounts, months and month flags.
 
     ``lines`` is the result of :func:`detail` with a BIGINT ``ord`` that gives the
-    order of the receipts (it decides which spelling of a name wins).
+    order of the receipts (it decides which spelling of a name wins). With a
+    parameter table ``by_year`` (``sources.parameters``) every receipt takes the
+    factor of its own year and month.
 
     Restated amounts are summed exactly and rounded once. The first grouping is
     by payee *and* name: all its buffers are fixed-width numbers, so it is a hash
@@ -87,7 +123,12 @@ def annual(
     params = params or for_year()
     if normalize_keys:
         lines = lines.withColumn("Rut", normalize_rut(F.col("Rut")))
-    lines = split(lines.filter(F.col("Rut").isNotNull()), params).withColumn("_f", _factor(params))
+    lines = split(lines.filter(F.col("Rut").isNotNull()), params)
+    if by_year is None:
+        lines = lines.withColumn("_f", _factor(params))
+    else:
+        missing = F.raise_error(F.expr("concat('receipts without an index factor: ', coalesce(date_format(Fecha, 'yyyy-MM'), 'sin fecha'))"))
+        lines = with_parameters(lines, by_year, F.col("Fecha")).withColumn("_f", F.coalesce("factor_milli", missing.cast("bigint")))
     per_name = lines.groupBy("Rut", NAME).agg(
         *[F.sum(c).alias(c) for c in _SUMS],
         F.sum(F.col("Retenido_Honorarios") * F.col("_f")).alias("_fee"),

@@ -159,7 +159,7 @@ def lines(book: DataFrame, params: YearParameters | None = None) -> DataFrame:
     ``book`` has text columns under the official headers, plus ``MES_DJ``,
     ``ARCHIVO_ORIGEN`` and the numeric row order ``ord``.
     """
-    params = params or for_year()
+    params = (params or for_year()).complete()
     df = amounts(book).withColumn("_month_no", month_number(F.col("MES_DJ")))
     df = df.selectExpr(
         "*",
@@ -193,25 +193,45 @@ def lines(book: DataFrame, params: YearParameters | None = None) -> DataFrame:
     ).drop("_month_no", "_factor", "_utm")
 
 
-def _file_list(files: Sequence[str] | None) -> tuple[Column, Column]:
-    """Aggregate and final expression for the sorted distinct source files.
+_WORD = 63  # files in one BIGINT
+MOST_WORDS = 64  # so many words are buffers of the aggregate; more files are gathered as texts
+_GET = "CASE WHEN getbit(get(array({words}), i DIV 63), cast(i % 63 AS INT)) = 1 THEN get(array({names}), i) END"
 
-    With the file names known up front (a declaration has at most one per month)
-    the set is a bit mask, a fixed-width buffer. Otherwise it is collected.
-    """
-    if files is None or len(set(files)) > 63:
-        return (
-            F.collect_set("ARCHIVO_ORIGEN").alias("_files"),
-            F.array_join(F.array_sort("_files"), " | "),
-        )
+
+def _numbered(df: DataFrame, names: list[str]) -> DataFrame:
+    """Add the number of the source file in the sorted list; a file that is not in it raises."""
+    spark = df.sparkSession
+    numbers = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "ARCHIVO_ORIGEN string, _file int")
+    unknown = F.raise_error(F.concat(F.lit("file not in the given list: "), "ARCHIVO_ORIGEN")).cast("int")
+    # At most MOST_WORDS * 63 names.
+    joined = df.join(F.broadcast(numbers), "ARCHIVO_ORIGEN", "left")
+    return joined.withColumn("_file", F.when(F.col("ARCHIVO_ORIGEN").isNotNull(), F.coalesce("_file", unknown)))
+
+
+def _file_masks(names: list[str]) -> tuple[list[Column], Column]:
+    """Aggregates and final text for a set of numbered files: one BIGINT for each 63 of them, all fixed-width."""
+    words = range(-(-len(names) // _WORD))
+    masks = [
+        F.expr(f"coalesce(bit_or(CASE WHEN _file DIV {_WORD} = {w} THEN shiftleft(1L, _file % {_WORD}) END), 0L) AS _files{w}") for w in words
+    ]
+    get = _GET.replace("{words}", ", ".join(f"_files{w}" for w in words)).replace("{names}", ", ".join(quote(n) for n in names))
+    return masks, F.expr(f"concat_ws(' | ', transform(sequence(0, {max(len(names) - 1, 0)}), i -> {get}))")
+
+
+def _file_texts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The set of files of each key as text, for any number of files: distinct rows first, by hash."""
+    per_file = df.select(*keys, "ARCHIVO_ORIGEN").distinct().groupBy(*keys)
+    return per_file.agg(F.array_join(F.array_sort(F.collect_list("ARCHIVO_ORIGEN")), " | ").alias("ARCHIVO_ORIGEN"))
+
+
+def file_names(df: DataFrame, files: Sequence[str] | None = None) -> list[str] | None:
+    """Sorted names of the source files, or none if there are too many for masks."""
+    most = _WORD * MOST_WORDS
+    if files is None:
+        found = df.select("ARCHIVO_ORIGEN").where("ARCHIVO_ORIGEN IS NOT NULL").distinct().limit(most + 1).collect()
+        files = [r[0] for r in found]
     names = sorted(set(files))
-    bits = " ".join(f"WHEN {quote(n)} THEN {1 << i}L" for i, n in enumerate(names))
-    unknown = "cast(raise_error(concat('file not in the given list: ', ARCHIVO_ORIGEN)) AS BIGINT)"
-    texts = ", ".join(f"CASE WHEN (_files & {1 << i}L) <> 0 THEN {quote(n)} END" for i, n in enumerate(names))
-    return (
-        F.expr(f"bit_or(CASE ARCHIVO_ORIGEN {bits} ELSE {unknown} END) AS _files"),
-        F.expr(f"concat_ws(' | ', {texts})"),
-    )
+    return names if len(names) <= most else None
 
 
 def worker_month(
@@ -220,21 +240,30 @@ def worker_month(
     """One row per worker and month.
 
     The first non-empty period is found with two minima over ``ord`` and the
-    method labels with two booleans, so all buffers are fixed-width: with
-    ``files`` given, this is one hash aggregate with map-side combine and one
-    shuffle, and a worker with very many rows costs no more than any other.
+    method labels with two booleans, so all buffers are fixed-width: this is one
+    hash aggregate with map-side combine and one shuffle, and a worker with very
+    many rows costs no more than any other. The set of source files is kept in bit
+    masks over the numbered names; without ``files`` the names are looked up first.
+    Some four thousand files and more are gathered apart and joined.
     """
     df = lines(book, params)
-    file_set, file_text = _file_list(files)
-    grouped = df.groupBy("Rut_Trabajador", "MES_DJ").agg(
+    keys = ["Rut_Trabajador", "MES_DJ"]
+    names = file_names(book, files)
+    masks, file_text = _file_masks(names) if names else ([], F.lit(""))
+    per_file = _numbered(df, names) if names else df
+    grouped = per_file.groupBy(*keys).agg(
         *[F.expr(f"coalesce(sum({c}), 0L) AS {c}") for c in MONTH_SUMS],
         F.expr("min(CASE WHEN Periodo_DJ = 'F' THEN ord END) AS _first_f"),
         F.expr("min(CASE WHEN Periodo_DJ = 'C' THEN ord END) AS _first_c"),
         F.max("Horas_Semanales").alias("Horas_Semanales"),
         F.expr(f"bool_or(Metodo_Renta = '{FALLBACK}') AS _fallback"),
         F.expr(f"bool_or(Metodo_Renta = '{INFERRED}') AS _inferred"),
-        file_set,
+        *masks,
     )
+    if names is None:
+        texts = _file_texts(df, keys).withColumnsRenamed({k: f"_{k}" for k in keys})
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        grouped, file_text = grouped.join(texts, same, "left"), F.col("ARCHIVO_ORIGEN")
     return grouped.select(
         "Rut_Trabajador", "MES_DJ", *MONTH_SUMS,
         F.expr(

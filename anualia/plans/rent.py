@@ -17,7 +17,17 @@ from anualia.operators.conform import (
     number_text,
     require_columns,
 )
-from anualia.operators.quality import ERROR, WARNING, gate, issue_table, require_rows
+from anualia.operators.quality import (
+    ERROR,
+    WARNING,
+    Rule,
+    ValidationError,
+    Watch,
+    gate,
+    issue_table,
+    require_rows,
+    watch_rules,
+)
 from anualia.operators.sequence import number_rows
 from anualia.operators.totals import summary_table, total
 from anualia.params import INTERMEDIARY, TENANT, YearParameters, for_year
@@ -31,6 +41,8 @@ SHEET_COLUMNS = [
     "Rut_Arrendatario", *AMOUNT_COLUMNS, "Amoblado", "Destino_Arriendo", "DFL2",
     "Naturaleza_Bien_Raiz",
 ]
+# Fixed value: message for an empty sheet.
+NO_ROWS = "No existen bienes raíces cargados. Debes ingresar al menos un registro."
 # Codes taken when a cell is blank.
 DEFAULT_CODES = {"Amoblado": "1", "Destino_Arriendo": "2", "Naturaleza_Bien_Raiz": "2"}
 
@@ -68,7 +80,7 @@ def index_amounts(
     Every month is rounded before the sum. All of it is arithmetic over one row:
     no shuffle.
     """
-    params = params or for_year()
+    params = (params or for_year()).complete() if apply_index else params
     restated = [
         half_up_sql(f"Monto_{m} * {params.factor_milli[i]}L") if apply_index else f"Monto_{m}"
         for i, m in enumerate(MONTHS)
@@ -88,17 +100,20 @@ def base(
     return index_amounts(conform(sheet), params, apply_index)
 
 
-def issues(base_table: DataFrame, declarant_type: str = TENANT) -> DataFrame:
-    """All broken rules as a long table (row_no, severity, rule, message)."""
-    def codes(last: int) -> str:
-        return ", ".join(f"'{i}'" for i in range(1, last + 1))
-
-    checked = base_table.withColumns({
+def _checked(base_table: DataFrame, declarant_type: str) -> DataFrame:
+    return base_table.withColumns({
         "_landlord_ok": rut_is_valid(F.col("Rut_Arrendador")),
         "_tenant_ok": rut_is_valid(F.col("Rut_Arrendatario")) if declarant_type == INTERMEDIARY else F.lit(True),
     })
+
+
+def rules() -> list[Rule]:
+    """What a row of the checked base must not be."""
+    def codes(last: int) -> str:
+        return ", ".join(f"'{i}'" for i in range(1, last + 1))
+
     # Wording of the messages.
-    rules = [
+    found = [
         (ERROR, "roll", "Rol_Parte_1 = '' OR Rol_Parte_2 = ''", "falta completar el Rol del Bien Raíz."),
         (ERROR, "commune_code", "Codigo_Comuna = ''", "falta código de comuna."),
         (ERROR, "commune_name", "Comuna = ''", "falta nombre de comuna."),
@@ -113,15 +128,31 @@ def issues(base_table: DataFrame, declarant_type: str = TENANT) -> DataFrame:
         (WARNING, "no_month", " AND ".join(f"{c} <= 0" for c in AMOUNT_COLUMNS),
          "no tiene meses con monto informado."),
     ]
-    return issue_table(
-        checked, ["row_no"],
-        [(sev, rule, cond, f"concat('Fila ', row_no, ': {text}')") for sev, rule, cond, text in rules],
-    )
+    return [(sev, rule, cond, f"concat('Fila ', row_no, ': {text}')") for sev, rule, cond, text in found]
+
+
+def issues(base_table: DataFrame, declarant_type: str = TENANT) -> DataFrame:
+    """All broken rules as a long table (row_no, severity, rule, message)."""
+    return issue_table(_checked(base_table, declarant_type), ["row_no"], rules())
+
+
+def watched(base_table: DataFrame, declarant_type: str = TENANT) -> tuple[DataFrame, Watch]:
+    """The base, which counts its rows and broken rules while it is written, for :func:`check_watched`."""
+    checked, watch = watch_rules(_checked(base_table, declarant_type), rules())
+    return checked.drop("_landlord_ok", "_tenant_ok"), watch
+
+
+def check_watched(watch: Watch, base_table: DataFrame, declarant_type: str = TENANT) -> None:
+    """:func:`check` from what was counted; only a base with errors is read again, for its messages."""
+    if not watch.rows():
+        raise ValidationError(NO_ROWS)
+    if watch.broken(ERROR):
+        gate(issues(base_table, declarant_type))
 
 
 def check(base_table: DataFrame, declarant_type: str = TENANT) -> None:
     """Stop if there is nothing to declare or any row breaks a rule."""
-    require_rows(base_table, "No existen bienes raíces cargados. Debes ingresar al menos un registro.")
+    require_rows(base_table, NO_ROWS)
     gate(issues(base_table, declarant_type))
 
 

@@ -11,9 +11,11 @@ from anualia.operators.quality import ValidationError, gate, month_coverage, mon
 from anualia.operators.sequence import number_rows
 from anualia.params import MONTHS, TENANT, Declaration, for_year
 from anualia.plans import fees, payroll, rent
+from anualia.sinks.reports import read_sheet
 from anualia.sources.payroll_csv import header_names
 
 PARAMS = for_year()
+WHO = Declaration("Ana", "12.345.678-5")
 
 
 def values(spark, texts, fn):
@@ -163,7 +165,7 @@ def test_fee_job_from_files(spark, tmp_path):
     (tmp_path / "c.html").write_text("<p>nothing</p>")
     paths = [str(tmp_path / n) for n in ("a_enero.html", "b_febrero.html", "c.html")]
     jobs.run_fees(spark, paths, str(tmp_path / "out"))
-    read = lambda sheet: spark.read.parquet(str(tmp_path / "out" / sheet))
+    read = lambda sheet: read_sheet(spark, str(tmp_path / "out"), sheet)
     row = read("Resumen_Anual").first()
     assert (row["Rut"], row[fees.NAME], row["Brutos"], row["Meses"]) == ("9.876.543-2", "Muñoz & Cía", 2000, [1, 2])
     assert tuple(read("Declarante").first()) == ("ACME LTDA", "76123456-K")
@@ -177,14 +179,14 @@ def test_rent_job_and_gate(spark, tmp_path):
     good = ["61", "328", "13101", "Santiago", "1.234.567-8", "", '"500.000"', *[""] * 11, "", "", "x", ""]
     blank = [""] * len(good)
     (tmp_path / "ok.csv").write_text("\n".join([header, ",".join(good), ",".join(blank)]) + "\n")
-    jobs.run_rent(spark, str(tmp_path / "ok.csv"), str(tmp_path / "out"))
-    row = spark.read.parquet(str(tmp_path / "out" / "DJ_1835")).collect()
+    jobs.run_rent(spark, str(tmp_path / "ok.csv"), str(tmp_path / "out"), WHO)
+    row = read_sheet(spark, str(tmp_path / "out"), "DJ_1835").collect()
     assert len(row) == 1
     assert (row[0]["N°"], row[0]["Monto_Arriendo"], row[0]["Amoblado"], row[0]["DFL2"]) == (1, 518_000, "1", "X")
     bad = ["", "328", "13101", "Santiago", "x", "", *[""] * 12, "5", "", "", ""]
     (tmp_path / "bad.csv").write_text("\n".join([header, ",".join(blank), ",".join(bad)]) + "\n")
     with pytest.raises(ValidationError, match="Fila 2: falta completar el Rol") as caught:
-        jobs.run_rent(spark, str(tmp_path / "bad.csv"), str(tmp_path / "out2"))
+        jobs.run_rent(spark, str(tmp_path / "bad.csv"), str(tmp_path / "out2"), WHO)
     assert {r["rule"] for r in caught.value.issues.collect()} == {"roll", "landlord_rut", "amount", "furnished"}
 
 
@@ -212,19 +214,19 @@ def test_payroll_job_from_files(spark, tmp_path):
     (tmp_path / "lre_noviembre.csv").write_bytes(nov_book.encode("latin-1"))
     (tmp_path / "lre_diciembre.csv").write_bytes(dic_book.encode("utf-8"))
     paths = [str(tmp_path / f"lre_{m}.csv") for m in ("octubre", "noviembre", "diciembre")]
-    jobs.run_payroll(spark, paths, str(tmp_path / "out"))
-    base = spark.read.parquet(str(tmp_path / "out" / "Base_LRE_Mensual"))
+    jobs.run_payroll(spark, paths, str(tmp_path / "out"), WHO)
+    base = read_sheet(spark, str(tmp_path / "out"), "Base_LRE_Mensual")
     rows = {(r["Rut_Trabajador"], r["MES_DJ"]): r for r in base.collect()}
     first = rows[("1111111-1", "OCT")]
     assert (first["Renta_Total_Neta_Mensual"], first["Periodo_DJ"], first["ARCHIVO_ORIGEN"]) == (
         1_050_000, "C", "lre_octubre.csv")
     assert rows[("1111111-1", "NOV")]["Metodo_Renta"] == payroll.INFERRED
     assert rows[("", "DIC")]["Renta_Total_Neta_Mensual"] == 2000
-    listed = spark.read.parquet(str(tmp_path / "out" / "DJ_1887")).orderBy("N°").collect()
+    listed = read_sheet(spark, str(tmp_path / "out"), "DJ_1887").orderBy("N°").collect()
     assert [r["Rut_Trabajador"] for r in listed] == ["", "1111111-1"]
-    assert spark.read.parquet(str(tmp_path / "out" / "Resumen_1887")).count() == 28
+    assert read_sheet(spark, str(tmp_path / "out"), "Resumen_1887").count() == 28
     with pytest.raises(ValidationError):
-        jobs.run_payroll(spark, [paths[0], paths[2]], str(tmp_path / "out2"))
+        jobs.run_payroll(spark, [paths[0], paths[2]], str(tmp_path / "out2"), WHO)
 
 
 def test_file_set_by_mask_or_collected(spark):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from anualia import jobs
 from anualia.operators.quality import ValidationError
+from anualia.params import Declaration
 from anualia.plans import payroll
 from anualia.sources import quoted_records
 from anualia.sources.listing import list_files
@@ -82,7 +83,7 @@ def test_rows_with_too_many_cells_stop_the_job(spark, tmp_path):
         (tmp_path / name).mkdir()
         paths = write_books(tmp_path / name, books)
         with pytest.raises(ValidationError, match="more cells") as caught:
-            jobs.run_payroll(spark, paths, str(tmp_path / name / "out"))
+            jobs.run_payroll(spark, paths, str(tmp_path / name / "out"), Declaration("Ana", "12.345.678-5"))
         found = caught.value.issues.collect()
         assert [(r["file_name"], r["cells"], r["expected"]) for r in found] == [("lre_noviembre.csv", 22, 21)]
         assert found[0]["record"].startswith({"line": "9-9;1;", "record": '8-8;"x\ny";'}[name])

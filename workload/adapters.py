@@ -6,14 +6,16 @@ step on, so results do not depend on the order of float additions.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anualia.functions.months import MONTH_NAMES, MONTHS
 from anualia.functions.tax import tax_forward, utm_sql
 from anualia.functions.template import name
-from anualia.params import for_year
-from anualia.plans import payroll
+from anualia.params import BRACKETS_2025, FACTORS_2025, UTM_2025, YearParameters, for_year, year_parameters
+from anualia.plans import payroll, rent
 from anualia.plans.fees import NAME
 
 MONTH_WORDS = [word for word in MONTH_NAMES if word != "setiembre"]
@@ -127,6 +129,25 @@ def nested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         '<table><tr></tr></table></td></tr></table><table><tr><td>Fecha</td></tr></table>'""")
 
 
+def years_of_orders() -> list[YearParameters]:
+    """Two made-up parameter years of the orders; the later one still lacks its last two months."""
+    earlier = year_parameters(1996, {m: str(Decimal(f) + Decimal("0.010")) for m, f in FACTORS_2025.items()}, {m: u - 9000 for m, u in UTM_2025.items()}, BRACKETS_2025)
+    published = MONTHS[:10]
+    later = year_parameters(
+        1997, {m: str(Decimal(FACTORS_2025[m]) + Decimal("0.005")) for m in published}, {m: UTM_2025[m] - 4000 for m in published}, BRACKETS_2025
+    )
+    return [earlier, later]
+
+
+def blank_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rental sheet as text in which every seventh property is followed by a row without any value."""
+    sheet = rental_sheet(spark, sf_dir)
+    columns = [f"cast({name(c)} AS STRING) AS {name(c)}" for c in rent.SHEET_COLUMNS]
+    rows = sheet.selectExpr("row_no", "0 AS after", *columns)
+    blank = sheet.where("Rol_Parte_2 % 7 = 0").selectExpr("row_no", "1 AS after", *[f"cast(NULL AS STRING) AS {name(c)}" for c in rent.SHEET_COLUMNS])
+    return rows.unionByName(blank).orderBy("row_no", "after").drop("row_no", "after")
+
+
 def rental_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rental sheet as text: one property per supplier and part."""
     lines = table(spark, sf_dir, "lineitem").selectExpr(

@@ -10,6 +10,8 @@ from __future__ import annotations
 from anualia.params import BRACKETS_2025, FACTORS_2025, MONTHS, UTM_2025
 from workload.adapters import MONTH_WORDS
 
+# Headers of two compulsory columns of a payroll book.
+_WORKER, _TAX = "Rut trabajador(1101)", "Impuesto retenido por remuneraciones(3161)"
 _PARAMS = ", ".join(
     f"({i + 1}, '{m}', '{MONTH_WORDS[i]}', {FACTORS_2025[m]}::DECIMAL(4,3), {UTM_2025[m]}::BIGINT)"
     for i, m in enumerate(MONTHS)
@@ -82,6 +84,18 @@ SELECT d AS "Fecha", 'VIGENTE' AS "Estado", rut AS "Rut", name AS "Nombre", b AS
 _BAD_PAGE = "ord % 77 = 0 OR ord % 50 = 0"
 
 
+def _fee_summary() -> str:
+    return _rows("ann", [
+        ("Honorarios y Otros Art. 42 N°2 - Tasa 14,5%", "coalesce(sum(fee_up), 0)"),
+        ("Remuneración Directores Art. 48 - Tasa 10%", "max(0)"),
+        ("Remuneración Directores Art. 48 - Tasa 35%", "max(0)"),
+        ("Monto pagado anual actualizado por servicios en Isla de Pascua", "max(0)"),
+        ("3% Préstamo tasa 0% año 2021", "coalesce(sum(loan_up), 0)"),
+        ("Monto total honorarios sin actualizar", "coalesce(sum(b), 0)"),
+        ("Total casos informados", "count(DISTINCT rut)"),
+    ])
+
+
 def _fee_sql() -> dict[str, str]:
     w = f"WITH {_FEES_CTE} "
     company = "replace(upper(name), '#', ' ')"
@@ -106,18 +120,23 @@ def _fee_sql() -> dict[str, str]:
         "fee_annual": w + _ANNUAL,
         "report_bundle": w + """SELECT rut AS "Rut", name AS "Nombre", b AS "Brutos",
             fee_up AS "Honorarios_Actualizado", array_to_string(months, ',') AS "Meses" FROM ann""",
+        "report_bundle_manifest": w + """SELECT 'Resumen_Anual' AS sheet, rut AS key, b AS amount FROM ann
+            UNION ALL SELECT 'Detalle_Boletas', rut, w FROM det
+            UNION ALL SELECT 'Cuadro_Resumen', "Campo", "Monto" FROM (""" + _fee_summary() + ")",
+        "receipt_tax_year": w + """SELECT (year(d) + 1)::INT AS tax_year, count(*) AS receipts, sum(w)::BIGINT AS withheld
+            FROM det GROUP BY 1""",
+        "fee_missing_months": w + """SELECT CASE WHEN ord % 10 = 0 THEN 'sin fecha' ELSE month END AS month, count(*) AS receipts
+            FROM det JOIN p ON m = month_no WHERE ord % 10 = 0 OR m > 10 GROUP BY 1""",
+        "parameter_join_years": w + """SELECT ord, year(d)::INT AS commercial_year, m::INT AS month_no,
+            CASE WHEN year(d) = 1996 THEN utm - 9000 WHEN year(d) = 1997 AND m <= 10 THEN utm - 4000 END AS utm,
+            CASE WHEN year(d) = 1996 THEN round(w * (factor + 0.010)) WHEN year(d) = 1997 AND m <= 10 THEN round(w * (factor + 0.005)) END::BIGINT AS restated
+            FROM det JOIN p ON m = month_no""",
+        "parameter_unknown_months": w + """SELECT year(d)::INT AS commercial_year, m::INT AS month_no, count(*) AS rows
+            FROM det WHERE NOT (year(d) = 1996 OR year(d) = 1997 AND m <= 10) GROUP BY 1, 2""",
         "fee_return": w + f"""SELECT rut AS "Rut", name AS "Nombre", fee_up AS "Honorarios_Actualizado",
             {_ANN_FLAGS}, loan_up AS "Prestamo_3_Actualizado" FROM ann
             ORDER BY split_part(rut, '-', 1)::BIGINT, rut""",
-        "fee_summary": w + _rows("ann", [
-            ("Honorarios y Otros Art. 42 N°2 - Tasa 14,5%", "coalesce(sum(fee_up), 0)"),
-            ("Remuneración Directores Art. 48 - Tasa 10%", "max(0)"),
-            ("Remuneración Directores Art. 48 - Tasa 35%", "max(0)"),
-            ("Monto pagado anual actualizado por servicios en Isla de Pascua", "max(0)"),
-            ("3% Préstamo tasa 0% año 2021", "coalesce(sum(loan_up), 0)"),
-            ("Monto total honorarios sin actualizar", "coalesce(sum(b), 0)"),
-            ("Total casos informados", "count(DISTINCT rut)"),
-        ]),
+        "fee_summary": w + _fee_summary(),
         "fee_other_year": w + """SELECT rut AS "Rut", 'W' AS severity, 'other_year' AS rule,
             'receipt dated in ' || year(d)::VARCHAR AS message FROM det WHERE year(d) <> 1997""",
         "fee_missing_factor": w + """SELECT rut AS "Rut", 'E' AS severity, 'no_factor' AS rule,
@@ -206,6 +225,11 @@ def _rent_sql() -> dict[str, str]:
         "rent_index_off": w + f"""SELECT row_no, {same}, ({_R_SUM})::BIGINT AS "Monto_Arriendo" FROM rent""",
         "rent_issues": w + _rent_issues(False),
         "rent_issues_intermediary": w + _rent_issues(True),
+        "rent_gate": w + f"""SELECT rule, count(*) AS n FROM ({_rent_issues(True)}) WHERE severity = 'E' GROUP BY rule""",
+        "rent_sheet_scan": w + """SELECT row_number() OVER (ORDER BY row_no)
+              + coalesce(sum(CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END) OVER (ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS row_no,
+            roll1 AS "Rol_Parte_1", roll2 AS "Rol_Parte_2", commune AS "Comuna", landlord AS "Rut_Arrendador", r1 AS "Monto_ENE",
+            furnished AS "Amoblado", dfl2 AS "DFL2" FROM rent""",
         "rent_return": w + _rent_list("''", """, roll1 || '-' || roll2 AS "Rol" """),
         "rent_return_intermediary": w + _rent_list("tenant"),
         "rent_summary": w + _rows("rent WHERE total > 0", [
@@ -352,6 +376,12 @@ def _pay_sql() -> dict[str, str]:
             CASE WHEN coalesce({_inferred('q.tax')}, hab) > 0 THEN 'C' ELSE '' END AS "Periodo_DJ"
             FROM num AS q""",
         "payroll_worker_month": m + "SELECT * FROM wm",
+        "payroll_file_sets": w + """SELECT worker AS "Rut_Trabajador", month AS "MES_DJ", sum(tax)::BIGINT AS "IUSC",
+            string_agg(DISTINCT replace(file, '.csv', '_' || (k % 42)::VARCHAR || '.csv'), ' | '
+              ORDER BY replace(file, '.csv', '_' || (k % 42)::VARCHAR || '.csv')) AS "ARCHIVO_ORIGEN" FROM lin GROUP BY 1, 2""",
+        "book_required_columns": w + f"""SELECT book, month AS "MES_DJ", count(*) AS rows, refused FROM num, (VALUES ('whole', ''),
+            ('no tax', 'missing required columns: {_TAX}'), ('no worker, no tax', 'missing required columns: {_WORKER}, {_TAX}')) AS b(book, refused)
+            GROUP BY ALL""",
         "payroll_period_pivot": m + f'SELECT "Rut_Trabajador", {_PERIODS} FROM wm GROUP BY 1',
         "payroll_income_pivot": m + f'SELECT "Rut_Trabajador", {_INCOMES} FROM wm GROUP BY 1',
         "payroll_return": m + f"""SELECT {number} AS "Numero", {number} AS "Numero_Certificado", * FROM (

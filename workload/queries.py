@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 
 from anualia.functions import amounts, months, rut, tax
 from anualia.operators.conform import quoted, union_by_name
-from anualia.operators.quality import month_coverage
+from anualia.operators.quality import month_coverage, rule_counts
 from anualia.operators.sequence import number_rows
 from anualia.params import INTERMEDIARY, for_year
 from anualia.plans import fees, payroll, rent
 from anualia.scratch import materialize, new_path
-from anualia.sinks.reports import write_bundle
+from anualia.sinks.reports import open_bundle, read_sheet, write_bundle
 from anualia.sources import html_reports
+from anualia.sources.parameters import parameter_table, unknown_months, with_parameters
 from anualia.sources.payroll_csv import book_rejects, payroll_book
+from anualia.sources.rent_sheet import rent_sheet
 from workload import adapters as a
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -207,12 +209,51 @@ def report_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     annual = fees.annual(fees.detail(a.receipts(spark, sf_dir)))
     path = new_path(spark, "bundle")
     write_bundle(path, {"Resumen_Anual": plain(annual)}, "csv")
-    schema = "Rut string, Nombre string, Brutos bigint, Retenido bigint, Retenido_Honorarios bigint, " \
-        "Retenido_Prestamo_3 bigint, Honorarios_Actualizado bigint, Prestamo_3_Actualizado bigint, " \
-        "Pagado bigint, Meses string"
-    flags = ", ".join(f"{m} string" for m in months.MONTHS)
-    read = spark.read.schema(f"{schema}, {flags}").option("header", True).csv(f"{path}/Resumen_Anual")
-    return read.select("Rut", "Nombre", "Brutos", "Honorarios_Actualizado", "Meses")
+    return read_sheet(spark, path, "Resumen_Anual").select("Rut", "Nombre", "Brutos", "Honorarios_Actualizado", "Meses")
+
+
+@query
+def report_bundle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sheets of the latest of two bundles under one path, read through the manifest."""
+    path = new_path(spark, "bundle")
+    lines = fees.detail(a.receipts(spark, sf_dir))
+    annual = materialize(fees.annual(lines), "annual")
+    write_bundle(path, {"Cuadro_Resumen": fees.summary(annual.limit(1))})
+    write_bundle(path, {
+        "Cuadro_Resumen": fees.summary(annual), "Resumen_Anual": plain(annual), "Detalle_Boletas": plain(lines.drop("ord")),
+    })
+    bundle = open_bundle(spark, path)
+    rows = [
+        bundle.sheet(spark, "Cuadro_Resumen").select(F.lit("Cuadro_Resumen").alias("sheet"), F.col("Campo").alias("key"), F.col("Monto").alias("amount")),
+        bundle.sheet(spark, "Resumen_Anual").select(F.lit("Resumen_Anual").alias("sheet"), F.col("Rut").alias("key"), F.col("Brutos").alias("amount")),
+        bundle.sheet(spark, "Detalle_Boletas").select(F.lit("Detalle_Boletas").alias("sheet"), F.col("Rut").alias("key"), F.col("Retenido").alias("amount")),
+    ]
+    return union_by_name(rows)
+
+
+@query
+def rent_sheet_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rental sheet written as CSV and read back: places of rows, rows without a value dropped."""
+    path = new_path(spark, "sheet")
+    a.blank_sheet(spark, sf_dir).write.option("header", True).csv(path)
+    return rent.conform(rent_sheet(spark, path)).select(
+        "row_no", "Rol_Parte_1", "Rol_Parte_2", "Comuna", "Rut_Arrendador", "Monto_ENE", "Amoblado", "DFL2"
+    )
+
+
+@query
+def book_required_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of three books, and the compulsory columns for whose lack a book is refused."""
+    book = a.payroll_book(spark, sf_dir)
+    rows = []
+    for label, absent in (("whole", []), ("no tax", [payroll.COL_TAX]), ("no worker, no tax", [payroll.COL_RUT, payroll.COL_TAX])):
+        cut = book.drop(*absent)
+        try:
+            refused = payroll.amounts(cut) and ""
+        except ValueError as error:
+            refused = str(error)
+        rows.append(cut.groupBy("MES_DJ").agg(F.count("*").alias("rows")).select(F.lit(label).alias("book"), "MES_DJ", "rows", F.lit(refused).alias("refused")))
+    return union_by_name(rows)
 
 
 # ---- scalar functions --------------------------------------------------------
@@ -285,6 +326,13 @@ def receipt_date_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.withColumn("date", months.receipt_date(F.col("text"))).withColumn("month_no", F.month("date"))
 
 
+@query
+def receipt_tax_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts and withholdings by the year in which they are declared."""
+    lines = fees.detail(a.receipts(spark, sf_dir))
+    return lines.groupBy(months.tax_year(F.col("Fecha")).alias("tax_year")).agg(F.count("*").alias("receipts"), F.sum("Retenido").alias("withheld"))
+
+
 # ---- fees --------------------------------------------------------------------
 
 
@@ -341,6 +389,32 @@ def fee_missing_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fees.missing_factor_issues(fees.detail(a.receipts(spark, sf_dir).withColumn("Fecha", bad)))
 
 
+@query
+def fee_missing_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months of receipts for which no factor is published yet, and receipts without a date."""
+    bad = F.expr("IF(ord % 10 = 0, 'sin fecha', Fecha)")
+    lines = fees.detail(a.receipts(spark, sf_dir).withColumn("Fecha", bad))
+    return fees.missing_months(lines, a.years_of_orders()[1])
+
+
+@query
+def parameter_join_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts restated with the factor of their own year and month."""
+    table = parameter_table(spark, a.years_of_orders())
+    lines = fees.detail(a.receipts(spark, sf_dir)).select("ord", "Fecha", "Retenido")
+    joined = with_parameters(lines, table, F.col("Fecha"))
+    return joined.select(
+        "ord", "commercial_year", "month_no", "utm", amounts.half_up(F.col("Retenido") * F.col("factor_milli"), 1000).alias("restated")
+    )
+
+
+@query
+def parameter_unknown_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years and months of receipts that no registered year has a factor for."""
+    lines = fees.detail(a.receipts(spark, sf_dir))
+    return unknown_months(lines, parameter_table(spark, a.years_of_orders()), F.col("Fecha"))
+
+
 # ---- rent --------------------------------------------------------------------
 
 
@@ -378,6 +452,12 @@ def rent_issues_intermediary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rent.issues(rent.base(a.rental_sheet(spark, sf_dir)), INTERMEDIARY)
 
 
+@query
+def rent_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the gate of the rent return counts: errors by rule, for an intermediary."""
+    return rule_counts(rent.issues(rent.base(a.rental_sheet(spark, sf_dir)), INTERMEDIARY))
+
+
 @query
 def rent_return(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The numbered list of properties, declared by a tenant."""
@@ -504,6 +584,14 @@ def payroll_worker_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payroll.worker_month(a.payroll_book(spark, sf_dir), files=a.BOOK_FILES)
 
 
+@query
+def payroll_file_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Worker-months with their source files, out of some five hundred."""
+    named = F.expr("replace(ARCHIVO_ORIGEN, '.csv', concat('_', ord % 42, '.csv'))")
+    book = a.payroll_book(spark, sf_dir).withColumn("ARCHIVO_ORIGEN", named)
+    return payroll.worker_month(book).select("Rut_Trabajador", "MES_DJ", "ARCHIVO_ORIGEN", "IUSC")
+
+
 @query
 def payroll_period_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One period column per month."""

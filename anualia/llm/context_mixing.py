@@ -23,29 +23,36 @@ import pyarrow.compute as pc
 
 WORD_END, TEXT_END, FIRST_WORD = 256, 257, 258
 ORDERS = 3  # hashed contexts
-TABLE_BITS = 20
+LEAST_BITS, MOST_BITS = 20, 22  # of the tables of counts
+TOKENS_A_SLOT = 64
 SEGMENT = 256
 BLOCK = 16
 DEPTHS = 8
 RATE = 0.01
 PRIOR = 0.4
 ODDS_STEPS = 12
-PIECE = 12_288  # symbols coded at once
-COUNTED_AT_ONCE = 1 << 23  # decisions that wait to be counted
+PIECE = 4_096  # symbols coded at once
+COUNTED_AT_ONCE = 1 << 20  # decisions that are counted at once
 _MIX = [np.uint32(m) for m in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 _NODE = np.uint32(0x27D4EB2F)
 _SPREAD = np.uint32(0x165667B1)
 
 
+def table_bits(tokens: int) -> int:
+    """Tables of counts grow with the training text, a slot for some 64 tokens, up to a size that fits a task."""
+    return min(max(int(tokens // TOKENS_A_SLOT).bit_length(), LEAST_BITS), MOST_BITS)
+
+
 @dataclass(frozen=True)
 class Alphabet:
-    """Head words in the order of their symbols, and for each symbol its path through the tree."""
+    """Head words in the order of their symbols, and for each symbol its path through the tree: nodes, bits and gates (twice the depth, limited)."""
 
     words: pa.Array
     start: np.ndarray
     length: np.ndarray
     nodes: np.ndarray
     bits: np.ndarray
+    gate: np.ndarray
 
     @classmethod
     def build(cls, words: pa.Array | list[str], weights: np.ndarray) -> Alphabet:
@@ -74,7 +81,16 @@ class Alphabet:
             place = start[who] + length[who] - 1 - k
             nodes[place], bits[place] = inner, bit
         words = words if isinstance(words, pa.Array) else pa.array(words, pa.string())
-        return cls(words, start[:-1].astype(np.int32), length.astype(np.int32), nodes, bits)
+        depth = np.arange(start[-1]) - np.repeat(start[:-1], length)
+        gate = (np.minimum(depth, DEPTHS - 1) * 2).astype(np.uint8)
+        return cls(words, start[:-1].astype(np.int32), length.astype(np.int32), nodes, bits, gate)
+
+    def path(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the symbols' steps, one symbol after the other, and how many steps each has."""
+        counts = self.length[symbols]
+        path = np.repeat(self.start[symbols] - (counts.cumsum() - counts), counts)
+        path += np.arange(len(path))
+        return path, counts
 
     def spell(self, texts: pa.Array) -> Spelled:
         """Symbols of texts, lower-cased in A-Z, one after the other."""
@@ -149,65 +165,39 @@ class Spelled:
         return found, (before[0] < WORD_END).astype(np.uint8)
 
 
-@dataclass
-class Decisions:
-    """Decisions of a run of symbols, flat."""
+def slots(alphabet: Alphabet, path: np.ndarray, counts: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Place in the table for each step of the path, after contexts with these hashes."""
+    at = alphabet.nodes.take(path, mode="clip")
+    at *= _NODE
+    at ^= np.repeat(hashes, counts)
+    at *= _SPREAD
+    at >>= np.uint32(32 - bits)
+    return at
 
-    bits: np.ndarray
-    nodes: np.ndarray
-    depth: np.ndarray
-    slots: list[np.ndarray]  # one array of table places for each order
-    counts: np.ndarray  # decisions of each symbol
-    spelling: np.ndarray  # per decision: the symbol before was a byte
-
-
-def expand(alphabet: Alphabet, symbols: np.ndarray, hashes: list[np.ndarray], after_byte: np.ndarray) -> Decisions:
-    counts = alphabet.length[symbols]
-    total = int(counts.sum())
-    begins = counts.cumsum() - counts
-    path = np.repeat(alphabet.start[symbols] - begins, counts)
-    path += np.arange(total)
-    depth = np.arange(total, dtype=np.int32)
-    depth -= np.repeat(begins.astype(np.int32), counts)
-    nodes = alphabet.nodes.take(path, mode="clip")
-    mixed = nodes * _NODE
-    slots = []
-    for h in hashes:
-        at = np.repeat(h, counts)
-        at ^= mixed
-        at *= _SPREAD
-        at >>= np.uint32(32 - TABLE_BITS)
-        slots.append(at.astype(np.intp))
-    return Decisions(alphabet.bits.take(path, mode="clip"), nodes, depth, slots, counts, np.repeat(after_byte, counts))
-
-
-def count(alphabet: Alphabet, parts: Iterable[Spelled]) -> np.ndarray:
-    """Counts of zeros and ones for each hashed context and table place: one flat array."""
-    cells = 2 << TABLE_BITS
-    table = np.zeros((ORDERS, cells), np.int64)
-    # A pass over the whole table is spread over many pieces.
-    waiting: list[list[np.ndarray]] = [[] for _ in range(ORDERS)]
 
-    def flush() -> None:
-        for order, slots in enumerate(waiting):
-            if slots:
-                table[order] += np.bincount(np.concatenate(slots), minlength=cells)
-                slots.clear()
+def count(alphabet: Alphabet, parts: Iterable[Spelled], bits: int) -> np.ndarray:
+    """Counts of zeros and ones for each hashed context and table place: one flat array.
 
-    size = 0
+    A symbol after a context is looked at once for each part in which it occurs, however often it does.
+    """
+    cells = 2 << bits
+    table = np.zeros((ORDERS, cells), np.int64)
     for spelled in parts:
-        hashes, after = spelled.contexts()
-        for piece in spelled.pieces(PIECE):
-            d = expand(alphabet, spelled.symbols[piece], [h[piece] for h in hashes], after[piece])
-            for slots, slot in zip(waiting, d.slots):
-                slot <<= 1
-                slot |= d.bits
-                slots.append(slot.astype(np.int32))
-            size += len(d.bits)
-            if size >= COUNTED_AT_ONCE:
-                flush()
-                size = 0
-    flush()
+        hashes, _ = spelled.contexts()
+        for order, h in enumerate(hashes):
+            keys, times = np.unique(h.astype(np.uint64) << np.uint64(32) | spelled.symbols.astype(np.uint64), return_counts=True)
+            symbols, contexts = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), (keys >> np.uint64(32)).astype(np.uint32)
+            steps = alphabet.length[symbols].cumsum()
+            first = 0
+            while first < len(keys):
+                done = int(steps[first - 1]) if first else 0
+                some = slice(first, max(first + 1, int(np.searchsorted(steps, done + COUNTED_AT_ONCE))))
+                path, counts = alphabet.path(symbols[some])
+                at = slots(alphabet, path, counts, contexts[some], bits)
+                at <<= np.uint32(1)
+                at |= alphabet.bits.take(path, mode="clip")
+                np.add.at(table[order], at.astype(np.intp), np.repeat(times[some], counts))
+                first = some.stop
     return table.reshape(-1)
 
 
@@ -225,8 +215,9 @@ class Model:
     tables: np.ndarray
     weights: np.ndarray  # gates x (orders + 2): order 0, hashed orders, bias
 
-    def gates(self, d: Decisions) -> np.ndarray:
-        return np.minimum(d.depth, DEPTHS - 1) * 2 + d.spelling
+    @property
+    def table_bits(self) -> int:
+        return int(self.tables.shape[1]).bit_length() - 1
 
     def bits(self, spelled: Spelled, texts: int) -> np.ndarray:
         """Bits that each text costs."""
@@ -246,25 +237,32 @@ class Model:
         while at < len(first):
             stop = int(np.searchsorted(first, first[at] + PIECE))
             some = order[first[at] : first[stop] if stop < len(first) else len(order)]
-            d = expand(self.alphabet, spelled.symbols[some], [h[some] for h in hashes], after[some])
-            self._code(d, step[at:stop], text[at:stop], first[at:stop] - first[at], weights, total)
+            symbols, before = spelled.symbols[some], [h[some] for h in hashes]
+            self._code(symbols, before, after[some], step[at:stop], text[at:stop], first[at:stop] - first[at], weights, total)
             at = stop
-        return total
-
-    def _code(self, d: Decisions, step: np.ndarray, text: np.ndarray, first: np.ndarray, weights: np.ndarray, total: np.ndarray) -> None:
-        """Code blocks, given by their first symbols; add to the bits of their texts and refine these texts' weights."""
-        begins = np.append(0, d.counts.cumsum())[np.append(first, len(d.counts))]
-        sizes = np.diff(begins)
-        x = np.empty((ORDERS + 1, len(d.bits)), np.float32)
-        self.node_odds.take(d.nodes.astype(np.intp), mode="clip", out=x[0])
-        for row, t, slot in zip(x[1:], self.tables, d.slots):
-            np.multiply(t.take(slot, mode="clip"), np.float32(1 / ODDS_STEPS), out=row)
+        return total * float(1 / np.log(2))
+
+    def _code(
+        self, symbols: np.ndarray, hashes: list[np.ndarray], after_byte: np.ndarray, step: np.ndarray, text: np.ndarray, first: np.ndarray,
+        weights: np.ndarray, total: np.ndarray,
+    ) -> None:
+        """Code blocks, given by their first symbols; add to the costs of their texts and refine these texts' weights."""
+        path, counts = self.alphabet.path(symbols)
+        begins = np.append(0, counts.cumsum())[np.append(first, len(counts))]
+        x = np.empty((ORDERS + 1, len(path)), np.float32)
+        self.node_odds.take(self.alphabet.nodes.take(path, mode="clip"), mode="clip", out=x[0])
+        for row, t, h in zip(x[1:], self.tables, hashes):
+            at = slots(self.alphabet, path, counts, h, self.table_bits)
+            np.multiply(t.take(at, mode="clip"), np.float32(1 / ODDS_STEPS), out=row)
         groups = np.append(np.flatnonzero(np.append(True, step[1:] != step[:-1])), len(step))
         number = np.arange(len(step)) - np.repeat(groups[:-1], np.diff(groups))
-        place = np.repeat(number * (DEPTHS * 2), sizes)
-        place += self.gates(d)
-        sign = d.bits.astype(np.float32) * 2 - 1
-        cost = np.empty(len(d.bits), np.float32)
+        base = np.repeat(number * (DEPTHS * 2), np.diff(np.append(first, len(counts)))) + after_byte
+        place = np.repeat(base, counts)
+        place += self.alphabet.gate.take(path, mode="clip")
+        sign = self.alphabet.bits.take(path, mode="clip").astype(np.float32)
+        sign *= 2
+        sign -= 1
+        cost = np.empty(len(path), np.float32)
         for low, high in zip(groups[:-1].tolist(), groups[1:].tolist()):
             a, b = int(begins[low]), int(begins[high])
             texts, here, inputs, y = text[low:high], place[a:b], x[:, a:b], sign[a:b]
@@ -275,39 +273,44 @@ class Model:
             # Probability of the decision taken; the other one has the rest.
             z *= y
             np.clip(z, -15, 15, out=z)
-            p = np.exp(-z)
+            np.negative(z, out=z)
+            p = np.exp(z, out=z)
             p += 1
-            np.log2(p, out=cost[a:b])
-            error = y * (1 - 1 / p)
+            np.log(p, out=cost[a:b])
+            error = np.divide(-1, p, out=p)
+            error += 1
+            error *= y
             error *= np.float32(RATE)
             for w, v in zip(own, inputs):
                 w += np.bincount(here, error * v, len(w))
             own[-1] += np.bincount(here, error, own.shape[1])
             weights[:, texts] = own.reshape(len(weights), len(texts), -1)
-        total += np.bincount(np.repeat(text, sizes), cost, len(total))
+        total += np.bincount(text, np.add.reduceat(cost, begins[:-1], dtype=np.float64), len(total))
 
 
-def fit_weights(alphabet: Alphabet, node_odds: np.ndarray, counts: np.ndarray, parts: Iterable[Spelled]) -> np.ndarray:
-    """Gate weights by gradient steps; a decision's own count is taken out of its prediction."""
+def fit_weights(alphabet: Alphabet, node_odds: np.ndarray, counts: np.ndarray, parts: Iterable[Spelled]) -> tuple[np.ndarray, int]:
+    """Gate weights by gradient steps over whole texts, and the number of decisions; a decision's own count is taken out of its prediction."""
     pairs = counts.reshape(ORDERS, -1, 2)
+    bits = int(pairs.shape[1]).bit_length() - 1
     weights = np.zeros((DEPTHS * 2, ORDERS + 2))
     weights[:, 0] = 1.0
-    square = np.full_like(weights, 1e-2)
+    square, seen = np.full_like(weights, 1e-2), 0
     for spelled, piece in ((s, p) for s in parts for p in s.pieces(PIECE)):
         hashes, after = spelled.contexts()
-        d = expand(alphabet, spelled.symbols[piece], [h[piece] for h in hashes], after[piece])
-        y = d.bits.astype(np.float64)
-        columns = [node_odds[d.nodes].astype(np.float64)]
-        for order, slot in enumerate(d.slots):
-            pair = pairs[order][slot].astype(np.float64)
+        path, steps = alphabet.path(spelled.symbols[piece])
+        y = alphabet.bits[path].astype(np.float64)
+        columns = [node_odds[alphabet.nodes[path]].astype(np.float64)]
+        for order, h in enumerate(hashes):
+            pair = pairs[order][slots(alphabet, path, steps, h[piece], bits)].astype(np.float64)
             ones, zeros = np.maximum(pair[:, 1] - y, 0), np.maximum(pair[:, 0] - (1 - y), 0)
             columns.append(np.log((ones + PRIOR) / (zeros + PRIOR)))
         x = np.column_stack([*columns, np.ones(len(y))])
-        gate = np.minimum(d.depth, DEPTHS - 1) * 2 + d.spelling
+        gate = alphabet.gate[path] + np.repeat(after[piece], steps)
         for _ in range(4):
             p = 1.0 / (1.0 + np.exp(-np.clip((weights[gate] * x).sum(1), -30, 30)))
             total = np.maximum(np.bincount(gate, minlength=len(weights)), 1)[:, None]
             slope = np.column_stack([np.bincount(gate, (y - p) * x[:, j], len(weights)) for j in range(x.shape[1])]) / total
             square += slope**2
             weights += 0.3 * slope / np.sqrt(square)
-    return weights.astype(np.float32)
+        seen += len(y)
+    return weights.astype(np.float32), seen

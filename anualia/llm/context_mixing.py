@@ -208,6 +208,12 @@ def stretched(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(odds * ODDS_STEPS), -127, 127).astype(np.int8)
 
 
+def sizes(counts: np.ndarray) -> np.ndarray:
+    """How often each place of the tables was seen: logarithms in eighths of an octave, up to 2^15."""
+    total = counts.reshape(ORDERS, -1, 2).sum(2).astype(np.float32)
+    return np.clip(np.rint(8 * np.log2(total + 1)), 0, 127).astype(np.int8)
+
+
 @dataclass(frozen=True)
 class Model:
     alphabet: Alphabet
@@ -288,21 +294,27 @@ class Model:
         total += np.bincount(text, np.add.reduceat(cost, begins[:-1], dtype=np.float64), len(total))
 
 
-def fit_weights(alphabet: Alphabet, node_odds: np.ndarray, counts: np.ndarray, parts: Iterable[Spelled]) -> tuple[np.ndarray, int]:
-    """Gate weights by gradient steps over whole texts, and the number of decisions; a decision's own count is taken out of its prediction."""
-    pairs = counts.reshape(ORDERS, -1, 2)
-    bits = int(pairs.shape[1]).bit_length() - 1
+def fit_weights(
+    alphabet: Alphabet, node_odds: np.ndarray, tables: np.ndarray, seen: np.ndarray, parts: Iterable[Spelled]
+) -> tuple[np.ndarray, int]:
+    """Gate weights by gradient steps over whole texts, and the number of decisions.
+
+    The texts were counted, so each decision is taken out of its own prediction,
+    by the log-odds ``tables`` and the numbers ``seen`` behind them.
+    """
+    bits = int(tables.shape[1]).bit_length() - 1
     weights = np.zeros((DEPTHS * 2, ORDERS + 2))
     weights[:, 0] = 1.0
-    square, seen = np.full_like(weights, 1e-2), 0
+    square, decisions = np.full_like(weights, 1e-2), 0
     for spelled, piece in ((s, p) for s in parts for p in s.pieces(PIECE)):
         hashes, after = spelled.contexts()
         path, steps = alphabet.path(spelled.symbols[piece])
         y = alphabet.bits[path].astype(np.float64)
         columns = [node_odds[alphabet.nodes[path]].astype(np.float64)]
-        for order, h in enumerate(hashes):
-            pair = pairs[order][slots(alphabet, path, steps, h[piece], bits)].astype(np.float64)
-            ones, zeros = np.maximum(pair[:, 1] - y, 0), np.maximum(pair[:, 0] - (1 - y), 0)
+        for table, known, h in zip(tables, seen, hashes):
+            at = slots(alphabet, path, steps, h[piece], bits)
+            share, total = 1 / (1 + np.exp(-table[at] / ODDS_STEPS)), np.exp2(known[at] / 8) - 1 + 2 * PRIOR
+            ones, zeros = np.maximum(share * total - PRIOR - y, 0), np.maximum((1 - share) * total - PRIOR - (1 - y), 0)
             columns.append(np.log((ones + PRIOR) / (zeros + PRIOR)))
         x = np.column_stack([*columns, np.ones(len(y))])
         gate = alphabet.gate[path] + np.repeat(after[piece], steps)
@@ -312,5 +324,5 @@ def fit_weights(alphabet: Alphabet, node_odds: np.ndarray, counts: np.ndarray, p
             slope = np.column_stack([np.bincount(gate, (y - p) * x[:, j], len(weights)) for j in range(x.shape[1])]) / total
             square += slope**2
             weights += 0.3 * slope / np.sqrt(square)
-        seen += len(y)
-    return weights.astype(np.float32), seen
+        decisions += len(y)
+    return weights.astype(np.float32), decisions

@@ -181,7 +181,7 @@ def count(alphabet: Alphabet, parts: Iterable[Spelled], bits: int) -> np.ndarray
     A symbol after a context is looked at once for each part in which it occurs, however often it does.
     """
     cells = 2 << bits
-    table = np.zeros((ORDERS, cells), np.int64)
+    table = np.zeros((ORDERS, cells), np.uint32)
     for spelled in parts:
         hashes, _ = spelled.contexts()
         for order, h in enumerate(hashes):
@@ -196,21 +196,21 @@ def count(alphabet: Alphabet, parts: Iterable[Spelled], bits: int) -> np.ndarray
                 at = slots(alphabet, path, counts, contexts[some], bits)
                 at <<= np.uint32(1)
                 at |= alphabet.bits.take(path, mode="clip")
-                np.add.at(table[order], at.astype(np.intp), np.repeat(times[some], counts))
+                np.add.at(table[order], at.astype(np.intp), np.repeat(times[some].astype(np.uint32), counts))
                 first = some.stop
     return table.reshape(-1)
 
 
 def stretched(counts: np.ndarray) -> np.ndarray:
-    """Log-odds tables from flat counts: one row for each order, in steps of 1 / ODDS_STEPS."""
-    pairs = counts.reshape(ORDERS, -1, 2).astype(np.float32) + np.float32(PRIOR)
-    odds = np.log(pairs[:, :, 1] / pairs[:, :, 0])
+    """Log-odds of places from their flat counts, in steps of 1 / ODDS_STEPS."""
+    pairs = counts.reshape(-1, 2).astype(np.float32) + np.float32(PRIOR)
+    odds = np.log(pairs[:, 1] / pairs[:, 0])
     return np.clip(np.rint(odds * ODDS_STEPS), -127, 127).astype(np.int8)
 
 
 def sizes(counts: np.ndarray) -> np.ndarray:
-    """How often each place of the tables was seen: logarithms in eighths of an octave, up to 2^15."""
-    total = counts.reshape(ORDERS, -1, 2).sum(2).astype(np.float32)
+    """How often each place was seen: logarithms in eighths of an octave, up to 2^15."""
+    total = counts.reshape(-1, 2).sum(1).astype(np.float32)
     return np.clip(np.rint(8 * np.log2(total + 1)), 0, 127).astype(np.int8)
 
 

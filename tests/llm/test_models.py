@@ -171,7 +171,7 @@ def test_long_texts_are_coded_in_pieces_alike(monkeypatch):
         monkeypatch.setattr(cm, "PIECE", size)
         monkeypatch.setattr(cm, "COUNTED_AT_ONCE", size)
         cells = cm.count(a, [spelled], 18)
-        model = cm.Model(a, odds, cm.stretched(cells), np.full((2 * cm.DEPTHS, cm.ORDERS + 2), 0.5, np.float32))
+        model = cm.Model(a, odds, cm.stretched(cells).reshape(cm.ORDERS, -1), np.full((2 * cm.DEPTHS, cm.ORDERS + 2), 0.5, np.float32))
         found.append((cells, model.bits(spelled, 3)))
     for cells, bits in found[1:]:
         assert (cells == found[0][0]).all() and bits == pytest.approx(found[0][1], rel=1e-5)

@@ -1,7 +1,8 @@
 """Block elements of a web page, in page order, with what describes them.
 
-Elements that make a block are nodes; inline elements only add to the counts of
-the block around them. Scripts, styles and other elements without running text,
+Elements that make a block are nodes, and so are elements with names of the page's
+own and spans with attributes; other inline elements only add to the counts of
+the node around them. Scripts, styles and other elements without running text,
 comments and declarations are skipped. Open paragraphs and list items end where
 the next block begins, a page may end anywhere.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from itertools import takewhile
 
 import numpy as np
 
@@ -21,6 +23,14 @@ _BLOCKS = frozenset(
 _SKIPPED = frozenset("script style noscript template textarea title iframe svg head audio video canvas option datalist".split())
 _RAW = frozenset("script style textarea title iframe noscript".split())
 _BREAKS = frozenset(("br", "hr", "wbr"))
+_INLINE = "span"
+_HEADINGS = frozenset(("h2", "h3", "h4", "h5", "h6"))
+# Words of headings that say what stands below, in the languages of the pages.
+_SAYING = frozenset(
+    "comment comments response responses reply replies discussion kommentar kommentare antworten commentaire commentaires "
+    "réponses comentario comentarios respuestas".split()
+)
+_SAID = re.compile(r"\w+")
 # What a start tag ends when it is open: up to, not through, the elements that hold it.
 _ENDS = {
     "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu"))),
@@ -43,7 +53,11 @@ _PUNCTUATION = re.compile(r"[.,;:!?]")
 class Page:
     """Nodes of one page as parallel lists; node 0 is the root. Text pieces name their node."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, marked: bool = False):
+        self._marked = marked
+        self._unclosed: set[str] = set()
+        self._open_tags: dict[str, int] = {}
+        self._plain_spans: dict[int, int] = {}  # open spans that are no nodes, by the node around them
         self.tags: list[str] = ["root"]
         self.attrs: list[tuple[str, ...]] = [()]
         self.mark: list[int] = [-1]  # 1 or 0 where a page made for training says so
@@ -70,35 +84,47 @@ class Page:
             if name is None:
                 continue
             name = name.lower()
+            block = name in _BLOCKS or "-" in name
             if m["end"]:
                 if name == "a":
                     links = 0
-                elif name in _BLOCKS:
+                elif block:
+                    if name in _HEADINGS:
+                        self._say(stack)
                     self._close(stack, name)
                     self.pieces.append((stack[-1], " "))
                     links = 0
+                elif name == _INLINE and self._plain_spans.get(stack[-1], 0):
+                    self._plain_spans[stack[-1]] -= 1
+                elif name == _INLINE and self.tags[stack[-1]] == _INLINE:
+                    self._pop(stack)
             elif name in _SKIPPED:
                 at = self._skip(html, at, name, m["attrs"])
-            elif name in _BLOCKS:
+            elif block:
                 self._open(stack, name, m["attrs"])
                 links = 0
+            elif name == _INLINE and "=" in m["attrs"]:
+                self._node(stack, name, m["attrs"])
             elif name in _BREAKS:
                 self.pieces.append((stack[-1], " "))
             else:
                 links = 1 if name == "a" else links
+                if name == _INLINE:  # its end tag ends no node
+                    self._plain_spans[stack[-1]] = self._plain_spans.get(stack[-1], 0) + 1
                 self.counts[stack[-1]][4 if name == "input" else 3] += 1
         while len(stack) > 1:
             self._pop(stack)
         self.end[0] = len(self.tags)
 
-    @staticmethod
-    def _skip(html: str, at: int, name: str, attrs: str) -> int:
+    def _skip(self, html: str, at: int, name: str, attrs: str) -> int:
         """Where the page goes on after an element that holds no running text."""
         if attrs.rstrip().endswith("/") and name not in _RAW:
             return at
-        close = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(html, at)
-        if close:
-            return close.end()
+        if name not in self._unclosed:  # a search that found no end need not be made again further on
+            close = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(html, at)
+            if close:
+                return close.end()
+            self._unclosed.add(name)
         if name == "head":
             body = re.compile(r"<body(?=[\s/>])", re.I).search(html, at)
             return body.start() if body else at
@@ -116,8 +142,13 @@ class Page:
 
     def _open(self, stack: list[int], name: str, attrs: str) -> None:
         # A block ends an open paragraph or heading-less run; list items and cells end their like.
-        while self.tags[stack[-1]] == "p" and name not in ("label", "button", "select"):
-            self._pop(stack)
+        if self._open_tags.get("p") and name not in ("label", "button", "select"):
+            place = len(stack) - 1
+            while self.tags[stack[place]] == _INLINE:
+                place -= 1
+            if self.tags[stack[place]] == "p":
+                while len(stack) > place:
+                    self._pop(stack)
         if name in _ENDS:
             ended, within = _ENDS[name]
             for place in range(len(stack) - 1, 0, -1):
@@ -128,17 +159,20 @@ class Page:
                     while len(stack) > place:
                         self._pop(stack)
                     break
+        self.pieces.append((stack[-1], " "))
+        self._node(stack, name, attrs)
+        self.pieces.append((stack[-1], " "))
+
+    def _node(self, stack: list[int], name: str, attrs: str) -> None:
         node, parent = len(self.tags), stack[-1]
-        self.pieces.append((parent, " "))
-        tokens, mark = (), -1
+        found, mark = name.split("-") if "-" in name else [], -1
         if "=" in attrs:
-            found = []
             for key, value in _ATTR.findall(attrs):
-                if key == "data-main":
-                    mark = int(value.strip("\"'"))
-                else:
+                if key.lower() != "data-main":
                     found += [t.lower() for t in _TOKEN.findall(value)]
-            tokens = tuple(dict.fromkeys(found))
+                elif self._marked:
+                    mark = int(value.strip("\"'"))
+        tokens = tuple(dict.fromkeys(found))
         self.tags.append(name)
         self.attrs.append(tokens)
         self.mark.append(mark if mark >= 0 else self.mark[parent])
@@ -146,13 +180,28 @@ class Page:
         self.depth.append(len(stack))
         self.end.append(node + 1)
         self.counts.append([0, 0, 0, 0, 1 if name in ("button", "select") else 0])
-        self.pieces.append((node, " "))
+        self._open_tags[name] = self._open_tags.get(name, 0) + 1
         stack.append(node)
 
+    def _say(self, stack: list[int]) -> None:
+        """Words of a heading that ends here and say what its block is are tokens of that block."""
+        node = stack[-1]
+        if self.tags[node] not in _HEADINGS:
+            return
+        text = "".join(t for _, t in takewhile(lambda p: p[0] == node, reversed(self.pieces)))
+        if len(text) <= 80:
+            words = [f"says {w}" for w in _SAID.findall(text.lower()) if w in _SAYING]
+            above = self.parent[node]
+            self.attrs[above] = tuple(dict.fromkeys([*self.attrs[above], *words]))
+
     def _pop(self, stack: list[int]) -> None:
-        self.end[stack.pop()] = len(self.tags)
+        node = stack.pop()
+        self.end[node] = len(self.tags)
+        self._open_tags[self.tags[node]] -= 1
 
     def _close(self, stack: list[int], name: str) -> None:
+        if not self._open_tags.get(name):
+            return
         for place in range(len(stack) - 1, 0, -1):
             if self.tags[stack[place]] == name:
                 while len(stack) > place:

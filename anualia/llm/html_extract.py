@@ -9,9 +9,8 @@ is kept: nothing survives inside a dropped menu, and a doubtful wrapper stays
 when what it holds outweighs it.
 
 There are no labelled pages, so the trees learn from pages rebuilt for the
-purpose: paragraphs and words of at most ``SAMPLE_ROWS`` pages (picked by a hash,
-at most ``SAMPLE_CHARS`` long) are put into article and side parts of
-randomly drawn layouts, which say what each node is. The draw is seeded;
+purpose: paragraphs and words of at most ``SAMPLE_ROWS`` whole pages, picked by a
+hash, are put into article and side parts of randomly drawn layouts, which say what each node is. The draw is seeded;
 extraction reads every page whole.
 
 Defined results: null, empty and text-free pages give the empty text; text
@@ -38,7 +37,6 @@ from anualia.llm.common import hashed_sample
 from anualia.llm.dom import Page, Vocabulary, decode, features
 
 SAMPLE_ROWS = 300
-SAMPLE_CHARS = 50_000
 LAYOUTS = 1_000
 SEED = 20
 PAGES_AT_ONCE = 200
@@ -54,18 +52,24 @@ class Model:
 
 _MAIN = ["article", "main", "post", "entry content", "post-body", "story", "page-content", "articleBody", "text", "prose", "content", "entry-text", "rich-text"]
 _SIDE = {
-    "header": (("header", "div"), ["header", "masthead", "top-bar", "site-header", "page-header", "branding", "logo banner"]),
-    "menu": (("nav", "div", "ul", "menu"), ["nav", "menu", "navbar", "main-menu", "breadcrumbs", "navigation", "toc links", "skip-links", "pagination pager"]),
-    "aside": (("aside", "div", "section"), ["sidebar", "side rail", "widget", "related", "recommended posts", "aside", "read-more", "popular trending", "author-bio"]),
-    "advert": (("div", "aside", "p", "section"), ["ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner-ad", "outbrain"]),
-    "notice": (("div", "section", "dialog", "p"), ["cookie", "consent", "notice", "gdpr-banner", "alert", "popup", "modal", "paywall", "cookie-notice"]),
+    "header": (("header", "div", "site-header", "page-header"), ["header", "masthead", "top-bar", "site-header", "page-header", "branding", "logo banner"]),
+    "menu": (("nav", "div", "ul", "menu", "main-menu", "site-nav"), ["nav", "menu", "navbar", "main-menu", "breadcrumbs", "navigation", "toc links", "skip-links", "pagination pager"]),
+    "aside": (("aside", "div", "section", "related-posts", "side-bar"), ["sidebar", "side rail", "widget", "related", "recommended posts", "aside", "read-more", "popular trending", "author-bio"]),
+    "advert": (("div", "aside", "p", "section", "span", "ad-slot"), ["ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner-ad", "outbrain"]),
+    "notice": (("div", "section", "dialog", "p", "cookie-banner"), ["cookie", "consent", "notice", "gdpr-banner", "alert", "popup", "modal", "paywall", "cookie-notice"]),
     "form": (("form", "div"), ["newsletter", "subscribe", "signup", "login", "search", "contact-form"]),
-    "share": (("div", "ul"), ["share", "social", "tags", "meta", "byline", "post-meta", "tools"]),
-    "comments": (("section", "div", "ol"), ["comments", "comment-list", "responses", "replies", "disqus", "discussion", "user-comments"]),
-    "footer": (("footer", "div"), ["footer", "site-footer", "bottom", "copyright", "legal", "colophon"]),
+    "share": (("div", "ul", "span", "share-buttons"), ["share", "social", "tags", "meta", "byline", "post-meta", "tools"]),
+    "comments": (("section", "div", "ol", "user-comments"), ["comments", "comment-list", "responses", "replies", "disqus", "discussion", "user-comments"]),
+    "footer": (("footer", "div", "site-footer", "page-footer"), ["footer", "site-footer", "bottom", "copyright", "legal", "colophon"]),
 }
 
 
+_COMMENTS = ["Comments", "3 comments", "Responses", "Replies", "Discussion", "Comments (12)", "Kommentare", "Commentaires", "Comentarios"]
+# Inline parts of a running text, and inline parts that do not belong to it.
+_TERMS = ["term", "highlight", "text", "caption", "quote", "date", "name", "note", "title"]
+_TAGS_INSIDE = ["advert", "menu", "share", "ad sponsored", "promo", "social", "nav links", "tooltip hidden", "screen-reader skip"]
+
+
 class Layouts:
     """Random pages with every block marked as main (1) or not (0)."""
 
@@ -105,7 +109,8 @@ class Layouts:
         if kind == "comments":
             wrap = rng.choice(["div", "li", "article"])
             one = lambda: f"<{wrap}{self._attrs(['comment', 'reply', 'comment-body', 'response'])}><p>{self._some(1, 2)}</p><p>{rng.choice([self._paragraph(), self._some(3, 30)])}</p></{wrap}>"
-            return f"<h3>{self._some(1, 3)}</h3>" + "".join(one() for _ in range(rng.randint(1, 5)))
+            heading = rng.choice(_COMMENTS) if rng.random() < 0.6 else self._some(1, 3)
+            return f"<h3>{heading}</h3>" + "".join(one() for _ in range(rng.randint(1, 5)))
         if kind == "aside":
             return f"<h3>{self._some(1, 4)}</h3>" + rng.choice([self._links(2, 7), f"<p>{self._some(5, 40)}</p>"])
         if kind == "footer":
@@ -119,12 +124,13 @@ class Layouts:
         rng = self._rng
         tags, names = _SIDE[kind]
         tag = rng.choice(tags)
-        chance = 0.95 if tag in ("div", "p", "section", "ul", "ol") else 0.5
+        # Comments are known by their heading as well, so their block has attributes less often.
+        chance = 1.0 if tag == "span" else 0.6 if kind == "comments" else 0.95 if tag in ("div", "p", "section", "ul", "ol") else 0.5
         role = f' role="{rng.choice(["navigation", "banner", "complementary", "contentinfo"])}"' if rng.random() < 0.1 else ""
         inner = self._inner(kind)
         if tag in ("ul", "ol", "menu"):
             inner = f"<li>{inner}</li>"
-        if tag == "p":
+        if tag in ("p", "span"):
             inner = re.sub(r"</?(p|ul|li|button)>", "", inner)
         return f'<{tag} data-main="0"{self._attrs(names, chance)}{role}>{inner}</{tag}>'
 
@@ -136,6 +142,10 @@ class Layouts:
             text = self._paragraph() if rng.random() < 0.7 else self._some(1, 12)
             if kind < 0.75:
                 start = "<p><b>" if rng.random() < 0.1 else "<p>"
+                if rng.random() < 0.12:
+                    text = f'{self._some(2, 9)} <span class="{rng.choice(_TERMS)}">{self._some(1, 6)}</span> {text}'
+                if rng.random() < 0.08:
+                    text += f' <span data-main="0" class="{rng.choice(_TAGS_INSIDE)}">{self._some(1, 6)}</span>'
                 parts.append(f"{start}{text}" + ("</p>" if rng.random() < 0.85 else "<br>"))
             elif kind < 0.8:
                 parts.append(f"<h2>{self._some(1, 6)}</h2>")
@@ -172,7 +182,7 @@ class Layouts:
 def learn(paragraphs: list[str]) -> Model:
     """Trees over the nodes of marked pages that hold the given paragraphs."""
     layouts = Layouts(paragraphs or ["text"])
-    pages = [Page(layouts.page()) for _ in range(LAYOUTS)]
+    pages = [Page(layouts.page(), marked=True) for _ in range(LAYOUTS)]
     vocabulary = Vocabulary.learn(pages)
     marks = np.array([m for p in pages for m in p.mark])
     rows = features(pages, vocabulary)
@@ -181,8 +191,9 @@ def learn(paragraphs: list[str]) -> Model:
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Model:
     """Learn from paragraphs of a bounded sample of the pages."""
-    sample = hashed_sample(pages.where(F.length(html_col) <= SAMPLE_CHARS), SAMPLE_ROWS, id_col, html_col)
-    found = [re.sub(r"\s+", " ", t).strip() for r in sample.select(html_col).collect() for t in re.findall(r"(?is)<p[^>]*>([^<]{2,})", r[0])]
+    sample = hashed_sample(pages.where(F.col(html_col).isNotNull()), SAMPLE_ROWS, id_col, html_col)
+    texts = F.regexp_extract_all(html_col, F.lit(r"(?is)<p\b[^>]*>([^<]{2,})"), F.lit(1))
+    found = [re.sub(r"\s+", " ", t).strip() for r in sample.select(texts.alias("texts")).collect() for t in r["texts"]]
     return learn(found)
 
 

@@ -173,13 +173,16 @@ def spelled_digits(text: str) -> list[Edit]:
 
 _AT_WORDS = "at|arroba|arobase|klammeraffe|@|&#64;|&commat;|%40"
 _DOT_WORDS = r"dot|punkt|punto|point|\.|&#46;|&period;"
-_BRACKET = re.compile(rf"(?i)[ ]{{0,2}}[\[({{<][ ]{{0,2}}(?:(?P<at>{_AT_WORDS})|(?P<dot>{_DOT_WORDS}))[ ]{{0,2}}[\])}}>][ ]{{0,2}}")
+_BRACKET = re.compile(rf"(?i)[ \t\r\n]{{0,2}}[\[({{<][ ]{{0,2}}(?:(?P<at>{_AT_WORDS})|(?P<dot>{_DOT_WORDS}))[ ]{{0,2}}[\])}}>][ \t\r\n]{{0,2}}")
+# Gaps around the signs of an address: "jane @ example . com".
+_GAPPED = re.compile(r"(?<=[A-Za-z0-9_%+-]) @ (?=[A-Za-z0-9-]+(?: \. [A-Za-z0-9-]+)* ?\. ?[A-Za-z]{2})")
+_GAPPED_DOT = re.compile(r"[A-Za-z0-9-]+(?P<dot> \. )(?=[A-Za-z0-9])")
 _CODED = re.compile(r"(?P<at>&#64;|&commat;|%40)|(?P<dot>&#46;|&period;)")
 _NAMED_DOT = re.compile(r"(?i) (?:dot|punkt|punto|point) ")
 # After a plain dot two letters are asked for, which numbers ("at 10.30") do not have.
 _IN_WORDS = re.compile(
     r"(?i)(?P<at> (?<=[A-Za-z0-9_%+-] )(?:at|arroba|arobase) )"
-    r"(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?: (?:dot|punkt|punto|point) [A-Za-z0-9]|\.[A-Za-z]{2}))"
+    r"(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:(?P<named> (?:dot|punkt|punto|point) [A-Za-z0-9])|\.[A-Za-z]{2}))"
 )
 _DOT_AFTER = re.compile(r"(?i)(?:(?P<dot> (?:dot|punkt|punto|point) )|[A-Za-z0-9-]+|\.)")
 _NUMBER_DOTS = re.compile(r"(?i)(?<![\w.])[0-9]{1,3}(?:(?: (?:dot|punkt|punto|point) |\.)[0-9]{1,3}){3}(?![\w])")
@@ -190,12 +193,44 @@ def marked_signs(text: str) -> list[Edit]:
     edits = [(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKET.finditer(text)]
     if "&" in text or "%40" in text:
         edits += [(m.start(), m.end(), "@" if m["at"] else ".") for m in _CODED.finditer(text)]
+    for at in _GAPPED.finditer(text) if " @ " in text else ():
+        if _word_before(text, at.start()) in _NO_NAMES:
+            continue
+        edits.append((at.start(), at.end(), "@"))
+        dot = _GAPPED_DOT.match(text, at.end())
+        while dot:
+            edits.append((dot.start("dot"), dot.end("dot"), "."))
+            dot = _GAPPED_DOT.match(text, dot.end())
     return _apart(edits)
 
 
+# Words before "at" that name nobody ("look at example.com").
+_NO_NAMES = frozenset(
+    "a about all am an and any anything are arrive arrived available be been best book bought build built buy call called "
+    "check checked click come comes cost deal discount documentation down download downloads due everything find first found "
+    "free from get give given glance go good guess has have he held help here hit home hosted i information install is it "
+    "items join just knocked laugh laughed launch learn list listed listen live located look looked looking looks made me meet meeting met "
+    "more new news now off offer on one online open or order orders our out over page pages people play point pointing "
+    "post posted prices published quality rates read reading register registered rest run runs sale sales see seen sell "
+    "shop shopping shops sign site sits shouted smile smiled sold stared someone something stand start stay stop store stored stores stuff "
+    "subscribe support team than that the them then there these they thing things this those time today tool trade up us "
+    "use used visit was watch we website were what when where which while who work worked working works written you".split()
+)
+_BEFORE = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+
+
+def _word_before(text: str, end: int) -> str:
+    found = _BEFORE.search(text, max(0, end - 64), end)
+    return found[0].lower() if found else ""
+
+
 def named_signs(text: str) -> list[Edit]:
     """"at" and "dot" as words of an address."""
-    edits = [(*m.span("at"), "@") for m in _IN_WORDS.finditer(text)]
+    # Before a plain dot, "at" is a sign only after a word that can be a name.
+    edits = [
+        (*m.span("at"), "@") for m in _IN_WORDS.finditer(text)
+        if m["at"].lower() != " at " or m["named"] is not None or _word_before(text, m.start()) not in _NO_NAMES
+    ]
     if _NAMED_DOT.search(text):
         # A named dot counts after a sign for "at" or inside four numbers.
         for start in [b for _, b, _ in edits] + _plain_ats(text):
@@ -238,6 +273,7 @@ class Rewritten:
     def __init__(self, text: str):
         self.text = text
         self._pieces: list[tuple[int, int, int, int, bool]] = [(0, len(text), 0, len(text), False)]
+        self._starts = [0]
         self.edited = False
         for transducer in TRANSDUCERS:
             edits = transducer(self.text)
@@ -246,17 +282,12 @@ class Rewritten:
 
     def _source(self, start: int, end: int) -> tuple[int, int]:
         """Source span of a non-empty span."""
-        starts = self._starts
-        first = self._pieces[bisect_right(starts, start) - 1]
-        last = self._pieces[bisect_right(starts, end - 1) - 1]
+        first = self._pieces[bisect_right(self._starts, start) - 1]
+        last = self._pieces[bisect_right(self._starts, end - 1) - 1]
         begin = first[2] if first[4] else first[2] + start - first[0]
         stop = last[2] + last[3] if last[4] else last[2] + end - last[0]
         return begin, stop
 
-    @property
-    def _starts(self) -> list[int]:
-        return [p[0] for p in self._pieces]
-
     def _apply(self, edits: list[Edit]) -> None:
         out, pieces, place, done = [], [], 0, 0
 
@@ -283,18 +314,15 @@ class Rewritten:
         keep(done, len(self.text))
         out.append(self.text[done:])
         self.text, self._pieces, self.edited = "".join(out), pieces, True
+        self._starts = [p[0] for p in pieces]
 
     def _covering(self, start: int, end: int) -> list[tuple[int, int, int, int, bool]]:
         if start >= end:
             return []
-        starts = self._starts_cached()
-        first = max(bisect_right(starts, start) - 1, 0)
-        last = bisect_right(starts, end - 1)
+        first = max(bisect_right(self._starts, start) - 1, 0)
+        last = bisect_right(self._starts, end - 1)
         return self._pieces[first:last]
 
-    def _starts_cached(self) -> list[int]:
-        return self._starts
-
     def source(self, start: int, end: int) -> tuple[int, int, bool]:
         """Source span, and whether an edit lies in it."""
         begin, stop = self._source(start, end)

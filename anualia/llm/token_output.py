@@ -8,9 +8,9 @@ files, so lost executors leave no partial output and any store that Spark
 reaches will do. A segment's first place in the corpus is the number of ids in
 the segments before it.
 
-Words repeat, so each batch of texts encodes a word once. That is exact for a
-tokenizer that lower-cases, drops white space and parts letters and digits from
-signs, and whose pieces and normal form do not reach across those places.
+Words repeat, so each batch of texts encodes a word once. That is exact for the
+tokenizers that compose and lower-case, drop white space and part letters and
+digits from signs, as ``_BY_WORD`` says; with any other one whole texts are encoded.
 
 Defined results: a null or empty text has only the end id; null document ids
 come first; rows with one id keep the order they are stored in; an empty table
@@ -19,9 +19,12 @@ is a table without segments. Extra columns are ignored, whatever their names are
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,16 @@ from anualia.scratch import new_path
 WORDS_AT_ONCE = 500_000  # words whose ids are put together at once
 SEGMENT_IDS = 1 << 20  # a segment is closed when it has as many ids
 
+# Normal form and parts of the tokenizers that can be given words one by one.
+_BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"},
+    ]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
 
 # Printable ASCII signs. A run of them is cut off from letters and digits before it by the tokenizer itself.
 _SIGNS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
@@ -65,12 +78,21 @@ class WordEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._end = end_id
+        said = json.loads(Path(path).read_text(encoding="utf-8"))
+        special = [t["content"] for t in said["added_tokens"]]
+        self._by_word = (
+            all(said[k] == v for k, v in _BY_WORD.items()) and said["model"]["end_of_word_suffix"] == "</w>"
+            and all(t.startswith("<|") and not any(c.isspace() for c in t) for t in special)
+        )
         vocabulary = self._tokenizer.get_vocab()
         self._ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends_word[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, sizes) of runs of texts: all their ids, and how many each text has with its end id."""
+        if not self._by_word:
+            yield from self._encode_whole(texts)
+            return
         offsets, words = split_words(texts, lower=False)
         seen = words.dictionary_encode()
         pool, begins, sizes = self._word_ids(seen.dictionary)
@@ -88,6 +110,16 @@ class WordEncoder:
             yield ids, np.diff(np.append(0, total[stops[first:last] - done]))
             first = last
 
+    def _encode_whole(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for text in texts.to_pylist():
+            found = self._tokenizer.encode(text or "", add_special_tokens=False).ids
+            yield np.array([*found, self._end], np.uint32), np.array([len(found) + 1])
+
+    def _ends_plainly(self, stem: str) -> bool:
+        """Does the normal form of a stem end with a letter or digit, from which signs are cut off?"""
+        plain = self._tokenizer.normalizer.normalize_str(stem)
+        return unicodedata.category(plain[-1:] or " ")[0] in "LN"
+
     def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pool of ids, and for each word where its ids begin and how many they are."""
         low = pc.ascii_lower(words)
@@ -95,10 +127,12 @@ class WordEncoder:
         special = pc.match_substring(words, "<|").to_numpy(zero_copy_only=False)
         size, kept = (pc.binary_length(a).to_numpy(zero_copy_only=False) for a in (low, stems))
         signed = np.flatnonzero((kept > 0) & (kept < size) & ~special)
-        # Signs are cut off after an ASCII letter or digit, or after letters alone.
-        stem, tail = stems.take(pa.array(signed)), low.take(pa.array(signed)).cast(pa.binary()).to_pylist()
-        letters = pc.utf8_is_alpha(stem).to_numpy(zero_copy_only=False)
-        cut = [a or w[k - 1 : k].isalnum() for a, w, k in zip(letters.tolist(), tail, kept[signed].tolist())]
+        # Signs are cut off after letters and digits, as they are in the normal form.
+        tail = low.take(pa.array(signed)).cast(pa.binary()).to_pylist()
+        cut = [
+            w[k - 1 : k].isalnum() or w[k - 1] >= 0x80 and self._ends_plainly(w[:k].decode())
+            for w, k in zip(tail, kept[signed].tolist())
+        ]
         parted = np.zeros(len(words), bool)
         parted[signed] = cut
         signs = [w[k:].decode() for w, k, c in zip(tail, kept[signed].tolist(), cut) if c]
@@ -149,8 +183,9 @@ def write_ids(
     # The second key parts rows of one id; ranges are sampled from the keys alone, without the texts.
     ordered = rows.withColumn("row", F.monotonically_increasing_id())
     keys = [F.col("doc_id").asc_nulls_first(), F.col("row")]
-    parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ordered = ordered.repartitionByRange(int(parts), *keys).sortWithinPartitions(*keys).select("doc_id", "text")
+    # As many ranges as the documents have parts, so that a range does not grow with the input.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    ordered = ordered.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     ids_type = pa.list_(pa.int64() if kind == "bigint" else pa.string())
     schema = f"part int, segment int, n_ids long, doc_ids array<{kind}>, starts array<long>, codes binary"

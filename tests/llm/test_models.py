@@ -70,7 +70,7 @@ def test_unseen_layouts(page_model):
     rng = np.random.default_rng(5)
     paragraphs = [" ".join(f"w{rng.integers(500)}" for _ in range(rng.integers(8, 60))) for _ in range(80)]
     layouts = html_extract.Layouts(paragraphs, seed=99)
-    pages = [Page(layouts.page()) for _ in range(200)]
+    pages = [Page(layouts.page(), marked=True) for _ in range(200)]
     right = wrong = missed = 0
     for page, text in zip(pages, html_extract.main_texts(pages, page_model)):
         want = Counter(page.text([m == 1 for m in page.mark]).split())

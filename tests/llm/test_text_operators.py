@@ -2,12 +2,14 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -376,6 +378,31 @@ def test_addressable_codes():
                 assert reader[at] == ids[at]
 
 
+def test_word_by_word_equals_whole_texts():
+    """Random strings of hard characters have the ids that the tokenizer gives for the whole text."""
+    from anualia.llm.token_output import WordEncoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(0)
+    hard = list("aBzİıſßẞΣςéÉ9²٣½.,!?'\"-–…<|>&@()[] \t\n") + ["e\u0301", "\u0307", "\u0338", "\u00a0", "\u3000", "ﬁ", "ǅ", "日", "🎉", "\u200d", "'s", "'ll", "Σ.", "İ.", "I\u0307!", "<|endoftext|>", "क्", "ㄱ", "ά;"]
+    texts = ["".join(rng.choice(hard) for _ in range(rng.randint(1, 9))) for _ in range(50_000)] + ["BELGESİ.", "", None]
+    encoder, tokenizer = WordEncoder(path, 2), Tokenizer.from_file(path)
+    ids, sizes = (np.concatenate(x) for x in zip(*encoder.encode(pa.array(texts, pa.string()))))
+    want = [[*e.ids, 2] for e in tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    from anualia.llm.token_output import WordEncoder
+
+    texts = ["It's  two  words.", "", None, "tab\tand É"]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, tokenizer = WordEncoder(path, 7), Tokenizer.from_file(path)
+    assert not encoder._by_word and WordEncoder(public_tokenizers.path("word_bpe_49k.json"), 2)._by_word
+    ids = np.concatenate([i for i, _ in encoder.encode(pa.array(texts, pa.string()))]).tolist()
+    assert ids == [i for t in texts for i in [*tokenizer.encode(t or "", add_special_tokens=False).ids, 7]]
+
+
 def test_token_ids(spark, docs, given, no_docs):
     tokenizer = Tokenizer.from_file(queries.TOKENIZER)
     odd = [(r[0], r[1]) for r in odd_rows()]

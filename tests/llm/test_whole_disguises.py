@@ -1,8 +1,11 @@
 """Disguises that stand alone, mixed, or far from others of their kind."""
 
+import time
+
 import pytest
 
 from anualia.llm import pii
+from anualia.llm.pii import find
 
 
 def found(text):
@@ -33,3 +36,47 @@ def test_signs_alone_mixed_and_with_a_named_dot_far_off(disguised, kind):
 def test_times_and_numbers_after_at_are_no_addresses():
     for text in ("see me at 10.30 today", "it stood at 3.5 percent", "look at e.g. this", "meet at 5 p.m. sharp"):
         assert found(text) == found(f"{text}, and the point is made") == []
+
+
+CLEAN = [
+    "Look at google.com for more.", "You can find us at example.com today.", "I shop at amazon.de a lot.", "It was sold at 10.com in May.",
+    "More news at bbc.co.uk tonight", "Sign up at example.org now.", "We met at 10.30 in front of the house.", "Prices start at 9.99 per month.",
+    "Available at shop.example.com, free.", "Read it online at nytimes.com", "See the list @ home . Then go.", "meet me @ example.com",
+    "The point at issue. Com is a word.", "He pointed at it. It fell.", "Version 1 dot 2 is out.", "one two buckle my shoe three four",
+    "Stay at home. No one came.", "The shop @ 5 . It was shut.", "They laughed at everything.com did.", "the dot at the end of the line",
+]
+FOUND = {
+    "jane at example.com": (0, 19), "write to bob.smith at example.com please": (9, 33), "jane @ example . com": (0, 20),
+    "mail j.doe\n(at)\nexample.com": (5, 27), "x\t[at]\tex\t[dot]\tcom": (0, 19), "anna arroba correo.es": (0, 21), "jane at example dot com": (0, 23),
+    "me99 @ mail . example . org now": (0, 27), "Kontakt: udo at firma.de": (9, 24),
+}
+
+
+@pytest.mark.parametrize("text", CLEAN)
+def test_clean_sentences_have_no_span(text):
+    assert find(text) == []
+
+
+@pytest.mark.parametrize("text", FOUND)
+def test_disguised_addresses(text):
+    assert [(s.start, s.end, base) for s, base in find(text)] == [(*FOUND[text], False)]
+
+
+def test_no_span_is_added_to_plain_prose(spark):
+    """Of the given documents, only those with personal data, plain or disguised, have added spans."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+    added = [text[s.start : s.end] for (text,) in rows for s, base in find(text) if not base]
+    assert all(any(c.isdigit() or c in "@([{" for c in t) or " dot " in t.lower() or " at " in t.lower() for t in added)
+
+
+@pytest.mark.parametrize("piece", ["jаne (at) ехample (dot) com ", "one two three four five six, ", "a at b.com ", "x @ y . zz ", "é ＋49 plus "])
+def test_long_texts_take_time_in_proportion(piece):
+    def seconds(n):
+        text = piece * (n // len(piece))
+        began = time.process_time()
+        find(text)
+        return time.process_time() - began
+
+    seconds(1_000)
+    short, long = seconds(60_000), seconds(960_000)
+    assert long < 16 * 3 * max(short, 0.05)

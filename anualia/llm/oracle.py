@@ -47,7 +47,7 @@ SELECT doc_id, item_id, size::BIGINT AS size, max(found)::BIGINT AS found, max(f
 FROM m GROUP BY doc_id, item_id, size"""
 
 
-RULES = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
+RULES = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
     regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
 win AS (SELECT rid, i, array_to_string(w[i:i + 7], ' ') AS s
   FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
@@ -60,7 +60,7 @@ m AS (SELECT d.doc_id, w, len(w)::BIGINT AS n_words, coalesce(length(array_to_st
   FROM d JOIN ln USING (rid) LEFT JOIN rep USING (rid)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   len(list_filter(w, lambda x: upper(x) = x AND lower(x) <> x)) / n_words AS capitals,
-  len(list_filter(w, lambda x: lower(x) = upper(x))) / n_words AS signs,
+  len(list_filter(w, lambda x: lower(x) = upper(x) AND NOT regexp_matches(x, '\p{{L}}'))) / n_words AS signs,
   len(list_filter(w, lambda x: length(x) > 40)) / n_words AS long,
   len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) / n_words AS stutter FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

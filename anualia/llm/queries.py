@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anualia.llm import (
     chat_format, compression_quality, decontaminate, hard_negatives, html_extract, language_model, mixing,
-    near_duplicates, oracle, periodic_runs, pii, rules, token_counts, token_output,
+    near_duplicates, oracle, periodic_runs, pii, pipeline, rules, token_counts, token_output,
 )
 from anualia.llm.common import split_words, table
 
@@ -115,7 +114,7 @@ def all_queries() -> dict[str, Query]:
         op7_near_duplicates, op8_quality_classifier, op9_language_model, op10_token_ids, op11_periodic_runs,
         op12_chat_format, op13_hard_negatives,
     )
-    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in found} | {"pipeline": pipeline.run}
 
 
 def all_sql() -> dict[str, str]:

@@ -12,6 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from anualia.llm import pipeline
 from anualia.llm import (
     compression_quality, context_mixing as cm, html_extract, language_model, mixing, near_duplicates, queries,
 )
@@ -230,7 +231,7 @@ def test_pipeline_by_brute_force(spark):
         taken = sum(times[r.doc_id] * len(words(r.text)) for r in own)
         assert abs(taken - targets[s]) <= max(len(words(r.text)) for r in own)
 
-    tokenizer = Tokenizer.from_file(corpus_pipeline.TOKENIZER)
+    tokenizer = Tokenizer.from_file(pipeline.TOKENIZER)
     ids = stages["token ids"](spark, mixed, SF)
     start, expected = 0, []
     for i in sorted(times.elements()):

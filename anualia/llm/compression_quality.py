@@ -7,10 +7,11 @@ logistic curve over that difference and over the size per byte under the good
 dictionary turns it into a probability; it is fitted on labelled texts that had
 no part in the dictionaries.
 
-Bound of the fit: ``SAMPLE_ROWS`` labelled documents of each class, picked by
-a hash, and ``FRAGMENT`` bytes of each, from a place that
-depends on the id. The curve weighs them by the class shares of all labels.
-Scoring reads every text whole.
+Bound of the fit: some ``SAMPLE_ROWS`` labelled documents of each class, picked by
+a hash. One half of them gives the dictionaries, which hold 64 KB and see
+``FRAGMENT`` bytes of each document, from a place that depends on the id. The other
+half is measured in tasks, whole text by whole text as in scoring, and the curve is
+fitted on these measures, weighted by the class shares of all labels.
 
 Defined results: null and empty texts score as a text without any difference;
 labels that are null or contradict each other equally are not learned from; a
@@ -22,7 +23,6 @@ texts get equal scores. Extra columns are ignored by ``score`` and carried by
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,11 +32,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anualia.llm.common import broadcast_if_small, hashed_sample
+from anualia.llm.common import broadcast_if_small
+from anualia.scratch import materialize
 
 FOLDS = 3
 HELD_OUT = 1
 SAMPLE_ROWS = 4_000
+PLACES = 1 << 31  # of the hash that picks the sample
 FRAGMENT = 4_096
 DICTIONARY = 65_536
 CHUNK = 2_048
@@ -92,19 +94,59 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id) == HELD_OUT, F.lit(False))
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int) -> tuple[list, float]:
-    """Fragments of the bounded sample as (id, label, bytes), and the share of good ones among all labels."""
+def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int) -> tuple[DataFrame, float]:
+    """The sample: doc_id, label, half, place and the bytes of the whole text; and the share of good ones among all labels."""
     votes = labels.where(F.col("quality").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
     votes = votes.groupBy(F.col("doc_id").alias("key")).agg(F.avg("quality").alias("share")).where(F.col("share") != 0.5)
     votes = votes.select("key", (F.col("share") > 0.5).cast("int").alias("label"))
     # Labels without a text would leave gaps, so labels are matched before the sample is drawn.
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("bytes"))
+    half = F.pmod(F.crc32(F.concat(F.lit("half"), F.col("doc_id").cast("string")).cast("binary")), F.lit(2))
+    found = texts.join(broadcast_if_small(votes), F.col("doc_id") == F.col("key")).select(
+        "doc_id", "label", half.alias("half"), F.pmod(F.xxhash64("doc_id", "bytes"), F.lit(PLACES)).alias("place"), "bytes"
+    )
+    # Rows of one id may be many; the text is in the hash too, so only equal rows share a place.
+    below = F.lit(0)
+    for r in found.groupBy("label", "half").count().collect():
+        share = min(1.0, 1.2 * (rows // 2) / r["count"])
+        below = F.when((F.col("label") == r["label"]) & (F.col("half") == r["half"]), int(share * PLACES)).otherwise(below)
+    share = votes.agg(F.avg("label")).first()[0]
+    return found.where(F.col("place") < below), 0.5 if share is None else share
+
+
+def _least(sample: DataFrame, rows: int) -> list:
+    """At most half of ``rows`` of each label, those with the least places."""
+    order = ["place", *(c for c in sample.columns if c not in ("place", "label"))]
+    parts = [sample.where(F.col("label") == v).orderBy(*order).limit(rows // 2) for v in (1, 0)]
+    return [r for part in parts for r in part.collect()]
+
+
+def _fragments(sample: DataFrame, rows: int) -> dict[int, list[bytes]]:
+    """Pieces of the texts that the dictionaries are built from, by label."""
     span = F.greatest(F.octet_length("bytes") - FRAGMENT + 1, F.lit(1))
     cut = F.substring(F.col("bytes"), F.pmod(F.xxhash64("doc_id"), span).cast("int") + 1, F.lit(FRAGMENT))
-    found = texts.join(broadcast_if_small(votes), F.col("doc_id") == F.col("key")).select("doc_id", "label", cut.alias("bytes"))
-    parts = [hashed_sample(found.where(F.col("label") == v), rows, "doc_id", "bytes") for v in (1, 0)]
-    share = votes.agg(F.avg("label")).first()[0]
-    return [(r[0], r[1], bytes(r[2])) for part in parts for r in part.collect()], 0.5 if share is None else share
+    found = _least(sample.where("half = 0").select("label", "place", "doc_id", cut.alias("bytes")), rows)
+    return {v: [bytes(r["bytes"]) for r in found if r["label"] == v and r["bytes"]] for v in (1, 0)}
+
+
+def _measures(sample: DataFrame, model: Model, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features of whole texts of the other half, and their labels."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = Compressors(shared.value)
+        for batch in batches:
+            found = np.array([pair.features(t.as_py()) for t in batch.column(2)]).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["label", "place", "difference", "rate"]
+            )
+
+    texts = sample.where("half = 1").select("label", "place", "bytes")
+    # Written once: both labels are read from it.
+    table = materialize(texts.mapInArrow(measured, "label int, place long, difference double, rate double"), "quality-measures")
+    found = _least(table, rows)
+    points = np.array([(r["difference"], r["rate"]) for r in found]).reshape(-1, 2)
+    return points, np.array([r["label"] for r in found], dtype=float)
 
 
 def _dictionary(samples: list[bytes]) -> bytes:
@@ -132,16 +174,14 @@ def _logistic(points: np.ndarray, labels: np.ndarray, share: float) -> tuple[flo
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Model:
     """Dictionaries from one half of the sample, the curve from the other half."""
     sample, share = _labelled(docs, labels, id_col, text_col, rows)
-    first = [(label, text) for doc_id, label, text in sample if zlib.crc32(b"half" + str(doc_id).encode()) % 2 == 0]
-    rest = [(label, text) for doc_id, label, text in sample if zlib.crc32(b"half" + str(doc_id).encode()) % 2 == 1]
-    good, bad = ([t for label, t in first if label == v and t] for v in (1, 0))
-    if not good or not bad or len({label for label, _ in rest}) < 2:
-        odds = float(np.log(share / (1 - share))) if 0 < share < 1 else (30.0 if share == 1 else -30.0)
-        return Model(b"", b"", (odds, 0.0, 0.0))
-    raw = Model(_dictionary(good), _dictionary(bad), (0.0, 0.0, 0.0))
-    pair = Compressors(raw)
-    points = np.array([pair.features(t) for _, t in rest])
-    return Model(raw.good, raw.bad, _logistic(points, np.array([label for label, _ in rest], dtype=float), share))
+    pieces = _fragments(sample, rows)
+    if pieces[0] and pieces[1]:
+        raw = Model(_dictionary(pieces[1]), _dictionary(pieces[0]), (0.0, 0.0, 0.0))
+        points, kinds = _measures(sample, raw, rows)
+        if len(set(kinds.tolist())) == 2:
+            return Model(raw.good, raw.bad, _logistic(points, kinds, share))
+    odds = float(np.log(share / (1 - share))) if 0 < share < 1 else (30.0 if share == 1 else -30.0)
+    return Model(b"", b"", (odds, 0.0, 0.0))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -142,7 +142,8 @@ def write_conversations(events: DataFrame, path: str | None = None, order: tuple
     """
     path = path or new_path(events.sparkSession, "conversations")
     place = ["conv_id", "turn", *order, "message"]
-    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # As many ranges as the log has parts, so that a range does not grow with the input.
+    parts = max(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), events.rdd.getNumPartitions())
     # All events of a message have the same place, so they meet in one task.
     dealt = events.repartitionByRange(parts, *[F.col(c).asc_nulls_first() for c in place])
     ordered = dealt.sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in place], "seq")

@@ -20,6 +20,8 @@ GAP = r"[\x20\x09-\x0D]+"
 
 # Rows of a table that may be broadcast; at some 100 bytes a row this is 50 MB.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 50_000_000  # where rows have no bound of their own
+SALTS = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +48,28 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df.hint("merge")
 
 
+def salted_join(rows: DataFrame, table: DataFrame, key: str, spread: Column) -> DataFrame:
+    """Inner join for a ``table`` beyond the broadcast bound whose keys may be those of a great share of ``rows``.
+
+    ``spread``, an expression over ``rows``, tells the rows of one key apart; they
+    are dealt to ``SALTS`` parts, each of which has every row of the table.
+    """
+    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
+    copies = table.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return rows.withColumn("_salt", salt).join(copies.hint("merge"), [key, "_salt"]).drop("_salt")
+
+
+def join_small(rows: DataFrame, table: DataFrame, key: str, spread: Column, size: Column | None = None) -> DataFrame:
+    """Inner join by broadcast if the table is within the bound, else by a salted shuffle.
+
+    ``size`` are the bytes of a row of the table where these have no bound.
+    """
+    fits = small(table)
+    if fits and size is not None:
+        fits = (table.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
+    return rows.join(F.broadcast(table), key) if fits else salted_join(rows, table, key, spread)
+
+
 def hashed_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
     """About ``rows`` rows, at most that many: those with the least hash of their key.
 

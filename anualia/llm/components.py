@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from anualia.llm.common import salted_join
 from anualia.scratch import materialize
 
 
@@ -27,7 +28,10 @@ def least_labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         held = labels.select(F.col("node").alias("at"), F.col("label").alias("offer"))
         own = labels.select("node", "label", F.col("label").alias("old"))
         near = edges.join(held, F.col("b") == F.col("at")).select(F.col("a").alias("node"), F.col("offer").alias("label"))
-        far = labels.join(held, F.col("label.node") == F.col("at")).select("node", F.col("offer").alias("label"))
+        # All nodes of a large component name the same node, whose label is looked up once for each name.
+        named = labels.select(F.col("label.node").alias("at")).distinct().join(held, "at")
+        asking = labels.select("node", F.col("label.node").alias("at"))
+        far = salted_join(asking, named, "at", F.col("node")).select("node", F.col("offer").alias("label"))
         offers = own.unionByName(near, allowMissingColumns=True).unionByName(far, allowMissingColumns=True)
         best = offers.groupBy("node").agg(F.min("label").alias("label"), F.min("old").alias("old"))
         labels = materialize(best.select("node", "label", (F.col("label") != F.col("old")).alias("moved")), "labels")

@@ -18,6 +18,10 @@ Defined results: null and blank texts and items match nothing; a null id is
 reported as null; rows of one id are searched apart and reported once with the
 highest containment; repeated items are found each; an empty table on either
 side gives no rows. Extra columns are ignored, whatever their names are.
+
+Samples and items are broadcast up to a bound in rows, items in bytes too. Beyond it
+they are joined by a shuffle in which the documents of one hash or item are dealt to
+several tasks, so that a phrase or an item in a third of all documents fills none.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from anualia.llm.common import broadcast_if_small
+from anualia.llm.common import broadcast_if_small, join_small
 from anualia.scratch import materialize
 
 SHINGLE = 5
@@ -94,7 +98,8 @@ def matches(
 
     words = docs.select(F.col(id_col).alias("doc_id"), normal_words(F.col(text_col)).alias("words"))
     hashed = words.select("doc_id", F.explode(_shingles(F.col("words"), lengths, F.xxhash64)).alias("hash"))
-    hits = hashed.join(broadcast_if_small(samples), "hash").groupBy("doc_id", "item").agg(
+    # A phrase that many documents share is a hot hash; map-side where the samples fit, else dealt by document.
+    hits = join_small(hashed, samples, "hash", F.col("doc_id")).groupBy("doc_id", "item").agg(
         F.count("*").alias("hits"), F.min("needed").alias("needed")
     )
     pairs = materialize(hits.where(F.col("hits") >= F.col("needed")).select(F.col("doc_id").alias("key"), "item"), "bench-pairs")
@@ -107,9 +112,10 @@ def matches(
     shingled = texts.select("doc_id", normal_words(F.col("text")).alias("words"))
     shingled = shingled.select("doc_id", _shingles(F.col("words"), lengths, _joined).alias("held"))
     found = F.size(F.array_intersect("held", "shingles"))
+    candidates = shingled.join(broadcast_if_small(pairs), F.col("doc_id").eqNullSafe(F.col("key"))).drop("key")
+    item_bytes = F.octet_length(F.array_join("shingles", " "))
     return (
-        shingled.join(broadcast_if_small(pairs), F.col("doc_id").eqNullSafe(F.col("key")))
-        .join(broadcast_if_small(items), "item")
+        join_small(candidates, items.select("item", "item_id", "size", "shingles"), "item", F.col("doc_id"), item_bytes)
         .select("doc_id", "item_id", F.col("size").cast("long").alias("size"), found.cast("long").alias("found"))
         .where(F.col("found") >= F.ceil(F.round(F.col("size") * threshold, 6)))
         .groupBy("doc_id", "item_id", "size").agg(F.max("found").alias("found"))

@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from anualia.scratch import materialize
+
 SPACES = " \t\n\x0b\f\r"
 GAP = r"[\x20\x09-\x0D]+"
 
@@ -22,6 +24,7 @@ GAP = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 50_000_000  # where rows have no bound of their own
 SALTS = 8
+HOT_ROWS = 1 << 18  # a key with more rows is joined apart
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +62,18 @@ def salted_join(rows: DataFrame, table: DataFrame, key: str, spread: Column) ->
     return rows.withColumn("_salt", salt).join(copies.hint("merge"), [key, "_salt"]).drop("_salt")
 
 
+def hot_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Inner join by shuffle with a table that has a key once; keys on more than ``HOT_ROWS`` rows are broadcast.
+
+    There is at most one such key for each ``HOT_ROWS`` rows. ``rows`` and ``table`` are read twice.
+    """
+    often = rows.groupBy(key).agg(F.count("*").alias("_times")).where(F.col("_times") > HOT_ROWS).select(key)
+    often = materialize(often, "hot-keys")
+    few = F.broadcast(often)
+    hot = rows.join(F.broadcast(table.join(few, key)), key)
+    return rows.join(few, key, "left_anti").join(table.hint("merge"), key).unionByName(hot)
+
+
 def join_small(rows: DataFrame, table: DataFrame, key: str, spread: Column, size: Column | None = None) -> DataFrame:
     """Inner join by broadcast if the table is within the bound, else by a salted shuffle.
 

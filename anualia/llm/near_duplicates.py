@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anualia.llm.common import broadcast_if_small
+from anualia.llm.common import hot_join, join_small
 from anualia.llm.components import least_labels
 from anualia.llm.covering import Code
 from anualia.scratch import materialize
@@ -111,7 +111,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     members = materialize(nodes.select("node").mapInArrow(replicated, "anchor long, node long"), "simhash-anchors")
     ends = members.groupBy("anchor").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     shared = materialize(ends.where(F.col("low") < F.col("high")).select("anchor"), "simhash-shared")
-    near = members.join(broadcast_if_small(shared), "anchor", "left_semi").select("anchor", "node")
+    near = join_small(members, shared, "anchor", F.col("node")).select("anchor", "node")
     met = near.mapInArrow(cells, "word long, node long").groupBy("word").agg(F.sort_array(F.collect_set("node")).alias("all"))
     met = met.where(F.size("all") > 1)
     if max_bits % 2 == 0:
@@ -141,7 +141,8 @@ def classes(
     """Per document: doc_id, node (fingerprint) and component_id, the least id that links reach."""
     printed = materialize(fingerprints(docs, shingle, id_col, text_col), "simhash-prints")
     labels = materialize(components(printed, max_bits).select("node", F.col("label.doc_id").alias("component_id")), "simhash-classes")
-    return printed.join(labels.hint("merge"), "node").select("doc_id", "node", "component_id")
+    # Copies, and texts without words, share a fingerprint however many they are.
+    return hot_join(printed, labels, "node").select("doc_id", "node", "component_id")
 
 
 def keep_one(

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from anualia.llm import common, components, decontaminate
+from anualia.llm import common, components, decontaminate, near_duplicates
 from tests.llm.conftest import prose
 
 PHRASE = "as it was said before in the notes of this page"
@@ -46,3 +46,15 @@ def test_one_component_with_most_nodes(spark):
     nodes = edges.select(F.col("a").alias("node")).distinct().select("node", F.struct("node").alias("label"))
     got = {r.node: r.label.node for r in components.least_labels(edges, nodes).collect()}
     assert got == {n: 0 for n in range(71)} | {n: 1000 for n in range(1000, 1200)}
+
+
+def test_near_duplicates_with_hot_fingerprints(spark, monkeypatch):
+    base = prose(60, 40)
+    rows = [(i, base) for i in range(30)] + [(50 + i, "") for i in range(20)] + [(None, base), (None, None), (7, base)]
+    rows += [(200 + i, prose(700 + i, 30)) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(near_duplicates.classes(docs).collect(), key=str)
+    assert len(want) == len(rows) and {r.component_id for r in want} == {0, 50, *range(200, 210)}
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert sorted(near_duplicates.classes(docs).collect(), key=str) == want

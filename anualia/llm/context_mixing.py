@@ -30,6 +30,8 @@ BLOCK = 16
 DEPTHS = 8
 RATE = 0.01
 PRIOR = 0.4
+START = np.array([0.6, 0.4, 0.4, 0.4, 0.0], np.float32)  # weights from which the fit begins: order 0, hashed orders, bias
+DAMPING = 20.0  # how many decisions they stand for
 ODDS_STEPS = 12
 PIECE = 4_096  # symbols coded at once
 COUNTED_AT_ONCE = 1 << 20  # decisions that are counted at once
@@ -256,9 +258,14 @@ class Model:
         path, counts = self.alphabet.path(symbols)
         begins = np.append(0, counts.cumsum())[np.append(first, len(counts))]
         x = np.empty((ORDERS + 1, len(path)), np.float32)
-        self.node_odds.take(self.alphabet.nodes.take(path, mode="clip"), mode="clip", out=x[0])
-        for row, t, h in zip(x[1:], self.tables, hashes):
-            at = slots(self.alphabet, path, counts, h, self.table_bits)
+        nodes = self.alphabet.nodes.take(path, mode="clip")
+        self.node_odds.take(nodes, mode="clip", out=x[0])
+        nodes *= _NODE
+        for row, t, h in zip(x[1:], self.tables, hashes):  # places as in ``slots``
+            at = np.repeat(h, counts)
+            at ^= nodes
+            at *= _SPREAD
+            at >>= np.uint32(32 - self.table_bits)
             np.multiply(t.take(at, mode="clip"), np.float32(1 / ODDS_STEPS), out=row)
         groups = np.append(np.flatnonzero(np.append(True, step[1:] != step[:-1])), len(step))
         number = np.arange(len(step)) - np.repeat(groups[:-1], np.diff(groups))
@@ -294,35 +301,59 @@ class Model:
         total += np.bincount(text, np.add.reduceat(cost, begins[:-1], dtype=np.float64), len(total))
 
 
-def fit_weights(
-    alphabet: Alphabet, node_odds: np.ndarray, tables: np.ndarray, seen: np.ndarray, parts: Iterable[Spelled]
-) -> tuple[np.ndarray, int]:
-    """Gate weights by gradient steps over whole texts, and the number of decisions.
+def _left_out() -> np.ndarray:
+    """Log-odds of a table place without the decision itself: by the decision, the place's log-odds and its size."""
+    share = 1 / (1 + np.exp(-np.arange(256, dtype=np.uint8).view(np.int8).astype(float) / ODDS_STEPS))[:, None]
+    total = np.exp2(np.arange(256) / 8) - 1 + 2 * PRIOR
+    found = []
+    for y in (0, 1):
+        ones, zeros = np.maximum(share * total - PRIOR - y, 0), np.maximum((1 - share) * total - PRIOR - (1 - y), 0)
+        found.append(np.log((ones + PRIOR) / (zeros + PRIOR)))
+    return np.stack(found).reshape(-1).astype(np.float32)
 
-    The texts were counted, so each decision is taken out of its own prediction,
-    by the log-odds ``tables`` and the numbers ``seen`` behind them.
+
+def weight_sums(alphabet: Alphabet, node_odds: np.ndarray, both: np.ndarray, parts: Iterable[Spelled]) -> np.ndarray:
+    """What the fit of the gate weights needs of some texts: slope and curvature of the costs of all decisions, by gate.
+
+    The sums of several tasks add up, so the fit does not hang on the order of
+    texts. ``both`` holds log-odds and sizes of the tables, a byte each. The texts
+    were counted, so each decision is taken out of its own prediction.
     """
-    bits = int(tables.shape[1]).bit_length() - 1
-    weights = np.zeros((DEPTHS * 2, ORDERS + 2))
-    weights[:, 0] = 1.0
-    square, decisions = np.full_like(weights, 1e-2), 0
-    for spelled, piece in ((s, p) for s in parts for p in s.pieces(PIECE)):
+    bits = int(both.shape[1]).bit_length() - 1
+    inputs = ORDERS + 2
+    left_out = _left_out()
+    sums = np.zeros((DEPTHS * 2, inputs + 1, inputs))
+    for spelled in parts:
         hashes, after = spelled.contexts()
-        path, steps = alphabet.path(spelled.symbols[piece])
-        y = alphabet.bits[path].astype(np.float64)
-        columns = [node_odds[alphabet.nodes[path]].astype(np.float64)]
-        for table, known, h in zip(tables, seen, hashes):
-            at = slots(alphabet, path, steps, h[piece], bits)
-            share, total = 1 / (1 + np.exp(-table[at] / ODDS_STEPS)), np.exp2(known[at] / 8) - 1 + 2 * PRIOR
-            ones, zeros = np.maximum(share * total - PRIOR - y, 0), np.maximum((1 - share) * total - PRIOR - (1 - y), 0)
-            columns.append(np.log((ones + PRIOR) / (zeros + PRIOR)))
-        x = np.column_stack([*columns, np.ones(len(y))])
-        gate = alphabet.gate[path] + np.repeat(after[piece], steps)
-        for _ in range(4):
-            p = 1.0 / (1.0 + np.exp(-np.clip((weights[gate] * x).sum(1), -30, 30)))
-            total = np.maximum(np.bincount(gate, minlength=len(weights)), 1)[:, None]
-            slope = np.column_stack([np.bincount(gate, (y - p) * x[:, j], len(weights)) for j in range(x.shape[1])]) / total
-            square += slope**2
-            weights += 0.3 * slope / np.sqrt(square)
-        decisions += len(y)
-    return weights.astype(np.float32), decisions
+        for piece in spelled.pieces(PIECE):
+            path, steps = alphabet.path(spelled.symbols[piece])
+            gate = alphabet.gate.take(path, mode="clip") + np.repeat(after[piece], steps)
+            order = np.argsort(gate, kind="stable")
+            path, gate = path[order], gate[order]
+            owner = np.repeat(np.arange(len(steps)), steps)[order]
+            y = alphabet.bits.take(path, mode="clip")
+            x = np.ones((inputs, len(path)), np.float32)
+            nodes = alphabet.nodes.take(path, mode="clip")
+            node_odds.take(nodes, mode="clip", out=x[0])
+            nodes *= _NODE
+            known = y.astype(np.uint32) << np.uint32(16)
+            for row, table, h in zip(x[1:], both, hashes):
+                at = h[piece].take(owner, mode="clip")
+                at ^= nodes
+                at *= _SPREAD
+                at >>= np.uint32(32 - bits)
+                left_out.take(known | table.take(at, mode="clip"), mode="clip", out=row)
+            p = 1 / (1 + np.exp(-np.clip(START @ x, -15, 15)))
+            slope, weight = y - p, p * (1 - p)
+            cuts = np.searchsorted(gate, np.arange(DEPTHS * 2 + 1))
+            for g, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+                if a < b:
+                    sums[g, 0] += x[:, a:b] @ slope[a:b]
+                    sums[g, 1:] += (x[:, a:b] * weight[a:b]) @ x[:, a:b].T
+    return sums
+
+
+def fit_weights(sums: np.ndarray) -> np.ndarray:
+    """Gate weights by a damped Newton step from ``START``."""
+    curve = sums[:, 1:] + DAMPING * np.eye(sums.shape[2])
+    return (START + np.linalg.solve(curve, sums[:, 0, :, None])[:, :, 0]).astype(np.float32)

@@ -7,9 +7,8 @@ are kept in arrays while a task runs and meet page by page; a reducer adds them
 up as they stream in and holds its pages alone. The arrays grow with the number of
 training tokens up to 2^22 places a context; reducers turn them into a byte of log-odds and a byte of
 size for each place, at most 25 MB for the driver.
-The weights that start the mixing are fitted on whole training texts, one in
-``SAMPLE_SHARE`` picked by a hash but some ``SAMPLE_TEXTS`` at least, in
-``SAMPLE_TASKS`` tasks whose results are averaged.
+The weights that start the mixing are fitted on every decision of every training
+text, by sums over all tasks.
 
 Scoring codes every text whole and gives the sum of its decisions' costs. The
 base adds a logarithm for every token. Head words have their counts at hand;
@@ -42,9 +41,6 @@ FOLDS = 7
 HELD_OUT = 2
 HEAD_WORDS = 1 << 18
 PAGE = 1 << 13
-SAMPLE_TEXTS = 400
-SAMPLE_SHARE = 1_000
-SAMPLE_TASKS = 4
 _STEPS_PER_OCTAVE = 16
 
 
@@ -156,25 +152,24 @@ def _node_odds(alphabet: cm.Alphabet, weights: np.ndarray) -> np.ndarray:
     return np.log((ones + cm.PRIOR) / (total - ones + cm.PRIOR)).astype(np.float32)
 
 
-def _start_weights(texts: DataFrame, documents: int, alphabet: cm.Alphabet, odds: np.ndarray, tables: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """Gate weights fitted on whole texts, averaged over the tasks by their decisions."""
-    shared = texts.sparkSession.sparkContext.broadcast((alphabet, odds, tables, seen))
-    share = min(1.0, max(SAMPLE_TEXTS / max(documents, 1), 1 / SAMPLE_SHARE))
-    chosen = F.pmod(F.xxhash64("text"), F.lit(1 << 31)) < int(share * (1 << 31))
-    sample = texts.where(F.col("text").isNotNull() & chosen).repartition(SAMPLE_TASKS)
+def _start_weights(texts: DataFrame, alphabet: cm.Alphabet, odds: np.ndarray, tables: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Gate weights fitted on all decisions of all texts."""
+    both = tables.view(np.uint8).astype(np.uint16) << 8 | seen.view(np.uint8)
+    shared = texts.sparkSession.sparkContext.broadcast((alphabet, odds, both))
 
-    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, *learned = shared.value
         spelled = (known.spell(part.column(0)) for batch in batches for part in parts(batch, 0))
-        found, decisions = cm.fit_weights(known, *learned, spelled)
-        yield pa.RecordBatch.from_arrays([pa.array([found.reshape(-1).tolist()], pa.list_(pa.float64())), pa.array([decisions])], names=["weights", "n"])
+        found = cm.weight_sums(known, *learned, spelled).reshape(-1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found)), pa.int32()), pa.array(found)], names=["place", "value"])
 
-    rows = sample.mapInArrow(fitted, "weights array<double>, n long").where("n > 0").collect()
-    shape = (cm.DEPTHS * 2, cm.ORDERS + 2)
-    if not rows:
-        return cm.fit_weights(alphabet, odds, tables, seen, [])[0]
-    rows.sort(key=lambda r: (r["n"], r["weights"]))  # the same sum whatever task ended first
-    return np.average([r["weights"] for r in rows], axis=0, weights=[r["n"] for r in rows]).reshape(shape).astype(np.float32)
+    # Added up in whole millionths, which come to the same sum in any order.
+    exact = F.round(F.col("value") * 1_000_000).cast("decimal(38,0)")
+    rows = texts.mapInArrow(summed, "place int, value double").groupBy("place").agg(F.sum(exact).alias("total")).collect()
+    sums = np.zeros((cm.DEPTHS * 2, cm.ORDERS + 3, cm.ORDERS + 2))
+    for place, total in rows:
+        sums.reshape(-1)[place] = float(total) / 1_000_000
+    return cm.fit_weights(sums)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Trained:
@@ -197,7 +192,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Trai
 
     tokens = int(words) + documents
     tables, seen = _count_decisions(texts, alphabet, cm.table_bits(tokens))
-    mixed = _start_weights(texts, documents, alphabet, odds, tables, seen)
+    mixed = _start_weights(texts, alphabet, odds, tables, seen)
     logs = np.log10(weights + 1.0)
     logs[: cm.TEXT_END] = 0.0
     model = cm.Model(alphabet, odds, tables, mixed)
@@ -206,13 +201,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Trai
 
 # ---- scoring -------------------------------------------------------------------
 
+def _by_length(batch: pa.RecordBatch, column: int) -> pa.RecordBatch:
+    """The batch with its texts by length, so that texts coded side by side end at about the same block."""
+    return batch.take(pc.array_sort_indices(pc.fill_null(pc.binary_length(batch.column(column)), 0)))
+
+
 def score(docs: DataFrame, trained: Trained, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, base_score, score (log10) and bits_per_byte."""
     shared = docs.sparkSession.sparkContext.broadcast((trained.model, trained.logs))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, logs = shared.value
-        for part in (p for batch in batches for p in parts(batch, 3)):
+        for part in (p for batch in batches for p in parts(_by_length(batch, 3), 3)):
             texts, n = part.column(3), part.num_rows
             spelled = model.alphabet.spell(texts)
             bits = model.bits(spelled, n)

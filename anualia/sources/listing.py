@@ -19,6 +19,8 @@ from anualia.scratch import materialize
 
 # Rows of a file list that may be broadcast; at some 200 bytes a row this is 20 MB.
 BROADCAST_FILES = 100_000
+# Bytes of small splits that one task reads.
+TASK_BYTES = 32 << 20
 
 _STORE = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 _INPUTS = T.StructType([
@@ -79,6 +81,24 @@ def with_files(df: DataFrame, files: DataFrame) -> DataFrame:
     return df.join(F.broadcast(files) if few else files, "file_path")
 
 
+def _bytes(size: str) -> int:
+    """Bytes of a size as settings have it, such as ``64k`` or ``134217728b``."""
+    number, unit = re.fullmatch(r"([0-9]+)([kmgtp]?)b?", size.strip().lower()).groups()
+    return int(number) << 10 * "kmgtp".find(unit) + 10 if unit else int(number)
+
+
+def join_splits(df: DataFrame) -> DataFrame:
+    """A scan of very small splits in fewer tasks, each of which reads whole splits, one after the other.
+
+    Tasks read up to ``TASK_BYTES``, so their number grows with the files and not with the splits.
+    """
+    spark = df.sparkSession
+    splits = df.rdd.getNumPartitions()
+    size = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    tasks = max(-(-splits * size // TASK_BYTES), 4 * spark.sparkContext.defaultParallelism)
+    return df.coalesce(tasks) if tasks < splits else df
+
+
 def split_row() -> Column:
     """Number of a row in the task that scans it; rows of one split ascend."""
     return F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))

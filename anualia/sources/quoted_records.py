@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from anualia.functions.template import with_computed
 from anualia.scratch import materialize
-from anualia.sources.listing import split_row
+from anualia.sources.listing import join_splits, split_row
 
 # Splits that begin inside a cell and may be broadcast.
 BROADCAST_SPLITS = 100_000
@@ -53,10 +53,11 @@ def cell_count(bare: str, sep: str) -> str:
 
 def text_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Lines as they stand, without a byte order mark: value, file_path, file_block_start, row."""
-    return spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(list(paths)).select(
+    lines = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(list(paths)).select(
         F.expr("IF(startswith(value, '﻿'), substring(value, 2), value)").alias("value"),
         "_metadata.file_path", "_metadata.file_block_start", split_row().alias("row"),
     )
+    return join_splits(lines)
 
 
 def _with_states(lines: DataFrame, sep: str) -> DataFrame:
@@ -208,7 +209,7 @@ def quoted_records(spark: SparkSession, paths: Sequence[str], sep: str) -> tuple
     )
     if not few:
         marked = marked.repartition("file_path", "file_block_start").sortWithinPartitions("file_path", "file_block_start", "row")
-    pieces = materialize(marked.mapInArrow(_pieces, _PIECE), "records")
+    pieces = join_splits(materialize(marked.mapInArrow(_pieces, _PIECE), "records"))
     whole = pieces.where(F.col("kind") == _WHOLE).drop("kind")
     # A piece that begins a record opens a group; the pieces after it in the file belong to it.
     order = W.partitionBy("file_path").orderBy("file_block_start", "kind")

@@ -195,7 +195,9 @@ def lines(book: DataFrame, params: YearParameters | None = None) -> DataFrame:
 
 _WORD = 63  # files in one BIGINT
 MOST_WORDS = 64  # so many words are buffers of the aggregate; more files are gathered as texts
-_GET = "CASE WHEN getbit(get(array({words}), i DIV 63), cast(i % 63 AS INT)) = 1 THEN get(array({names}), i) END"
+# Names of the files in one word, in order; a word without any is null and costs nothing.
+_NAMED = """CASE WHEN {word} <> 0 THEN array_join(transform(
+    filter(sequence(0, {last}), i -> getbit({word}, i) = 1), i -> get(array({names}), i)), ' | ') END"""
 
 
 def _numbered(df: DataFrame, names: list[str]) -> DataFrame:
@@ -214,8 +216,11 @@ def _file_masks(names: list[str]) -> tuple[list[Column], Column]:
     masks = [
         F.expr(f"coalesce(bit_or(CASE WHEN _file DIV {_WORD} = {w} THEN shiftleft(1L, _file % {_WORD}) END), 0L) AS _files{w}") for w in words
     ]
-    get = _GET.replace("{words}", ", ".join(f"_files{w}" for w in words)).replace("{names}", ", ".join(quote(n) for n in names))
-    return masks, F.expr(f"concat_ws(' | ', transform(sequence(0, {max(len(names) - 1, 0)}), i -> {get}))")
+    texts = []
+    for w in words:
+        known = names[w * _WORD : (w + 1) * _WORD]
+        texts.append(_NAMED.replace("{word}", f"_files{w}").replace("{last}", str(len(known) - 1)).replace("{names}", ", ".join(quote(n) for n in known)))
+    return masks, F.expr(f"concat_ws(' | ', {', '.join(texts)})")
 
 
 def _file_texts(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -129,12 +129,15 @@ def _number(pattern: str) -> str:
 _ENTRY = "struct<cell: string, left: int, col: int>"
 # Cells that a row begins, one entry for each column they take: markup without attributes, how many further rows
 # they reach into, and whether the entry is the cell's first one.
-_BEGUN = rf"""flatten(transform(regexp_extract_all(row, {quote(_span("td|th"))}, 0), c -> transform(
-    sequence(1, {_number(_COLSPAN)}),
-    n -> named_struct('cell', regexp_replace(c, r'^<[^>]*>', '<td>'), 'left', {_number(_ROWSPAN)} - 1, 'first', n = 1))))"""
+_BEGUN = rf"""flatten(transform(regexp_extract_all(row, {quote(_span("td|th"))}, 0), c -> IF(c RLIKE r'(?i)^<[^>]*span',
+    transform(
+        sequence(1, {_number(_COLSPAN)}),
+        n -> named_struct('cell', regexp_replace(c, r'^<[^>]*>', '<td>'), 'left', {_number(_ROWSPAN)} - 1, 'first', n = 1)),
+    array(named_struct('cell', regexp_replace(c, r'^<[^>]*>', '<td>'), 'left', 0, 'first', true)))))"""
 # From left to right: a cell from above goes to its column, or next where the row has gone past that column or has
 # no cells left, but never between the columns of one cell; else the row's own next cell.
-_PLACED = f"""aggregate(
+# A row that no cell from above reaches into has its own cells in its own columns.
+_PLACED = f"""IF(size(carry) = 0, transform(begun, (b, i) -> named_struct('cell', b.cell, 'left', b.left, 'col', i)), aggregate(
     sequence(1, greatest(size(carry) + size(begun), 1)),
     named_struct('own', 1, 'above', 1, 'row', cast(array() AS array<{_ENTRY}>)),
     (r, i) -> CASE
@@ -145,7 +148,7 @@ _PLACED = f"""aggregate(
         THEN named_struct('own', r.own + 1, 'above', r.above, 'row', array_append(r.row, named_struct(
             'cell', begun[r.own - 1].cell, 'left', begun[r.own - 1].left, 'col', i - 1)))
         ELSE r END,
-    r -> r.row)"""
+    r -> r.row))"""
 _GRID = f"""aggregate({{x}},
     named_struct('carry', cast(array() AS array<{_ENTRY}>), 'rows', cast(array() AS array<string>)),
     (acc, row) -> transform(transform(array(named_struct('begun', {_BEGUN}, 'carry', acc.carry)), s -> {_PLACED.replace("begun", "s.begun").replace("carry", "s.carry")}),

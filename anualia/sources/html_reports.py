@@ -86,7 +86,8 @@ def parse_reports(pages: DataFrame, columns: Sequence[str] = RECEIPT_COLUMNS) ->
     """
     first_table = F.get(tables(visible(F.col("html"))), F.lit(0))
     tabled = with_computed(pages.select("file", "file_no", "html"), "_table", first_table)
-    rowed = with_computed(tabled.drop("html"), "_rows", filled_rows(table_rows(F.col("_table"))))
+    split = with_computed(tabled.drop("html"), "_split", table_rows(F.col("_table")))
+    rowed = with_computed(split, "_rows", filled_rows(F.col("_split"))).drop("_split")
     cells = with_computed(rowed, "_cells", row_cells(F.get("_rows", F.lit(HEADER_ROW))))
     header = F.transform("_cells", lambda c: strip(F.translate(element_text(c), NBSP, " ")))
     headed = with_computed(cells, "_header", header).drop("_cells")

@@ -21,6 +21,11 @@ from anualia.plans.fees import NAME
 MONTH_WORDS = [word for word in MONTH_NAMES if word != "setiembre"]
 BOOK_FILES = [f"lre_{word}_{part}.csv" for word in MONTH_WORDS for part in range(3)]
 
+# Reports parsed by one task; a join leaves tasks of so many bytes, which is far more reports.
+REPORTS_A_TASK = 20_000
+# Suppliers that may be broadcast; at some 50 bytes a row this is 25 MB.
+BROADCAST_PLACES = 500_000
+
 
 def table(spark: SparkSession, sf_dir: str, table_name: str) -> DataFrame:
     """A source table; one stored in fewer splits than there are cores is spread out.
@@ -75,6 +80,12 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spread_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts dealt to tasks that grow in number with the receipts, for a costly step on each row."""
+    tasks = -(-spark.read.parquet(f"{sf_dir}/orders.parquet").count() // REPORTS_A_TASK)
+    return receipts(spark, sf_dir).repartition(max(tasks, spark.sparkContext.defaultParallelism), "ord")
+
+
 def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fee reports as markup: one small report per receipt, some of them unusable."""
     cells = ["ord", "Fecha", "Estado", "Rut", name(NAME), "Brutos", "Retenido", "Pagado"]
@@ -88,14 +99,14 @@ def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         '<td>Brutos</td><td>Retenido</td><td>Pagado</td></tr>\n',
         '<tr>', {row}, '</tr>\n',
         '<tr><td colspan=5>Totales* :</td><td>1</td><td>1</td><td>1</td></tr></table></body></html>')"""
-    return receipts(spark, sf_dir).selectExpr(
+    return spread_receipts(spark, sf_dir).selectExpr(
         "concat('r', ord) AS file", "ord AS file_no",
         f"IF(ord % 77 = 0, concat('<p>', Rut, '</p>'), {html}) AS html",
     )
 
 
 def _report(spark: SparkSession, sf_dir: str, html: str) -> DataFrame:
-    return receipts(spark, sf_dir).selectExpr("concat('r', ord) AS file", "ord AS file_no", f"concat({html}) AS html")
+    return spread_receipts(spark, sf_dir).selectExpr("concat('r', ord) AS file", "ord AS file_no", f"concat({html}) AS html")
 
 
 _REPORT_HEAD = """'<tr><td>N&deg;</td><td>Fecha</td><td>Estado</td><td>Rut</td><td>Nombre o Raz&oacute;n Social</td>',
@@ -158,9 +169,10 @@ def rental_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    placed = properties.join(supplier, properties.l_suppkey == supplier.s_suppkey).join(
-        nation, supplier.s_nationkey == nation.n_nationkey
-    )
+    # Wide rows stay where they are grouped: the places are broadcast, unless there are very many.
+    places = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey)
+    few = supplier.limit(BROADCAST_PLACES + 1).count() <= BROADCAST_PLACES
+    placed = properties.join(F.broadcast(places) if few else places, properties.l_suppkey == places.s_suppkey)
     landlord = f"concat(' ', {dotted('l_suppkey % 80000000 + 10000000')}, '-', lower({check_char('l_suppkey')}))"
     return placed.selectExpr(
         "l_partkey * 10000000 + l_suppkey AS row_no",

@@ -43,9 +43,9 @@ COERCE_INTEGER = f"""CASE WHEN {{x}} RLIKE {quote(INTEGER)} THEN cast({{x}} AS B
     transform(array({STRIP.replace("{x}", _UNGROUPED)}), {_parse("")})[0],
     0L) END"""
 
-CLEAN_PLAIN = f"""coalesce(
+CLEAN_PLAIN = f"""CASE WHEN {{x}} IS NULL THEN 0L ELSE coalesce(
     transform(array({STRIP.replace("{x}", "translate({x}, '.,', '')")}), {_parse("")})[0],
-    0L)"""
+    0L) END"""
 
 CLEAN_LOCALE = f"""CASE WHEN {{x}} RLIKE {quote(INTEGER)} THEN cast({{x}} AS BIGINT) ELSE coalesce(
     transform(

@@ -28,7 +28,8 @@ def sort_by(df: DataFrame, keys: list[Column]) -> DataFrame:
 
 def number_rows(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
     """Add ``name`` = 1..n in the order of ``keys``; the keys must be a total order."""
-    ordered = sort_by(df, keys).withColumn("_id", F.monotonically_increasing_id())
+    # A range sort looks at its input twice, once for the bounds; written first, costly rows are computed once.
+    ordered = sort_by(materialize(df, "unnumbered"), keys).withColumn("_id", F.monotonically_increasing_id())
     placed = materialize(ordered, "numbered")
 
     part = F.shiftright("_id", _POSITION_BITS)

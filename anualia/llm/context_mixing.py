@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,9 @@ PRIOR = 0.4
 START = np.array([0.6, 0.4, 0.4, 0.4, 0.0], np.float32)  # weights from which the fit begins: order 0, hashed orders, bias
 DAMPING = 20.0  # how many decisions they stand for
 ODDS_STEPS = 12
-PIECE = 4_096  # symbols coded at once
-COUNTED_AT_ONCE = 1 << 20  # decisions that are counted at once
+PIECE = 1 << 15  # symbols coded at once
+LOOKED_UP_AT_ONCE = 1 << 15  # symbols whose places in the tables are looked up at once
+COUNTED_AT_ONCE = 1 << 14  # symbols after contexts that are counted at once
 _MIX = [np.uint32(m) for m in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 _NODE = np.uint32(0x27D4EB2F)
 _SPREAD = np.uint32(0x165667B1)
@@ -87,17 +89,53 @@ class Alphabet:
         gate = (np.minimum(depth, DEPTHS - 1) * 2).astype(np.uint8)
         return cls(words, start[:-1].astype(np.int32), length.astype(np.int32), nodes, bits, gate)
 
+    @cached_property
+    def hashed(self) -> np.ndarray:
+        """Each step's node, as it goes into the hash of a place."""
+        return self.nodes * _NODE
+
+    @cached_property
+    def marks(self) -> np.ndarray:
+        """Each step's gate, and 128 where its decision is a one."""
+        return self.gate | self.bits << np.uint8(7)
+
+    @cached_property
+    def by_length(self) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols from the shortest path to the longest, and the rank of each among them."""
+        symbols = np.argsort(self.length, kind="stable")
+        rank = np.empty(len(symbols), np.uint64)
+        rank[symbols] = np.arange(len(symbols), dtype=np.uint64)
+        return symbols, rank
+
+    def levels(self, symbols: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Steps of symbols given by length, level by level: depth, the first symbol that has a step there, places of these steps (until the next level)."""
+        length, at = self.length[symbols], self.start[symbols].astype(np.intp)
+        firsts = np.searchsorted(length, np.arange(length.max(initial=0)), "right")
+        for depth, first in enumerate(firsts.tolist()):
+            yield depth, first, at[first:]
+            at[first:] += 1
+
     def path(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the symbols' steps, one symbol after the other, and how many steps each has."""
         counts = self.length[symbols]
-        path = np.repeat(self.start[symbols] - (counts.cumsum() - counts), counts)
+        path = np.repeat(self.start[symbols] - (counts.cumsum(dtype=np.intp) - counts), counts)
         path += np.arange(len(path))
         return path, counts
 
     def spell(self, texts: pa.Array) -> Spelled:
         """Symbols of texts, lower-cased in A-Z, one after the other."""
-        offsets, words = split_words(texts)
-        known = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False)
+        return next(self.spell_each([texts]))
+
+    def spell_each(self, several: Iterable[pa.Array]) -> Iterator[Spelled]:
+        """Symbols of several arrays of texts, whose words are looked up in one go: each time, the head is hashed anew."""
+        split = [(len(texts), *split_words(texts)) for texts in several]
+        known = pc.index_in(pa.chunked_array([words for _, _, words in split], pa.string()), value_set=self.words)
+        known, first = pc.fill_null(known, -1).to_numpy(), 0
+        for size, offsets, words in split:
+            yield self._spelled(size, offsets, words, known[first : first + len(words)])
+            first += len(words)
+
+    def _spelled(self, texts: int, offsets: np.ndarray, words: pa.Array, known: np.ndarray) -> Spelled:
         other = np.flatnonzero(known < 0)
         rest = words.take(pa.array(other))
         begins = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset) if len(words) else np.zeros(1, np.int32)
@@ -105,7 +143,7 @@ class Alphabet:
         sizes = np.ones(len(words), np.int64)
         sizes[other] += letters
         # Every text has one more symbol, its end, which moves the words of later texts on.
-        number = np.repeat(np.arange(len(texts)), np.diff(offsets))
+        number = np.repeat(np.arange(texts), np.diff(offsets))
         stops = sizes.cumsum() + number
         lengths = np.diff(np.append(0, sizes.cumsum())[offsets]) + 1
         out = np.full(int(lengths.sum()), TEXT_END, np.int32)
@@ -141,16 +179,6 @@ class Spelled:
     rest: pa.Array
     rest_text: np.ndarray
 
-    def pieces(self, size: int) -> Iterator[slice]:
-        """Runs of at least ``size`` symbols that begin where a segment does."""
-        starts = np.flatnonzero(self.place % SEGMENT == 0)
-        at = 0
-        while at < len(self.symbols):
-            following = np.searchsorted(starts, at + size)
-            stop = int(starts[following]) if following < len(starts) else len(self.symbols)
-            yield slice(at, stop)
-            at = stop
-
     def contexts(self) -> tuple[list[np.ndarray], np.ndarray]:
         """Context hashes, and whether the symbol before was a byte; before a text all are text ends."""
         before = []
@@ -184,22 +212,24 @@ def count(alphabet: Alphabet, parts: Iterable[Spelled], bits: int) -> np.ndarray
     """
     cells = 2 << bits
     table = np.zeros((ORDERS, cells), np.uint32)
+    by_length, rank = alphabet.by_length
     for spelled in parts:
         hashes, _ = spelled.contexts()
-        for order, h in enumerate(hashes):
-            keys, times = np.unique(h.astype(np.uint64) << np.uint64(32) | spelled.symbols.astype(np.uint64), return_counts=True)
-            symbols, contexts = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), (keys >> np.uint64(32)).astype(np.uint32)
-            steps = alphabet.length[symbols].cumsum()
-            first = 0
-            while first < len(keys):
-                done = int(steps[first - 1]) if first else 0
-                some = slice(first, max(first + 1, int(np.searchsorted(steps, done + COUNTED_AT_ONCE))))
-                path, counts = alphabet.path(symbols[some])
-                at = slots(alphabet, path, counts, contexts[some], bits)
-                at <<= np.uint32(1)
-                at |= alphabet.bits.take(path, mode="clip")
-                np.add.at(table[order], at.astype(np.intp), np.repeat(times[some].astype(np.uint32), counts))
-                first = some.stop
+        ranks = rank[spelled.symbols] << np.uint64(32)
+        for counts, h in zip(table, hashes):
+            keys, times = np.unique(ranks | h, return_counts=True)
+            symbols, contexts, times = by_length[keys >> np.uint64(32)], keys.astype(np.uint32), times.astype(np.uint32)
+            for first in range(0, len(keys), COUNTED_AT_ONCE):
+                some = slice(first, first + COUNTED_AT_ONCE)
+                after, often = contexts[some], times[some]
+                for _, alive, steps in alphabet.levels(symbols[some]):
+                    at = alphabet.hashed.take(steps, mode="clip")
+                    at ^= after[alive:]
+                    at *= _SPREAD
+                    at >>= np.uint32(32 - bits)
+                    at <<= np.uint32(1)
+                    at |= alphabet.bits.take(steps, mode="clip")
+                    np.add.at(counts, at.astype(np.intp), often[alive:])
     return table.reshape(-1)
 
 
@@ -223,6 +253,11 @@ class Model:
     tables: np.ndarray
     weights: np.ndarray  # gates x (orders + 2): order 0, hashed orders, bias
 
+    @cached_property
+    def step_odds(self) -> np.ndarray:
+        """Order 0 of each step of the alphabet's paths."""
+        return self.node_odds[self.alphabet.nodes]
+
     @property
     def table_bits(self) -> int:
         return int(self.tables.shape[1]).bit_length() - 1
@@ -257,47 +292,52 @@ class Model:
         """Code blocks, given by their first symbols; add to the costs of their texts and refine these texts' weights."""
         path, counts = self.alphabet.path(symbols)
         begins = np.append(0, counts.cumsum())[np.append(first, len(counts))]
-        x = np.empty((ORDERS + 1, len(path)), np.float32)
-        nodes = self.alphabet.nodes.take(path, mode="clip")
-        self.node_odds.take(nodes, mode="clip", out=x[0])
-        nodes *= _NODE
-        for row, t, h in zip(x[1:], self.tables, hashes):  # places as in ``slots``
+        nodes = self.alphabet.hashed.take(path, mode="clip")
+        odds = np.empty((ORDERS, len(path)), np.int8)
+        for row, t, h in zip(odds, self.tables, hashes):  # places as in ``slots``
             at = np.repeat(h, counts)
             at ^= nodes
             at *= _SPREAD
             at >>= np.uint32(32 - self.table_bits)
-            np.multiply(t.take(at, mode="clip"), np.float32(1 / ODDS_STEPS), out=row)
+            t.take(at.astype(np.intp), mode="clip", out=row)
+        node_odds = self.step_odds.take(path, mode="clip")
+        marks = self.alphabet.marks.take(path, mode="clip")
+        sign = (marks >> np.uint8(6) & np.uint8(2)).astype(np.float32)
+        sign -= 1
+        marks &= np.uint8(127)
         groups = np.append(np.flatnonzero(np.append(True, step[1:] != step[:-1])), len(step))
         number = np.arange(len(step)) - np.repeat(groups[:-1], np.diff(groups))
         base = np.repeat(number * (DEPTHS * 2), np.diff(np.append(first, len(counts)))) + after_byte
         place = np.repeat(base, counts)
-        place += self.alphabet.gate.take(path, mode="clip")
-        sign = self.alphabet.bits.take(path, mode="clip").astype(np.float32)
-        sign *= 2
-        sign -= 1
+        place += marks
         cost = np.empty(len(path), np.float32)
         for low, high in zip(groups[:-1].tolist(), groups[1:].tolist()):
             a, b = int(begins[low]), int(begins[high])
-            texts, here, inputs, y = text[low:high], place[a:b], x[:, a:b], sign[a:b]
+            texts, here, y = text[low:high], place[a:b], sign[a:b]
+            inputs = [node_odds[a:b], *(odds[:, a:b] * np.float32(1 / ODDS_STEPS))]
             own = weights[:, texts].reshape(len(weights), -1)
             z = own[-1].take(here, mode="clip")
+            product = np.empty_like(z)
             for w, v in zip(own, inputs):
-                z += w.take(here, mode="clip") * v
+                w.take(here, mode="clip", out=product)
+                product *= v
+                z += product
             # Probability of the decision taken; the other one has the rest.
             z *= y
             np.clip(z, -15, 15, out=z)
             np.negative(z, out=z)
             p = np.exp(z, out=z)
             p += 1
-            np.log(p, out=cost[a:b])
+            cost[a:b] = p
             error = np.divide(-1, p, out=p)
             error += 1
             error *= y
             error *= np.float32(RATE)
             for w, v in zip(own, inputs):
-                w += np.bincount(here, error * v, len(w))
+                w += np.bincount(here, np.multiply(error, v, out=product), len(w))
             own[-1] += np.bincount(here, error, own.shape[1])
             weights[:, texts] = own.reshape(len(weights), len(texts), -1)
+        np.log(cost, out=cost)
         total += np.bincount(text, np.add.reduceat(cost, begins[:-1], dtype=np.float64), len(total))
 
 
@@ -312,44 +352,76 @@ def _left_out() -> np.ndarray:
     return np.stack(found).reshape(-1).astype(np.float32)
 
 
+def _alike(symbols: np.ndarray, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each symbol after the same contexts, in the order of ``symbols``, and how often it occurs."""
+    keys = symbols << np.uint64(32) | hashes[-1]
+    order = np.argsort(keys)
+    new = np.ones(len(order), bool)
+    new[1:] = False
+    for values in (keys, *hashes[:-1]):
+        sorted_values = values[order]
+        new[1:] |= sorted_values[1:] != sorted_values[:-1]
+    first = np.flatnonzero(new)
+    return order[first], np.diff(np.append(first, len(order))).astype(np.float32)
+
+
 def weight_sums(alphabet: Alphabet, node_odds: np.ndarray, both: np.ndarray, parts: Iterable[Spelled]) -> np.ndarray:
     """What the fit of the gate weights needs of some texts: slope and curvature of the costs of all decisions, by gate.
 
     The sums of several tasks add up, so the fit does not hang on the order of
     texts. ``both`` holds log-odds and sizes of the tables, a byte each. The texts
-    were counted, so each decision is taken out of its own prediction.
+    were counted, so each decision is taken out of its own prediction. A symbol
+    after the same three is looked at once for each part, and weighs as often as it occurs.
     """
     bits = int(both.shape[1]).bit_length() - 1
     inputs = ORDERS + 2
     left_out = _left_out()
+    step_odds = node_odds[alphabet.nodes]
+    by_length, rank = alphabet.by_length
     sums = np.zeros((DEPTHS * 2, inputs + 1, inputs))
     for spelled in parts:
         hashes, after = spelled.contexts()
-        for piece in spelled.pieces(PIECE):
-            path, steps = alphabet.path(spelled.symbols[piece])
-            gate = alphabet.gate.take(path, mode="clip") + np.repeat(after[piece], steps)
-            order = np.argsort(gate, kind="stable")
-            path, gate = path[order], gate[order]
-            owner = np.repeat(np.arange(len(steps)), steps)[order]
-            y = alphabet.bits.take(path, mode="clip")
-            x = np.ones((inputs, len(path)), np.float32)
-            nodes = alphabet.nodes.take(path, mode="clip")
-            node_odds.take(nodes, mode="clip", out=x[0])
-            nodes *= _NODE
-            known = y.astype(np.uint32) << np.uint32(16)
-            for row, table, h in zip(x[1:], both, hashes):
-                at = h[piece].take(owner, mode="clip")
-                at ^= nodes
-                at *= _SPREAD
-                at >>= np.uint32(32 - bits)
-                left_out.take(known | table.take(at, mode="clip"), mode="clip", out=row)
-            p = 1 / (1 + np.exp(-np.clip(START @ x, -15, 15)))
-            slope, weight = y - p, p * (1 - p)
-            cuts = np.searchsorted(gate, np.arange(DEPTHS * 2 + 1))
-            for g, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-                if a < b:
-                    sums[g, 0] += x[:, a:b] @ slope[a:b]
-                    sums[g, 1:] += (x[:, a:b] * weight[a:b]) @ x[:, a:b].T
+        for side in (0, 1):
+            here = np.flatnonzero(after == side)
+            some, times = _alike(rank[spelled.symbols[here]], [h[here] for h in hashes])
+            some = here[some]
+            symbols, contexts = spelled.symbols[some], [h[some] for h in hashes]
+            for first in range(0, len(some), LOOKED_UP_AT_ONCE):
+                piece = slice(first, first + LOOKED_UP_AT_ONCE)
+                often = times[piece]
+                levels = [(depth, alive, steps.copy()) for depth, alive, steps in alphabet.levels(symbols[piece])]
+                cuts = np.cumsum([0] + [len(steps) for _, _, steps in levels]).tolist()
+                # One table at a time, so that much of it stays in the processor's caches.
+                found = np.empty((ORDERS, cuts[-1]), np.uint16)
+                for row, table, h in zip(found, both, contexts):
+                    h = h[piece]
+                    for (_, alive, steps), a, b in zip(levels, cuts, cuts[1:]):
+                        at = alphabet.hashed.take(steps, mode="clip")
+                        at ^= h[alive:]
+                        at *= _SPREAD
+                        at >>= np.uint32(32 - bits)
+                        table.take(at.astype(np.intp), mode="clip", out=row[a:b])
+                for (depth, alive, steps), a, b in zip(levels, cuts, cuts[1:]):
+                    y = alphabet.bits.take(steps, mode="clip")
+                    x = np.empty((inputs, len(steps)), np.float32)
+                    step_odds.take(steps, mode="clip", out=x[0])
+                    x[-1] = 1
+                    known = y.astype(np.intp) << 16
+                    for row, cells in zip(x[1:], found[:, a:b]):
+                        left_out.take(known | cells, mode="clip", out=row)
+                    z = START[0] * x[0]
+                    for s, row in zip(START[1:-1], x[1:]):
+                        z += s * row
+                    np.clip(z, -15, 15, out=z)
+                    p = 1 / (1 + np.exp(-z))
+                    slope, weight = (y - p) * often[alive:], p * (1 - p) * often[alive:]
+                    gate = 2 * min(depth, DEPTHS - 1) + side
+                    sums[gate, 0] += x @ slope
+                    for i, weighted in enumerate(x * weight):
+                        for j in range(i + 1):
+                            sums[gate, 1 + i, j] += weighted @ x[j]
+    upper = np.triu_indices(inputs, 1)
+    sums[:, 1 + upper[0], upper[1]] = sums[:, 1 + upper[1], upper[0]]
     return sums
 
 

@@ -24,7 +24,7 @@ rows. Extra columns are ignored, whatever their names are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +41,7 @@ FOLDS = 7
 HELD_OUT = 2
 HEAD_WORDS = 1 << 18
 PAGE = 1 << 13
+SPELLED_AT_ONCE = 16_000_000  # bytes of texts whose words are looked up in one go
 _STEPS_PER_OCTAVE = 16
 
 
@@ -124,13 +125,21 @@ def _sum_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pages([page], [cm.stretched(values).tobytes() + cm.sizes(values).tobytes()])
 
 
+def _spelled(alphabet: cm.Alphabet, batches: Iterable[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, cm.Spelled]]:
+    """The batches in parts, each with its symbols."""
+    for batch in batches:
+        for large in parts(batch, column, SPELLED_AT_ONCE):
+            several = list(parts(large, column))
+            yield from zip(several, alphabet.spell_each(part.column(column) for part in several))
+
+
 def _count_decisions(texts: DataFrame, alphabet: cm.Alphabet, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Tables of 2 ** bits places for each context: log-odds and sizes of the counts of all decisions of all texts."""
     shared = texts.sparkSession.sparkContext.broadcast(alphabet)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        cells = cm.count(known, (known.spell(part.column(0)) for batch in batches for part in parts(batch, 0)), bits)
+        cells = cm.count(known, (spelled for _, spelled in _spelled(known, batches, 0)), bits)
         for page, values in enumerate(cells.reshape(-1, PAGE)):
             if values.any():
                 yield _pages([page], [_pack(values)])
@@ -159,8 +168,7 @@ def _start_weights(texts: DataFrame, alphabet: cm.Alphabet, odds: np.ndarray, ta
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, *learned = shared.value
-        spelled = (known.spell(part.column(0)) for batch in batches for part in parts(batch, 0))
-        found = cm.weight_sums(known, *learned, spelled).reshape(-1)
+        found = cm.weight_sums(known, *learned, (spelled for _, spelled in _spelled(known, batches, 0))).reshape(-1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found)), pa.int32()), pa.array(found)], names=["place", "value"])
 
     # Added up in whole millionths, which come to the same sum in any order.
@@ -212,9 +220,8 @@ def score(docs: DataFrame, trained: Trained, id_col: str = "doc_id", text_col: s
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, logs = shared.value
-        for part in (p for batch in batches for p in parts(_by_length(batch, 3), 3)):
+        for part, spelled in _spelled(model.alphabet, (_by_length(batch, 3) for batch in batches), 3):
             texts, n = part.column(3), part.num_rows
-            spelled = model.alphabet.spell(texts)
             bits = model.bits(spelled, n)
             head = np.bincount(spelled.text, spelled.symbols >= cm.FIRST_WORD, n).astype(np.int64)
             others = np.bincount(spelled.rest_text, minlength=n)
